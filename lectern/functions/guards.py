@@ -9,20 +9,19 @@ from . import constants as K
 from . import text as T
 
 LABEL = r"\[S(\d+)\]"
-PAGE = r"(?i)\(?\b(?:p\.|page)\s*#?(\d+)\b\)?"
+PAGE = r"(?i)\(?(?<![A-Za-z0-9_])(?:p\.|page)\s*#?(\d+)(?![A-Za-z0-9_])\)?"
 BULLET = rf"^[-*•][{T.SPACE}]+"
 
 
 def _kept(text: Column, pattern: str, keep) -> Column:
     """text with each match of the pattern kept or dropped, by its number."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # The text between matches, one part more than there are matches.
-    between = F.split(text, pattern)
-    parts = F.transform(
-        F.sequence(F.lit(1), F.size(between)),
-        lambda i: F.concat(F.element_at(between, i), F.when((i <= F.size(found)) & keep(F.try_element_at(found, i)), F.try_element_at(found, i)).otherwise("")),
-    )
-    return F.array_join(parts, "")
+
+    def joined(found, between):
+        # The text between matches, one part more than there are matches.
+        parts = F.zip_with(between, found, lambda x, m: F.concat(x, F.when(m.isNotNull() & keep(m), m).otherwise("")))
+        return F.array_join(parts, "")
+
+    return T.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: joined(found, F.split(text, pattern)))
 
 
 def _number(match: Column) -> Column:

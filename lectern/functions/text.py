@@ -13,7 +13,13 @@ from .constants import DIMENSIONS, FOUR_WEIGHT, HEADING_CHARS, MAX_ADDED, PAIR_W
 NOT_WORD = "[^a-z0-9]+"
 LIST_ITEM = rf"^[{SPACE}]*(?:\d+[.)]|[-*•‣▪◦☐☑☒□■–])[{SPACE}]+([^{SPACE}].*)$"
 CAPITALS = r"^([A-Z][A-Z0-9]*(?:[ \-/&'][A-Z0-9]+){0,5})(?=$|\s+[—–:-]|\s{2,}|\s+[a-zA-Z])"
-NAMED = r"\b[A-Z][A-Z0-9]*(?:[ \-/&'][A-Z0-9]+)*\b"
+# Word boundaries are those of ASCII words; Java's own take other letters for word characters.
+NAMED = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9]*(?:[ \-/&'][A-Z0-9]+)*(?![A-Za-z0-9_])"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: what a lambda refers to from outside is computed for each element."""
+    return F.transform(F.array(value), use)[0]
 
 
 def trimmed(c: Column) -> Column:
@@ -58,8 +64,12 @@ def _strings(values) -> Column:
 def added_tokens(tokens: Column) -> Column:
     """Synonyms of the concepts that the tokens name. The groups are disjoint, so each can be taken for itself."""
     groups = F.array(*[_strings(g) for g in SYNONYM_GROUPS])
-    hit = F.filter(groups, lambda g: F.arrays_overlap(g, tokens))
-    return F.slice(F.flatten(F.transform(hit, lambda g: F.array_except(g, tokens))), 1, MAX_ADDED)
+
+    def added(ts):
+        hit = F.filter(groups, lambda g: F.arrays_overlap(g, ts))
+        return F.slice(F.flatten(F.transform(hit, lambda g: F.array_except(g, ts))), 1, MAX_ADDED)
+
+    return let(tokens, added)
 
 
 def expanded_text(query: Column, added: Column) -> Column:
@@ -137,12 +147,11 @@ def _slices(w: Column, n: int, prefix: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.concat(F.lit(prefix), F.substring(w, i, F.lit(n))))
 
 
-def features(text: Column) -> Column:
-    """array<struct<feature, weight>>: topical words, their neighbours, and 3- and 4-grams within longer words."""
-    topical = F.filter(words(text), is_topical)
-    stems = F.transform(topical, stem)
-    at = F.when(F.size(stems) > 1, F.sequence(F.lit(1), F.size(stems) - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(at, lambda i: F.concat(F.lit("b:"), F.element_at(stems, i), F.lit(" "), F.element_at(stems, i + 1)))
+def features(topical: Column, stems: Column) -> Column:
+    """array<struct<feature, weight>> of columns that hold topical words and their stems: the stems, neighbouring pairs
+    of them, and 3- and 4-grams within longer words."""
+    n = F.greatest(F.size(stems) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(stems, F.lit(1), n), F.slice(stems, F.lit(2), n), lambda a, b: F.concat(F.lit("b:"), a, F.lit(" "), b))
     threes = F.flatten(F.transform(F.filter(topical, lambda w: F.length(w) >= 4), lambda w: _slices(w, 3, "c:")))
     fours = F.flatten(F.transform(F.filter(topical, lambda w: F.length(w) >= 6), lambda w: _slices(w, 4, "d:")))
 
@@ -162,9 +171,15 @@ def feature_sign(feature: Column) -> Column:
 
 def snippet(text: Column, tokens: Column, most: int = SNIPPET) -> Column:
     """An excerpt that begins a little before the first place where any token occurs."""
-    compact = collapsed(text)
-    low = F.lower(compact)
-    hits = F.filter(F.transform(tokens, lambda t: F.instr(low, t)), lambda p: p > 0)
-    start = F.greatest(F.lit(0), F.coalesce(F.array_min(hits), F.lit(1)) - 1 - SNIPPET_LEAD)
-    cut = F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), trimmed(F.substring(compact, start + 1, F.lit(most))), F.when(start + most < F.length(compact), F.lit("…")).otherwise(F.lit("")))
-    return F.when(F.length(compact) <= most, compact).otherwise(cut)
+
+    def start_of(low):
+        hits = F.filter(F.transform(tokens, lambda t: F.instr(low, t)), lambda p: p > 0)
+        return F.greatest(F.lit(0), F.coalesce(F.array_min(hits), F.lit(1)) - 1 - SNIPPET_LEAD)
+
+    def cut(compact, start):
+        return F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), trimmed(F.substring(compact, start + 1, F.lit(most))), F.when(start + most < F.length(compact), F.lit("…")).otherwise(F.lit("")))
+
+    def shown(compact):
+        return F.when(F.length(compact) <= most, compact).otherwise(let(let(F.lower(compact), start_of), lambda start: cut(compact, start)))
+
+    return let(collapsed(text), shown)

@@ -313,7 +313,7 @@ def scope_filter(spark, sf):
     return O.search_scope(docs, none, none, docs.where("document_id % 6 = 1")).select("document_id")
 
 
-@registered("SELECT count(*) AS left_over, sum(doc_id) AS ids FROM documents WHERE doc_id % 3 <> 0")
+@registered("SELECT count(*) AS left_over, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE doc_id % 3 <> 0")
 def remove_document(spark, sf):
     docs = S.documents(spark, sf)
     kept = O.without_documents(S.pages(spark, sf), docs.where("document_id % 3 = 0"))
@@ -429,7 +429,7 @@ _LINE = Q.trimmed("x")
 
 
 @registered(
-    rf"SELECT page_id, kind, count(*) AS n, sum(length(said)) AS chars FROM (SELECT page_id, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN 'heading' WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN 'bullet' ELSE 'text' END AS kind, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN h WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN regexp_replace(l, '^[-*•][{K.SPACE}]+', '') ELSE l END AS said FROM (SELECT page_id, l, regexp_replace(l, ':$', '') AS h FROM (SELECT page_id, {_LINE} AS l FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS x FROM pages)) WHERE length(l) > 0)) GROUP BY ALL"
+    rf"SELECT page_id, kind, count(*) AS n, CAST(sum(length(said)) AS BIGINT) AS chars FROM (SELECT page_id, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN 'heading' WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN 'bullet' ELSE 'text' END AS kind, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN h WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN regexp_replace(l, '^[-*•][{K.SPACE}]+', '') ELSE l END AS said FROM (SELECT page_id, l, regexp_replace(l, ':$', '') AS h FROM (SELECT page_id, {_LINE} AS l FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS x FROM pages)) WHERE length(l) > 0)) GROUP BY ALL"
 )
 def summary_lines(spark, sf):
     lines = S.read(spark, sf, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("x"))

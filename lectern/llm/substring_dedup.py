@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Memo, raw_texts, stored
 
 WINDOW, BASE = 13, 4
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -27,15 +27,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Levels:
     """Hashes of all windows of one text at one length after another, each made from two of a shorter length."""
 
-    def __init__(self, words: np.ndarray):
-        self.sums = {1: words}
+    def __init__(self, words: np.ndarray, odd: int = _ODD):
+        self.sums, self.odd = {1: words}, odd
 
     def raw(self, n: int) -> np.ndarray:
         """Before mixing: the window of n words is its first 2^k words followed by the rest."""
         if n not in self.sums:
             head = 1 << ((n - 1).bit_length() - 1)
             a, b = self.raw(head), self.raw(n - head)
-            scale = np.uint64(pow(int(_ODD), head, 1 << 64))
+            scale = np.uint64(pow(self.odd, head, 1 << 64))
             m = len(self.sums[1]) - n + 1
             self.sums[n] = a[:m] + b[head : head + m] * scale
         return self.sums[n]
@@ -44,12 +44,17 @@ class Levels:
         return _mixed(self.raw(n))
 
 
-def anchors(levels: Levels, sizes: np.ndarray, base: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _word_hash(word: bytes) -> int:
+    """The word's length in the upper eight bits, a hash in the others."""
+    return min(len(word), 255) << 56 | xxhash.xxh3_64_intdigest(word) >> 8
+
+
+def anchors(levels: Levels, base: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Each window's anchor: the position of the `base`-word window within it that has most bytes (ties: least hash,
     then first). Equal windows have equal anchors, and neighbours mostly share theirs."""
     h = levels.hashes(base)
-    total = np.convolve(sizes, np.ones(base, np.int64), "valid")
-    order = (np.uint64(0xFFFF) - np.minimum(total, 0xFFFF).astype(np.uint64)) << np.uint64(48) | h >> np.uint64(16)
+    total = np.convolve(levels.sums[1] >> np.uint64(56), np.ones(base, np.uint64), "valid")
+    order = (np.uint64(0xFFFF) - np.minimum(total, np.uint64(0xFFFF))) << np.uint64(48) | h >> np.uint64(16)
     span = window - base + 1
     at = np.arange(len(order) - span + 1) + sliding_window_view(order, span).argmin(axis=1)
     return at, h
@@ -59,12 +64,11 @@ class _Texts:
     """Words of one text after another, hashed with a bounded memo."""
 
     def __init__(self):
-        self.memo = Memo(xxhash.xxh3_64_intdigest)
+        self.memo = Memo(_word_hash)
 
     def __call__(self, text: bytes):
         words = text.split()
-        n = len(words)
-        return words, Levels(np.fromiter(map(self.memo.__getitem__, words), np.uint64, n)), np.fromiter(map(len, words), np.int64, n)
+        return len(words), Levels(np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -88,9 +92,9 @@ def _anchored(base: int, window: int):
         for b in batches:
             ids, hs, ps = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
-                words, levels, sizes = read(text)
-                if len(words) >= window:
-                    at, h = anchors(levels, sizes, base, window)
+                n, levels = read(text)
+                if n >= window:
+                    at, h = anchors(levels, base, window)
                     at = np.unique(at)
                     ids.append(np.full(len(at), doc, np.int64))
                     hs.append(h[at] >> np.uint64(16))
@@ -105,13 +109,18 @@ def _windows(base: int, window: int):
     def rows(batches):
         read = _Texts()
         for b in batches:
+            ids, hs, gs, ps = [], [], [], []
             for doc, text, seen in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), b.column(2), strict=True):
-                words, levels, sizes = read(text)
-                at, _ = anchors(levels, sizes, base, window)
+                _, levels = read(text)
+                at, _ = anchors(levels, base, window)
                 pos = np.flatnonzero(np.isin(at, seen.values.to_numpy()))
-                h = levels.raw(window)[pos]
-                # 96 bits name a window: chance collisions stay out of reach at any size.
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), doc, np.int64)), _signed(_mixed(h)), _signed(_mixed(h ^ _ODD) >> np.uint64(32)), pa.array(pos.astype(np.int64))], names=["doc_id", "h", "g", "pos"])
+                ids.append(np.full(len(pos), doc, np.int64))
+                hs.append(levels.hashes(window)[pos])
+                # A second hash with a factor of its own: at 96 bits chance collisions stay out of reach at any size.
+                gs.append(Levels(levels.sums[1], _OTHER).hashes(window)[pos] >> np.uint64(32))
+                ps.append(pos)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), _signed(np.concatenate(hs)), _signed(np.concatenate(gs)), pa.array(np.concatenate(ps).astype(np.int64))], names=["doc_id", "h", "g", "pos"])
 
     return rows
 

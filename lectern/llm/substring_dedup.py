@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, raw_texts, stored
 
-WINDOW, BASE = 13, 4
+WINDOW, BASE = 13, 6
 _ODD, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -151,11 +151,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns two tables: one row per row of docs (doc_id, n_words, n_removed, kept_sha256), and the remaining text of
     those that lost words but are not whole copies (doc_id, kept_text).
 
-    Levels: windows of `base` words are the first; only those that repeat across documents are doubled, and doubled
-    again up to `window`, at which the removals are decided, so no candidate is left beyond it. At the first level one
-    window in each run of `window` words stands for the run (see `anchors`), which is enough: equal runs choose the
-    same one, so a run whose choice does not repeat cannot repeat either. Doubling a survivor on both sides is hashing
-    the windows around it from two halves each.
+    Levels: windows of `base` words are the first. Only those that repeat across documents are extended to twice their
+    length and the odd word, `window`, at which removals are decided, so no candidate is left beyond it. At the first
+    level one window in each run of `window` words stands for the run (see `anchors`), which is enough: equal runs
+    choose the same one, so a run whose choice does not repeat cannot repeat either. The hash of a longer window is
+    made of those of two shorter ones.
 
     Documents of one word sequence are combined first: only the smallest id of each is searched, the rest lose all.
     Counts are pre-aggregated, and joins back are ones that AQE can split, so no key needs one task of its own.

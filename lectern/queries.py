@@ -192,9 +192,17 @@ def has_list_body(spark, sf):
     return S.read(spark, sf, "pages").select("page_id", T.has_list_body(F.col("html")).alias("has_body"))
 
 
-@registered(_with(Q.CORPUS, Q.QUESTIONS, Q.ASKED, Q.HEADING) + "SELECT query_id, scope, ordinal, round(heading, 6) AS heading FROM heading")
+_HEADED = f"questions AS (SELECT min(doc_id) AS query_id, scope, 'What does ' || arg_min(h[1], doc_id) || ' say?' AS query FROM (SELECT scope, doc_id, {Q.headings('text')} AS h FROM corpus) WHERE len(h) > 0 GROUP BY scope)"
+
+
+@registered(_with(Q.CORPUS, _HEADED, Q.ASKED, Q.HEADING) + "SELECT query_id, scope, ordinal, round(heading, 6) AS heading FROM heading")
 def heading_scores(spark, sf):
-    scores = _heading_scores(S.questions(spark, sf), passage_traits(S.corpus(spark, sf)))
+    """One question for each owner, about the first heading in their documents."""
+    corpus = S.corpus(spark, sf)
+    headed = corpus.select("scope", "document_id", T.extract_headings(F.col("text")).alias("h")).where(F.size("h") > 0)
+    first = headed.groupBy("scope").agg(F.min("document_id").alias("query_id"), F.min_by(F.col("h")[0], "document_id").alias("h"))
+    asked = first.select("query_id", "scope", F.concat(F.lit("What does "), F.col("h"), F.lit(" say?")).alias("query"))
+    scores = _heading_scores(asked, passage_traits(corpus))
     return scores.select("query_id", "scope", F.col("ordinal").cast("long").alias("ordinal"), F.round("heading", 6).alias("heading"))
 
 

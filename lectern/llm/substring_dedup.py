@@ -177,12 +177,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = two.where("doc_id is not null").mapInArrow(_anchored(base, window), "doc_id long, h long, pos long")
     repeated = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    # Stored, so that the join has an exchange on either side: AQE splits a hash that many documents share only then.
+    repeated = stored(repeated, "repeated")
     survivors = found.join(repeated, "h", "left_semi").select("doc_id", "pos").distinct()
     per_doc = survivors.join(firsts.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("seen"))
     near = stored(two.join(per_doc, "doc_id"), "candidates")
 
     at = near.mapInArrow(_windows(base, window), "doc_id long, h long, g long, pos long")
-    least = at.groupBy("h", "g").agg(F.min("doc_id").alias("least"))
+    least = at.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
+    least = stored(least, "least")
     late = at.join(least, ["h", "g"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("pos").alias("seen"))
     cut = near.select("doc_id", "text").join(late, "doc_id").mapInArrow(_removed(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string")
     cut = stored(cut, "cut").dropDuplicates(["doc_id"])

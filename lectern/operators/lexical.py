@@ -19,10 +19,10 @@ def postings(corpus: DataFrame, keys: tuple[str, ...] = ("scope", "ordinal"), te
     return words.groupBy(*keys, T.stem(F.col("word")).alias("token")).agg(F.count("*").alias("tf"))
 
 
-def lengths(post: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(scope, ordinal, length): passages without tokens have length 0."""
-    counted = post.groupBy("scope", "ordinal").agg(F.sum("tf").alias("length"))
-    return corpus.select("scope", "ordinal").join(counted, ["scope", "ordinal"], "left").select("scope", "ordinal", F.coalesce("length", F.lit(0)).alias("length"))
+def lengths(corpus: DataFrame) -> DataFrame:
+    """(scope, ordinal, length): the number of tokens of each passage. A projection, where summing postings would
+    need a shuffle."""
+    return corpus.select("scope", "ordinal", F.size(F.filter(T.words(F.col("text")), T.is_topical)).cast("long").alias("length"))
 
 
 def scope_stats(sized: DataFrame) -> DataFrame:

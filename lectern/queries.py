@@ -76,7 +76,7 @@ def doc_frequency(spark, sf):
 @registered(_with(Q.CORPUS, Q.POSTINGS, Q.SIZED, Q.STATS) + "SELECT scope, total, round(average, 6) AS average FROM stats")
 def corpus_stats(spark, sf):
     corpus = S.corpus(spark, sf)
-    return L.scope_stats(L.lengths(L.postings(corpus), corpus)).select("scope", "total", F.round("average", 6).alias("average"))
+    return L.scope_stats(L.lengths(corpus)).select("scope", "total", F.round("average", 6).alias("average"))
 
 
 # Lexical ranking
@@ -95,7 +95,7 @@ def bm25_topk(spark, sf):
     corpus = S.read(spark, sf, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("ordinal"), "text")
     terms = S.questions(spark, sf).select("query_id", F.lit("typed").alias("kind"), F.lit("all").alias("scope"), F.explode(T.tokenize(F.col("query"))).alias("token"))
     post = L.postings(corpus)
-    scores = L.bm25(terms, post, L.lengths(post, corpus)).withColumn("score", F.round("score", 6))
+    scores = L.bm25(terms, post, L.lengths(corpus)).withColumn("score", F.round("score", 6))
     return best(scores, 10).select("query_id", "rank", F.col("ordinal").alias("doc_id"), "score")
 
 
@@ -123,7 +123,7 @@ _LEXICAL = _with(Q.CORPUS, Q.QUESTIONS, Q.POSTINGS, Q.SIZED, Q.STATS, Q.DF, Q.AS
 def coordination_scores(spark, sf):
     corpus = S.corpus(spark, sf)
     post = L.postings(corpus)
-    scores = L.lexical_scores(S.questions(spark, sf), post, L.lengths(post, corpus))
+    scores = L.lexical_scores(S.questions(spark, sf), post, L.lengths(corpus))
     return scores.select("query_id", "scope", F.col("ordinal").cast("long").alias("ordinal"), F.round("score", 6).alias("score"), "matched")
 
 
@@ -132,7 +132,7 @@ def lexical_switch(spark, sf):
     """What the words typed and the words with synonyms each match."""
     corpus = S.corpus(spark, sf)
     post = L.postings(corpus)
-    scores = L.bm25(L.query_terms(S.questions(spark, sf)), post, L.lengths(post, corpus))
+    scores = L.bm25(L.query_terms(S.questions(spark, sf)), post, L.lengths(corpus))
     return scores.groupBy("query_id", "kind").agg(F.count("*").alias("passages"), F.round(F.max("score"), 6).alias("best"))
 
 
@@ -213,7 +213,7 @@ def heading_scores(spark, sf):
 def rrf_fusion(spark, sf):
     corpus, questions = S.corpus(spark, sf), S.questions(spark, sf)
     post = L.postings(corpus)
-    lexical = L.lexical_scores(questions, post, L.lengths(post, corpus)).withColumnRenamed("score", "lexical")
+    lexical = L.lexical_scores(questions, post, L.lengths(corpus)).withColumnRenamed("score", "lexical")
     asked = questions.select("query_id", "scope", T.expanded_text(F.col("query"), T.added_tokens(T.tokenize(F.col("query")))).alias("text"))
     vector = cosine_pool(sparse_vectors(asked, ("query_id", "scope")), sparse_vectors(corpus, ("scope", "ordinal"))).withColumnRenamed("cosine", "vector")
     hits = best(fuse(lexical, vector, _heading_scores(questions, passage_traits(corpus))), K.SEARCH_HITS)

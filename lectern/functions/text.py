@@ -161,12 +161,17 @@ def features(topical: Column, stems: Column) -> Column:
     return F.concat(weighted(F.transform(stems, lambda w: F.concat(F.lit("w:"), w)), WORD_WEIGHT), weighted(pairs, PAIR_WEIGHT), weighted(threes, THREE_WEIGHT), weighted(fours, FOUR_WEIGHT))
 
 
-def feature_slot(feature: Column) -> Column:
-    return F.pmod(fnv1a(feature), F.lit(DIMENSIONS)).cast("int")
+def _fnv_step(h: Column, letter: str) -> Column:
+    return (h.bitwiseXOR(F.lit(ord(letter)).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295).cast("long"))
 
 
-def feature_sign(feature: Column) -> Column:
-    return F.when(fnv1a(F.concat(feature, F.lit("#s"))) % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+def feature_slot(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(DIMENSIONS)).cast("int")
+
+
+def feature_sign(hashed: Column) -> Column:
+    """By the hash of the feature with #s behind it, which goes on from the feature's own."""
+    return F.when(_fnv_step(_fnv_step(hashed, "#"), "s") % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
 
 
 def snippet(text: Column, tokens: Column, most: int = SNIPPET) -> Column:

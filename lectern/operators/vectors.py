@@ -14,7 +14,8 @@ def sparse_vectors(rows: DataFrame, keys: tuple[str, ...], text_col: str = "text
     words = rows.select(*keys, F.filter(T.words(F.col(text_col)), T.is_topical).alias("topical"))
     known = words.select(*keys, "topical", F.transform("topical", T.stem).alias("stems"))
     each = known.select(*keys, F.explode(T.features(F.col("topical"), F.col("stems"))).alias("f")).groupBy(*keys, "f.feature").agg(F.sum("f.weight").alias("w"))
-    slots = each.select(*keys, T.feature_slot(F.col("feature")).alias("slot"), (F.col("w") * T.feature_sign(F.col("feature"))).alias("w"))
+    hashed = each.select(*keys, T.fnv1a(F.col("feature")).alias("hash"), "w")
+    slots = hashed.select(*keys, T.feature_slot(F.col("hash")).alias("slot"), (F.col("w") * T.feature_sign(F.col("hash"))).alias("w"))
     summed = slots.groupBy(*keys, "slot").agg(F.sum("w").alias("w"))
     norm = summed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))

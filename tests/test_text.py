@@ -55,7 +55,8 @@ def test_clean_page_and_paragraphs(spark):
 
 def test_fnv_and_snippet(spark):
     assert of(spark, T.fnv1a, "w:radar") == 3654984768
-    assert of(spark, T.feature_slot, "w:radar") == 1088 and of(spark, T.feature_sign, "w:radar") == 1.0
+    assert of(spark, T.feature_slot, 3654984768, "long") == 1088 and of(spark, T.feature_sign, 3654984768, "long") == 1.0
+    assert of(spark, T.fnv1a, "w:radar#s") == 1489653918
     long = "x" * 100 + " target " + "y" * 300
     cut = of(spark, lambda c: T.snippet(c, F.array(F.lit("target"), F.lit("zz"))), long)
     assert cut == "…" + long[31 : 31 + 260] + "…"

@@ -143,22 +143,33 @@ def fnv1a(c: Column) -> Column:
     return F.aggregate(F.split(c, ""), F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(F.ascii(x)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295).cast("long")))
 
 
-def _slices(w: Column, n: int, prefix: str) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.concat(F.lit(prefix), F.substring(w, i, F.lit(n))))
-
-
-def features(topical: Column, stems: Column) -> Column:
-    """array<struct<feature, weight>> of columns that hold topical words and their stems: the stems, neighbouring pairs
-    of them, and 3- and 4-grams within longer words."""
+def stem_features(stems: Column) -> Column:
+    """array<struct<feature, weight>> of a column of stems: the stems and their neighbouring pairs."""
     n = F.greatest(F.size(stems) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(stems, F.lit(1), n), F.slice(stems, F.lit(2), n), lambda a, b: F.concat(F.lit("b:"), a, F.lit(" "), b))
-    threes = F.flatten(F.transform(F.filter(topical, lambda w: F.length(w) >= 4), lambda w: _slices(w, 3, "c:")))
-    fours = F.flatten(F.transform(F.filter(topical, lambda w: F.length(w) >= 6), lambda w: _slices(w, 4, "d:")))
 
     def weighted(fs, weight):
         return F.transform(fs, lambda f: F.struct(f.alias("feature"), F.lit(weight).alias("weight")))
 
-    return F.concat(weighted(F.transform(stems, lambda w: F.concat(F.lit("w:"), w)), WORD_WEIGHT), weighted(pairs, PAIR_WEIGHT), weighted(threes, THREE_WEIGHT), weighted(fours, FOUR_WEIGHT))
+    return F.concat(weighted(F.transform(stems, lambda w: F.concat(F.lit("w:"), w)), WORD_WEIGHT), weighted(pairs, PAIR_WEIGHT))
+
+
+def gram_hash(prefix: str, word: Column, at: Column, n: int) -> Column:
+    """fnv1a of the prefix and n letters of a word from `at` on: of fixed length, so it is plain generated code."""
+    h = 2166136261
+    for c in prefix:
+        h = (h ^ ord(c)) * 16777619 & 4294967295
+    hashed = F.lit(h).cast("long")
+    for k in range(n):
+        hashed = (hashed.bitwiseXOR(F.ascii(F.substring(word, at + k, F.lit(1)))) * F.lit(16777619)).bitwiseAND(F.lit(4294967295).cast("long"))
+    return hashed
+
+
+def gram_features(word: Column, at: Column) -> Column:
+    """array<struct<hash, weight>>: the 3-gram at a place of a topical word, and the 4-gram of longer words."""
+    three = F.when((F.length(word) >= 4) & (at <= F.length(word) - 2), F.struct(gram_hash("c:", word, at, 3).alias("hash"), F.lit(THREE_WEIGHT).alias("weight")))
+    four = F.when((F.length(word) >= 6) & (at <= F.length(word) - 3), F.struct(gram_hash("d:", word, at, 4).alias("hash"), F.lit(FOUR_WEIGHT).alias("weight")))
+    return F.array(three, four)
 
 
 def _fnv_step(h: Column, letter: str) -> Column:

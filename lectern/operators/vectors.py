@@ -10,11 +10,16 @@ from ..functions import text as T
 
 
 def sparse_vectors(rows: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """(keys, slot, weight), normalised to length 1. A feature is hashed once per text, however often it occurs."""
+    """(keys, slot, weight), normalised to length 1. Features are counted before they are hashed."""
     words = rows.select(*keys, F.filter(T.words(F.col(text_col)), T.is_topical).alias("topical"))
-    known = words.select(*keys, "topical", F.transform("topical", T.stem).alias("stems"))
-    each = known.select(*keys, F.explode(T.features(F.col("topical"), F.col("stems"))).alias("f")).groupBy(*keys, "f.feature").agg(F.sum("f.weight").alias("w"))
+    stems = words.select(*keys, F.transform("topical", T.stem).alias("stems"))
+    each = stems.select(*keys, F.explode(T.stem_features(F.col("stems"))).alias("f")).groupBy(*keys, "f.feature").agg(F.sum("f.weight").alias("w"))
     hashed = each.select(*keys, T.fnv1a(F.col("feature")).alias("hash"), "w")
+    # A word that a text repeats is cut into grams once.
+    counted = words.select(*keys, F.explode("topical").alias("word")).where(F.length("word") >= 4).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    placed = counted.select(*keys, "word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("at"))
+    grams = placed.select(*keys, "n", F.explode(T.gram_features(F.col("word"), F.col("at"))).alias("g")).where("g is not null")
+    hashed = hashed.unionByName(grams.select(*keys, "g.hash", (F.col("n") * F.col("g.weight")).alias("w")))
     slots = hashed.select(*keys, T.feature_slot(F.col("hash")).alias("slot"), (F.col("w") * T.feature_sign(F.col("hash"))).alias("w"))
     summed = slots.groupBy(*keys, "slot").agg(F.sum("w").alias("w"))
     norm = summed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

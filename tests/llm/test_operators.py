@@ -16,6 +16,7 @@ from lectern.llm import exact_dedup as E
 from lectern.llm import secrets as X
 from lectern.llm.bpe import PrefixEncoder, decode_documents, encode_documents, round_trips
 from lectern.llm.components import connected_components
+from lectern.llm.near_copies import drop_similar, first_shingles, similar_components, similar_links
 from lectern.llm.packing import pack_documents
 from lectern.llm.quality import quality_scores
 from lectern.llm.sharding import sharded
@@ -158,6 +159,66 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def shingles5(text):
+    ws = words(lower(text))
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def near5(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_rows():
+    """Texts with words changed here and there, from wholly alike to unlike, and a passage that many have."""
+    draw = random.Random(11)
+    rows, passage = [], " ".join(f"p{i}" for i in range(40))
+    for k in range(12):
+        ws = [f"w{draw.randrange(400)}" for _ in range(draw.choice([3, 8, 60, 200]))]
+        for _ in range(8):
+            own = list(ws)
+            for _ in range(draw.choice([0, 1, 1, 2, 3, 5])):
+                own[draw.randrange(len(own))] = f"new{draw.randrange(9999)}"
+            rows.append((len(rows) + 1000 * (k % 3), " ".join(own) + (" " + passage if k % 2 else "")))
+    return rows
+
+
+def test_similar_components(spark, docs, rows, empty):
+    some = [(i, t) for i, t in rows if i is not None] + near_rows()
+    sets = [(i, shingles5(t)) for i, t in some]
+    expected, label = {}, {k: k for k in range(len(sets))}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if near5(sets[a][1], sets[b][1])]
+    for a, b in pairs:
+        label[root(a)] = root(b)
+    for k, (i, _) in enumerate(sets):
+        expected[root(k)] = min(expected.get(root(k), i), i)
+    assert sum(bin(fingerprint((some[a][1] or "").encode()) ^ fingerprint((some[b][1] or "").encode())).count("1") > 2 for a, b in pairs) > 20
+    df = spark.createDataFrame([*some, (None, some[0][1])], "doc_id long, text string").repartition(3)
+    got = similar_components(df)
+    assert sorted(map(tuple, got.collect())) == sorted((i, expected[root(k)]) for k, (i, _) in enumerate(sets))
+    pair = spark.createDataFrame([(1, "a b"), (5, "a b"), (5, "c d"), (7, "c d")], "doc_id long, text string")
+    assert sorted(map(tuple, drop_similar(pair).collect())) == [(1, "a b"), (5, "c d")]  # an id that two texts have
+    left = drop_similar(docs)
+    assert left.columns == docs.columns and left.where("doc_id is null").count() == docs.where("doc_id is null").count()
+    assert similar_components(empty).count() == 0 and drop_similar(empty).count() == 0
+
+
+@pytest.mark.parametrize(("crowded", "rounds"), [(1, 0), (1, 2), (4, 1), (1000, 3)])
+def test_similar_links_loses_no_link(spark, crowded, rounds):
+    sets = {k: frozenset(zlib.crc32(" ".join(x).encode()) for x in s) for k, s in enumerate({frozenset(shingles5(t)) for _, t in near_rows()})}
+    df = spark.createDataFrame([(k, len(s), sorted(s), first_shingles(sorted(s))) for k, s in sets.items()], "node long, n int, shingles array<long>, first array<long>")
+    links = similar_links(df.select("node", "n", "first"), lambda nodes: df.join(nodes, "node", "left_semi").select("node", "shingles"), crowded, rounds)
+    pairs = {(r.u, r.v) for r in links.collect()}
+    assert pairs and all(near5(sets[a], sets[b]) for a, b in pairs)
+    joined = slow_components(sorted(sets), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    assert joined == slow_components(sorted(sets), lambda a, b: near5(sets[a], sets[b]))
+
+
 # Secrets
 
 

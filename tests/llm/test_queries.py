@@ -33,3 +33,10 @@ def test_pipeline(spark):
         assert left.schema.names == docs.schema.names and 0 < left.count() <= docs.count()
         docs = left
     assert {r[0] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_near_dedup_stage_drops_copies_of_five_word_similarity(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join(base[:50] + ["x"] + base[51:150] + ["y"] + base[151:]), " ".join(f"u{i}" for i in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]

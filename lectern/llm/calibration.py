@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: At most so many documents of each class are fitted on, none of more than so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES = 1600, 32768
+#: At most so many documents of each class are fitted on, and so many bytes of text of each class.
+SAMPLE_DOCS, SAMPLE_BYTES = 1600, 16 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[str, int, bool]], float | None]:
     """(text, label, odd) of at most `most` documents of each class, chosen by a hash of the id, never held-out ones.
 
-    Documents of over `most_bytes` bytes are not sampled, so the sample is small whatever the input. odd tells two
-    halves apart, for fitting on one and looking at the other. The same text under several ids counts once. With the
-    sample comes the share of label 1 among all labelled rows that aren't held out, None without any.
+    The sample's texts of a class have `most_bytes` bytes at most: they are taken whole, in the order of the hash, and
+    one that would go beyond is passed over. So the bound is on the sample, and no text is out of it for its size alone
+    unless it is larger than the whole bound. odd tells two halves apart, for fitting on one and looking at the other.
+    The same text under several ids counts once. An id that has both labels counts as label 1. With the sample comes
+    the share of label 1 among all labelled ids that aren't held out, None without any.
     """
     known = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    known = known.where(~held_out(F.col("k"))).dropDuplicates(["k"])
+    known = known.where(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(5), "k")
     share = known.agg(F.avg("y")).first()[0]
     ids = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "k").limit(most).collect()]
@@ -28,9 +30,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str
         return [], None
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(r.k, r.y) for r in ids], "k long, y int"))
     text = F.col(text_col).cast("string")
-    found = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text")).where((F.octet_length("text") <= most_bytes) & (F.col("text") != "")).join(wanted, "k")
-    rows = {r.text: (r.text, r.y, bool(r.odd)) for r in sorted(found.select("k", "text", "y", (F.pmod(order, F.lit(2)) == 1).alias("odd")).collect(), key=lambda r: -r.k)}
-    return list(rows.values())[::-1], share
+    found = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text")).where(F.col("text") != "").join(wanted, "k")
+    # Sizes first, so that no more text than the bound is ever sent to the driver. An id's rows are few or alike: of
+    # equal ones a digest is counted once.
+    named = F.sha2("text", 256)
+    sizes = found.select("k", "y", F.octet_length("text").alias("n"), named.alias("name"), order.alias("h")).groupBy("k", "y", "n", "name").agg(F.min("h").alias("h"))
+    left, taken = {0: most_bytes, 1: most_bytes}, {}
+    for r in sizes.orderBy("h", "k", "n", "name").limit(4 * most).collect():
+        if r.name not in taken and r.n <= left[r.y]:
+            left[r.y] -= r.n
+            taken[r.name] = (r.y, bool(r.h % 2))
+    if not taken:
+        return [], share
+    names = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in taken], "name string"))
+    rows = {r.name: r.text for r in found.select(named.alias("name"), "text").join(names, "name").groupBy("name").agg(F.min("text").alias("text")).collect()}
+    return [(rows[x], *taken[x]) for x in taken], share
 
 
 class Curve:

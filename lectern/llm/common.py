@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +67,48 @@ def raw_texts(column: pa.Array):
 
 
 class Memo(dict):
-    """make(key) for each key, kept for the next time; emptied when it holds `most` keys, so its memory is bounded."""
+    """make(key) for each key, kept for the next time. Keys of over LONGEST letters aren't kept, and `most` others at
+    most, after which it starts anew: so its memory has a bound, whatever the texts."""
 
-    def __init__(self, make, most: int = 400_000):
+    LONGEST = 64
+
+    def __init__(self, make, most: int = 1 << 16):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
+
+
+#: Rows and bytes of text that an Arrow function turns into Python objects at a time.
+ROWS, BYTES = 1000, 4 << 20
+
+
+def slices(batches, column: int, rows: int = ROWS, size: int = BYTES):
+    """The batches in pieces, which share their memory, of at most so many rows and bytes of a text column; a row at least."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            n = min(rows, max(1, int(np.searchsorted(ends, before + size, "right")) - at))
+            yield b.slice(at, n)
+            at += n
+
+
+def lean(rows):
+    """An Arrow function after which the worker gives back what memory it has freed: it lives on, next to others."""
+
+    def run(batches):
+        yield from rows(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run

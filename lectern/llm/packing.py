@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, texts
+from .common import Memo, lean, slices, texts
 
 END, WINDOW = 2, 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -51,7 +51,7 @@ class WordTokens:
         ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>"): i for t, i in vocab.items() if t[:2] != "<|"}
         ranks[b"\xff"] = len(ranks) + 2
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.runs, self.plain, self.stretches = Memo(self._run), Memo(self._plain), Memo(self._stretch, 100_000)
+        self.runs, self.plain, self.stretches = Memo(self._run), Memo(self._plain), Memo(self._stretch)
 
     def _run(self, run: str) -> bytes:
         return array("I", self.merge(run.encode() + b"\xff")).tobytes()
@@ -205,15 +205,13 @@ def _packed(path: str, tiers, step_tokens: int):
             cols[8] = [(part << 40) + s for s in cols[8]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                some = b.slice(k, 1000)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode.all(list(texts(some.column(1)))), strict=True):
-                    packer.add(doc_id, ids + end)
-                yield table(packer.pack())
+        for b in slices(batches, 1):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode.all(list(texts(b.column(1)))), strict=True):
+                packer.add(doc_id, ids + end)
+            yield table(packer.pack())
         yield table(packer.finish())
 
-    return rows
+    return lean(rows)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers=TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:

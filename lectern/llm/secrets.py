@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import lean, slices, texts
 
 KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
@@ -193,8 +193,9 @@ def redacted(text: str, spans) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string, n_layers long, complete boolean, clean_text string"
 
 
+@lean
 def _scanned(batches):
-    for b in batches:
+    for b in slices(batches, 1):
         cols = [[] for _ in range(8)]
         for text in texts(b.column(1)):
             base, spans, n, whole = scan_layers(text)
@@ -220,7 +221,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _cleaned(at: int, length_at: int | None):
     def rows(batches):
-        for b in batches:
+        for b in slices(batches, at):
             cols = list(b.columns)
             clean = [None if t is None else redacted(t, scan_layers(t)[1]) for t in b.column(at).to_pylist()]
             cols[at] = pa.array(clean, b.schema.field(at).type)
@@ -230,7 +231,7 @@ def _cleaned(at: int, length_at: int | None):
                 cols[length_at] = pa.array(lengths, b.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return rows
+    return lean(rows)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

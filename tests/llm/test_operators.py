@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import exact_dedup as E
 from lectern.llm import secrets as X
+from lectern.llm import toxicity as T
 from lectern.llm.bpe import PrefixEncoder, decode_documents, encode_documents, round_trips
 from lectern.llm.components import connected_components
 from lectern.llm.near_copies import drop_similar, first_shingles, similar_components, similar_links
@@ -78,7 +79,7 @@ def expected_exact(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 2, "salts": 3}, {"digest": "short"}, {"digest": "short", "hot_rows": 2, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"salts": 1}, {"salts": 3}, {"digest": "short"}, {"digest": "short", "salts": 3}])
 def test_exact_dedup(docs, rows, options):
     from pyspark.sql import functions as F
 
@@ -95,6 +96,16 @@ def test_drop_exact_copies(docs, rows, empty):
     assert E.exact_dedup(empty).count() == 0 and E.drop_exact_copies(empty).count() == 0
 
 
+def test_drop_exact_copies_keeps_one_row_and_names_that_clash(spark):
+    rows = [(None, "A b", 1, "x"), (None, "a B", 2, "y"), (3, "q", 3, "z"), (3, "q", 4, "w"), (2, "Q", 5, "v"), (7, None, 6, "u"), (8, "", 7, "t"), (3, "other", 8, "s"), (9, "long " * 300_000, 9, "r"), (4, "LONG " * 300_000, 10, "p")]
+    for names in ("__key", "__row"), ("digest", "salt"), ("keep_id", "text_sha256"), ("kept", "lost"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} long, {names[1]} string").repartition(3)
+        left = E.drop_exact_copies(df)
+        assert left.columns == df.columns
+        assert sorted((r[2], r[3]) for r in left.collect()) == [(1, "x"), (3, "z"), (7, "t"), (8, "s"), (9, "r")]
+        assert all(tuple(r) in rows for r in left.collect())
+
+
 # SimHash
 
 
@@ -134,10 +145,21 @@ def test_simhash_components(docs, rows, empty):
     assert simhash_components(empty).count() == 0
     left = drop_near_copies(docs)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted((i for i, f in prints if i is None or least[root[f]] == i), key=repr)
+    first = {}
+    for (i, t), (_, f) in zip(rows, prints, strict=True):
+        if i is not None and least[root[f]] == i:
+            first.setdefault(root[f], []).append((i, t))
+    assert sorted((r.doc_id for r in left.collect() if r.doc_id is not None)) == sorted(i for same in first.values() for i, _ in same)
+
+
+def test_drop_near_copies_goes_by_rows_and_not_by_ids(spark):
+    rows = [(5, "alpha beta gamma delta", 1), (9, "alpha beta gamma delta", 2), (3, "one two three four five", 3), (5, "one two three four five", 4)]
+    for name in ("__lost", "text_hash", "fp"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {name} long")
+        assert sorted(map(tuple, drop_near_copies(df).collect())) == [(3, rows[2][1], 3), (5, rows[0][1], 1)]
 
 
-@pytest.mark.parametrize("crowded", [1, 4, 1000])
+@pytest.mark.parametrize("crowded", [1, 4, 64, 1000])
 def test_near_links_loses_no_link(spark, crowded):
     draw = random.Random(9)
     base = draw.getrandbits(64)
@@ -329,6 +351,81 @@ def test_classifiers(spark, column, score, threshold):
     assert len({r.score for r in alone}) == 1
 
 
+def plain_kneser_ney(counts, order=5, discount=0.75):
+    """log P(word's letter | letters before) of both classes, straight from the definition; counts: words of each class."""
+
+    def grams(words):
+        found = Counter()
+        for w, n in words.items():
+            s = "^" * (order - 1) + w + "$"
+            for k in range(len(w) + 1):
+                found[s[k : k + order]] += n
+        return found
+
+    own = [grams(c) for c in counts]
+    alphabet = len(set("".join([*counts[0], *counts[1]]))) + 2
+    kinds = {order: set(own[0]) | set(own[1])}
+    for n in range(order - 1, 0, -1):
+        kinds[n] = {g[1:] for g in kinds[n + 1]}
+
+    def shared(g):
+        if not g:
+            return 1 / alphabet
+        n, before = len(g), g[:-1]
+        longer = [x for x in kinds[n + 1] if x[1:-1] == before]
+        if not longer:
+            return shared(g[1:])
+        here = sum(x[1:] == g for x in longer)
+        return (max(here - discount, 0) + discount * len({x[-1] for x in longer}) * shared(g[1:])) / len(longer)
+
+    def p(k, g):
+        after = {x: n for x, n in own[k].items() if x[:-1] == g[:-1]}
+        if not after:
+            return shared(g[1:])
+        return (max(after.get(g, 0) - discount, 0) + discount * len(after) * shared(g[1:])) / sum(after.values())
+
+    return p
+
+
+def test_toxicity_figures_are_those_of_plain_kneser_ney():
+    draw = random.Random(8)
+    letters = "abcdeäß" + "".join(chr(0x4E00 + i) for i in range(70)) + "αβγдежй"  # more than 61 letters
+    vocabulary = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 7))) for _ in range(30)]
+    counts = [Counter(draw.choices(vocabulary, k=60)) for _ in range(2)]
+    scorer = T.Scorer(T.ClassModels(*counts).tables())
+    p, known = plain_kneser_ney(counts), {}
+
+    def figure(word):
+        if word not in known:
+            s = "^" * 4 + word + "$"
+            known[word] = sum(np.log(p(1, s[k : k + 5]) / p(0, s[k : k + 5])) for k in range(len(word) + 1)) / (len(word) + 1)
+        return known[word]
+
+    texts = ["", "12 -- _", vocabulary[0].upper(), " ".join(vocabulary), "zzz ab" + vocabulary[3] + " " + vocabulary[4][:3] + "9" + vocabulary[5], "ẞ²x"]
+    texts += [" ".join(draw.choice(vocabulary + ["ωψ", "abab", "1"]) for _ in range(draw.randint(1, 40))) for _ in range(20)] + [vocabulary[1] * 20 + " " + vocabulary[2]]
+    expected = []
+    for t in texts:
+        own = sorted((figure(w) for w in re.findall(r"[^\W\d_]+", t.lower())), reverse=True)
+        expected.append((own[0] if own else 0, own[1] if len(own) > 1 else 0, sum(own) / len(own) if own else 0))
+    assert np.allclose(scorer.figures(texts), expected, atol=1e-5)
+    whole = scorer.figures(texts)
+    for most in (1, 3, 7, 50):  # however texts are cut into pieces
+        T.CHARS_AT_ONCE, before = most, T.CHARS_AT_ONCE
+        try:
+            assert np.allclose(scorer.figures(texts), whole, atol=1e-9)
+        finally:
+            T.CHARS_AT_ONCE = before
+
+
+def test_labels_that_differ_and_names_that_clash(spark):
+    docs, labels, truth = labelled(spark, "toxic")
+    twice = labels.union(labels.where("doc_id < 9").selectExpr("doc_id", "1 - toxic")).repartition(5)
+    first = {r.doc_id: r.score for r in toxicity_scores(docs, twice).collect()}
+    again = docs.selectExpr("text", "doc_id", "1 as score", "2 as held_out", "3 as k", "4 as y", "'' as name").repartition(3)
+    assert first == {r.doc_id: r.score for r in toxicity_scores(again.union(again), twice.repartition(2)).collect()}
+    assert drop_toxic(again, twice).columns == again.columns
+
+
 def test_drop_toxic(spark):
     docs, labels, truth = labelled(spark, "toxic")
     left = {r.doc_id for r in drop_toxic(docs, labels).collect()}

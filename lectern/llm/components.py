@@ -9,14 +9,15 @@ from .common import stored
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    # Partial aggregation first, so a hub's neighbours never meet in one task; the join back is one that AQE can split.
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    # Partial aggregation first, so a hub's neighbours never meet in one task. Stored, so that the join back has an
+    # exchange on either side and AQE can split a hub there.
+    return stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, raw_texts, stored
+from .common import Memo, lean, raw_texts, slices, stored
 
 WINDOW, BASE = 13, 6
-_ODD, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_ODD = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -27,15 +27,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Levels:
     """Hashes of all windows of one text at one length after another, each made from two of a shorter length."""
 
-    def __init__(self, words: np.ndarray, odd: int = _ODD):
-        self.sums, self.odd = {1: words}, odd
+    def __init__(self, words: np.ndarray):
+        self.sums = {1: words}
 
     def raw(self, n: int) -> np.ndarray:
         """Before mixing: the window of n words is its first 2^k words followed by the rest."""
         if n not in self.sums:
             head = 1 << ((n - 1).bit_length() - 1)
             a, b = self.raw(head), self.raw(n - head)
-            scale = np.uint64(pow(self.odd, head, 1 << 64))
+            scale = np.uint64(pow(_ODD, head, 1 << 64))
             m = len(self.sums[1]) - n + 1
             self.sums[n] = a[:m] + b[head : head + m] * scale
         return self.sums[n]
@@ -44,92 +44,86 @@ class Levels:
         return _mixed(self.raw(n))
 
 
-def _word_hash(word: bytes) -> int:
-    """The word's length in the upper eight bits, a hash in the others."""
-    return min(len(word), 255) << 56 | xxhash.xxh3_64_intdigest(word) >> 8
-
-
 def anchors(levels: Levels, base: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's anchor: the position of the `base`-word window within it that has most bytes (ties: least hash,
-    then first). Equal windows have equal anchors, and neighbours mostly share theirs."""
+    """Each window's anchor: the position of the `base`-word window within it that has the least hash (ties: the first),
+    and all hashes. Equal windows have equal anchors, and neighbours mostly share theirs: of a random order, two of
+    window - base + 2 positions are anchors."""
     h = levels.hashes(base)
-    total = np.convolve(levels.sums[1] >> np.uint64(56), np.ones(base, np.uint64), "valid")
-    order = (np.uint64(0xFFFF) - np.minimum(total, np.uint64(0xFFFF))) << np.uint64(48) | h >> np.uint64(16)
     span = window - base + 1
-    at = np.arange(len(order) - span + 1) + sliding_window_view(order, span).argmin(axis=1)
-    return at, h
+    return np.arange(len(h) - span + 1) + sliding_window_view(h, span).argmin(axis=1), h
 
 
-class _Texts:
-    """Words of one text after another, hashed with a bounded memo."""
+class _Words:
+    """Words of one text after another, hashed with a bounded memo; another seed gives an independent hash."""
 
-    def __init__(self):
-        self.memo = Memo(_word_hash)
+    def __init__(self, seed: int = 0):
+        self.memo = Memo(lambda word: xxhash.xxh3_64_intdigest(word, seed), 1 << 18)
 
-    def __call__(self, text: bytes):
-        words = text.split()
-        return len(words), Levels(np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words)))
+    def __call__(self, words: list[bytes]) -> Levels:
+        return Levels(np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+@lean
 def _whole(batches):
-    """doc_id, n_words, sha256 of the words."""
-    for b in batches:
+    """doc_id, tag, n_words, sha256 of the words."""
+    for b in slices(batches, 2):
         n, sha = [], []
-        for text in raw_texts(b.column(1)):
+        for text in raw_texts(b.column(2)):
             words = text.split()
             n.append(len(words))
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "sha"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "tag", "n_words", "sha"])
 
 
 def _anchored(base: int, window: int):
     def rows(batches):
-        read = _Texts()
-        for b in batches:
-            ids, hs, ps = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
-                n, levels = read(text)
-                if n >= window:
-                    at, h = anchors(levels, base, window)
+        read = _Words()
+        for b in slices(batches, 1):
+            tags, hs, ps = [], [], []
+            for tag, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
+                words = text.split()
+                if len(words) >= window:
+                    at, h = anchors(read(words), base, window)
                     at = np.unique(at)
-                    ids.append(np.full(len(at), doc, np.int64))
-                    hs.append(h[at] >> np.uint64(16))
+                    tags.append(np.full(len(at), tag, np.int64))
+                    # The anchors' hashes are small ones; the lower bits of all are alike random.
+                    hs.append(h[at] & np.uint64((1 << 48) - 1))
                     ps.append(at)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), _signed(np.concatenate(hs)), pa.array(np.concatenate(ps).astype(np.int64))], names=["doc_id", "h", "pos"])
+            if tags:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tags)), _signed(np.concatenate(hs)), pa.array(np.concatenate(ps).astype(np.int32))], names=["tag", "h", "pos"])
 
-    return rows
+    return lean(rows)
 
 
 def _windows(base: int, window: int):
     def rows(batches):
-        read = _Texts()
-        for b in batches:
-            ids, hs, gs, ps = [], [], [], []
-            for doc, text, seen in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), b.column(2), strict=True):
-                _, levels = read(text)
+        read, other = _Words(), _Words(1)
+        for b in slices(batches, 2):
+            found = []
+            for doc, tag, text, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), b.column(3), strict=True):
+                words = text.split()
+                levels = read(words)
                 at, _ = anchors(levels, base, window)
-                pos = np.flatnonzero(np.isin(at, seen.values.to_numpy()))
-                ids.append(np.full(len(pos), doc, np.int64))
-                hs.append(levels.hashes(window)[pos])
-                # A second hash with a factor of its own: at 96 bits chance collisions stay out of reach at any size.
-                gs.append(Levels(levels.sums[1], _OTHER).hashes(window)[pos] >> np.uint64(32))
-                ps.append(pos)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), _signed(np.concatenate(hs)), _signed(np.concatenate(gs)), pa.array(np.concatenate(ps).astype(np.int64))], names=["doc_id", "h", "g", "pos"])
+                survives = np.zeros(len(words), bool)
+                survives[seen.values.to_numpy()] = True
+                pos = np.flatnonzero(survives[at])
+                # Two hashes of independent hashes of the words: at 96 bits chance collisions stay out of reach.
+                found.append((np.full(len(pos), doc, np.int64), np.full(len(pos), tag, np.int64), levels.hashes(window)[pos].view(np.int64), (other(words).hashes(window)[pos] >> np.uint64(32)).view(np.int64), pos.astype(np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["doc_id", "tag", "h", "g", "pos"])
 
-    return rows
+    return lean(rows)
 
 
 def _removed(window: int):
     def rows(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             gone, sha, texts = [], [], []
-            for text, seen in zip(raw_texts(b.column(1)), b.column(2), strict=True):
+            for text, seen in zip(raw_texts(b.column(2)), b.column(3), strict=True):
                 words = text.split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 starts = seen.values.to_numpy()
@@ -140,9 +134,9 @@ def _removed(window: int):
                 gone.append(len(words) - int(keep.sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
                 texts.append(left)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "tag", "n_removed", "kept_sha256", "kept_text"])
 
-    return rows
+    return lean(rows)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> tuple[DataFrame, DataFrame]:
@@ -151,54 +145,48 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns two tables: one row per row of docs (doc_id, n_words, n_removed, kept_sha256), and the remaining text of
     those that lost words but are not whole copies (doc_id, kept_text).
 
-    Levels: windows of `base` words are the first. Only those that repeat across documents are extended to twice their
-    length and the odd word, `window`, at which removals are decided, so no candidate is left beyond it. At the first
-    level one window in each run of `window` words stands for the run (see `anchors`), which is enough: equal runs
-    choose the same one, so a run whose choice does not repeat cannot repeat either. The hash of a longer window is
-    made of those of two shorter ones.
+    Levels: windows of `base` words are the first. Only those that several unlike texts have are extended to twice their
+    length and the odd word, `window`, at which removals are decided; longer windows would decide nothing more, so the
+    levels end there. At the first level one window in each run of `window` words stands for the run (see `anchors`),
+    which is enough: equal runs choose the same one, so a run whose choice does not repeat cannot repeat either. The
+    hash of a longer window is made of those of two shorter ones.
 
-    Documents of one word sequence are combined first: only the smallest id of each is searched, the rest lose all.
-    Counts are pre-aggregated, and joins back are ones that AQE can split, so no key needs one task of its own.
+    Texts go by a hash (tag) of their own until the last level, so equal texts count once however many rows have them.
+    Documents of one word sequence are combined: only the smallest id of each is searched, the rest lose all. Counts
+    are pre-aggregated, and joins back are ones that AQE can split, so no key needs one task of its own.
 
-    Null text has no words. Texts shorter than a window lose nothing. Rows that repeat one doc_id are taken as one
-    document each and do not remove each other's words if the texts agree; a doc_id with several unlike texts, or a
-    null doc_id, loses nothing and removes nothing. Empty tables give empty tables; other columns are ignored.
+    Null text has no words. Texts shorter than a window lose nothing. A null doc_id loses nothing and removes nothing.
+    Rows of one doc_id, repeated or with unlike texts, are one document: they lose what smaller ids have, each from its
+    own text, and don't remove each other's words. Very long texts are taken whole. Empty tables give empty tables;
+    other columns are ignored, whatever their names.
     """
-    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    whole = stored(two.mapInArrow(_whole, "doc_id long, n_words long, sha string"), "whole")
-    unlike = whole.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("doc_id is null or a <> b").select("doc_id")
-    unlike = stored(unlike, "unlike")
-    has_unlike = not unlike.isEmpty()
-    sound = whole.where("doc_id is not null")
-    if has_unlike:
-        sound = sound.join(unlike, "doc_id", "left_anti")
-    firsts = stored(sound.where(F.col("n_words") >= window).groupBy("sha", "n_words").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "firsts")
-    copied = firsts.where("copies > 1").select("sha", "n_words", F.col("doc_id").alias("first_id"))
-
-    found = two.where("doc_id is not null").mapInArrow(_anchored(base, window), "doc_id long, h long, pos long")
-    repeated = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    text = F.col(text_col).cast("string")
+    three = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    whole = stored(three.mapInArrow(_whole, "doc_id long, tag long, n_words long, sha string"), "whole")
+    firsts = stored(whole.where("doc_id is not null").where(F.col("n_words") >= window).groupBy("sha", "n_words").agg(F.min("doc_id").alias("first_id")), "firsts")
+    ranked = stored(whole.join(firsts, ["sha", "n_words"], "left"), "ranked")
+    searched = ranked.where("doc_id = first_id").select("doc_id", "tag").distinct()
+
+    found = three.where("doc_id is not null").select("tag", "text").mapInArrow(_anchored(base, window), "tag long, h long, pos int")
+    repeated = found.groupBy("h").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("h")
     # Stored, so that the join has an exchange on either side: AQE splits a hash that many documents share only then.
     repeated = stored(repeated, "repeated")
-    survivors = found.join(repeated, "h", "left_semi").select("doc_id", "pos").distinct()
-    per_doc = survivors.join(firsts.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("seen"))
-    near = stored(two.join(per_doc, "doc_id"), "candidates")
+    per_text = found.join(repeated, "h", "left_semi").groupBy("tag").agg(F.collect_set("pos").alias("seen"))
+    near = stored(three.join(per_text.join(searched, "tag"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "seen"), "candidates")
 
-    at = near.mapInArrow(_windows(base, window), "doc_id long, h long, g long, pos long")
+    at = near.mapInArrow(_windows(base, window), "doc_id long, tag long, h long, g long, pos int")
     least = at.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
     least = stored(least, "least")
-    late = at.join(least, ["h", "g"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("pos").alias("seen"))
-    cut = near.select("doc_id", "text").join(late, "doc_id").mapInArrow(_removed(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string")
-    cut = stored(cut, "cut").dropDuplicates(["doc_id"])
-
-    w = whole.alias("w").join(copied.alias("c"), (F.col("w.sha") == F.col("c.sha")) & (F.col("w.n_words") == F.col("c.n_words")) & (F.col("w.doc_id") > F.col("c.first_id")), "left").select("w.doc_id", "w.n_words", "w.sha", F.col("c.first_id").isNotNull().alias("is_copy"))
-    if has_unlike:
-        odd = unlike.select("doc_id", F.lit(True).alias("odd"))
-        w = w.join(odd, "doc_id", "left").withColumn("is_copy", F.col("is_copy") & F.col("odd").isNull()).drop("odd")
+    late = at.join(least, ["h", "g"]).where("doc_id > least").groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("seen"))
+    cut = near.select("doc_id", "tag", "text").join(late, ["doc_id", "tag"]).mapInArrow(_removed(window), "doc_id long, tag long, n_removed long, kept_sha256 string, kept_text string")
+    cut = stored(cut, "cut").dropDuplicates(["doc_id", "tag"])
+
+    is_copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
-    out = w.join(cut.drop("kept_text"), "doc_id", "left").select(
+    out = ranked.join(cut.drop("kept_text"), ["doc_id", "tag"], "left").select(
         "doc_id",
         "n_words",
-        F.when(F.col("is_copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("is_copy"), F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(is_copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
     return out, cut.select("doc_id", "kept_text")

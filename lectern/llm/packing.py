@@ -7,20 +7,23 @@ import json
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, lean, slices, texts
+from .common import Memo, lean, slices, stored, texts
 
 END, WINDOW = 2, 4096
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens in a step group, and the smallest sequence that the tail of a task is cut to.
 STEP_TOKENS, LEAST = 1 << 18, 64
+#: The upper bits of a sequence's number are its task's, the lower ones count the task's sequences.
+OWN_BITS = 40
 
 _LETTERS, _MARKS = "a-zß-öø-ÿ", "!-&(-/:-@\\[-`{-~"
 _SIMPLE = re.compile(f"[{_LETTERS}{_MARKS} \n]*")
@@ -98,10 +101,10 @@ class WordTokens:
 class Packer:
     """Packs documents as they come; holds those of one batch, and fewer pieces than fill a window of each tier."""
 
-    def __init__(self, tiers=TIERS, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.window, self.step_tokens = tuple(tiers), tiers[-1], step_tokens
+    def __init__(self, tiers=TIERS):
+        self.tiers, self.window = tuple(tiers), tiers[-1]
         self.held = {t: [] for t in self.tiers}  # of each tier: (length, number, document, start) by length
-        self.sequences, self.number, self.filled = 0, 0, dict.fromkeys(self.tiers, 0)
+        self.sequences, self.number, self.made = 0, 0, Counter()
         self.out = []
 
     def add(self, doc_id, ids: bytes) -> None:
@@ -121,13 +124,13 @@ class Packer:
 
     def _emit(self, parts) -> None:
         total, at = sum(n for _, _, n in parts), 0
-        tier = self._tier(total)
-        step = self.filled[tier] // self.step_tokens
-        self.filled[tier] += tier
+        # A tail's sequence is of a tier of its own length: a power of two, to which the very last one is padded.
+        tier = total if total in self.tiers else max(LEAST, 1 << (total - 1).bit_length())
         for doc, start, n in parts:
             crc = zlib.crc32(memoryview(doc[1])[4 * start : 4 * (start + n)])
-            self.out.append((doc[0], start, n, crc, doc[2], self.sequences, at, tier, step))
+            self.out.append((doc[0], start, n, crc, doc[2], self.sequences, at, tier, self.made[tier]))
             at += n
+        self.made[tier] += 1
         self.sequences += 1
 
     def _fitting(self, tier: int, gap: int):
@@ -188,21 +191,20 @@ class Packer:
         return out
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, nth long"
 
 
-def _packed(path: str, tiers, step_tokens: int):
+def _packed(path: str, tiers):
     def rows(batches):
-        encode, packer = WordTokens(path), Packer(tiers, step_tokens)
+        encode, packer = WordTokens(path), Packer(tiers)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         end = END.to_bytes(4, "little")
         kinds = [pa.int64()] * 9
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        names = [x.split()[0] for x in PIECES.split(", ")]
 
         def table(found):
             cols = [list(c) for c in zip(*found, strict=True)] if found else [[] for _ in kinds]
-            cols[5] = [(part << 40) + s for s in cols[5]]
-            cols[8] = [(part << 40) + s for s in cols[8]]
+            cols[5] = [(part << OWN_BITS) + s for s in cols[5]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for b in slices(batches, 1):
@@ -222,13 +224,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     Documents are routed by length to tiers of 512, 1024, 2048 and 4096 tokens; whole windows come off longer ones
     first. Windows of each tier, the longest first, take the longest pieces that fit, fill gaps from shorter tiers, and
-    cut one piece to end exactly full. Full windows are powers of two, so only a task's last sequence, of under LEAST
-    tokens, is padded. Sequences of a tier form step groups of equal token totals.
+    cut one piece to end exactly full. What a task has left makes sequences of falling powers of two, each of a tier of
+    that length; only a task's last one, of under LEAST tokens, needs padding.
+
+    Step groups: the sequences of each tier, of all tasks, are counted and dealt in turn to as many groups as their
+    tokens fill, so that the totals of a tier's groups differ by one sequence at most. A group's number is its own:
+    16 times its place in the tier, plus the binary logarithm of the tier's length.
 
     Each task packs the rows it reads, so no token is shuffled and a lost task is repeated with the same result; it
-    holds the documents of 1,000 rows at a time. Sequence and group ids carry the task's number in their upper bits.
-    Null text counts as empty: such a document is the end id alone. Repeated rows are documents each. Empty tables give
-    empty tables; other columns are ignored.
+    holds the documents of some 1,000 rows at a time. Pieces, without their ids, are stored once for the dealing, which
+    moves counts of tasks. Null text counts as empty: such a document is the end id alone. Very long texts are cut into
+    windows. Repeated rows are documents each. Empty tables give empty tables; other columns are ignored, whatever their
+    names.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return two.mapInArrow(_packed(tokenizer, tiers, step_tokens), SCHEMA)
+    pieces = stored(two.mapInArrow(_packed(tokenizer, tiers), PIECES), "pieces").withColumn("task", F.shiftright("sequence_id", OWN_BITS))
+    made = pieces.groupBy("tier", "task").agg((F.max("nth") + 1).alias("n"))
+    tasks, tier = Window.partitionBy("tier").orderBy("task"), Window.partitionBy("tier")
+    made = made.select("tier", "task", (F.sum("n").over(tasks) - F.col("n")).alias("before"), F.sum("n").over(tier).alias("all"))
+    groups = F.greatest(F.lit(1), F.round(F.col("all") * F.col("tier") / F.lit(step_tokens)).cast("long"))
+    group = (F.col("before") + F.col("nth")) % groups * 16 + F.round(F.log2("tier")).cast("long")
+    return pieces.join(made, ["tier", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", group.alias("step_group"))

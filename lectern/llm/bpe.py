@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, texts
+from .common import Memo, lean, slices, texts
 
 # White space as the pattern means it: the Unicode property.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -120,7 +120,7 @@ class RoundTrips:
 
     def __init__(self, path: str):
         self.encoder = PrefixEncoder(path)
-        self.seen = Memo(self._stretch)
+        self.seen = Memo(self._stretch, 1 << 18)
 
     def _of(self, ids: list[int]) -> tuple[int, str, bytes]:
         return len(ids), ",".join(map(str, ids)), b"".join(map(self.encoder.bytes.__getitem__, ids))
@@ -141,7 +141,7 @@ class RoundTrips:
 def _round_trip(path: str):
     def rows(batches):
         code = RoundTrips(path)
-        for b in batches:
+        for b in slices(batches, 1):
             count, ids_sha, text_sha, decoded = [], [], [], []
             for text in texts(b.column(1)):
                 n, ids, data = code(text)
@@ -152,13 +152,13 @@ def _round_trip(path: str):
                 decoded.append(back == text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(decoded, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
 
-    return rows
+    return lean(rows)
 
 
 def _encoded(path: str):
     def rows(batches):
         encoder = PrefixEncoder(path)
-        for b in batches:
+        for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.encode(t) for t in texts(b.column(1))], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return rows

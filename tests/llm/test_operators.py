@@ -8,11 +8,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 from lectern.llm import exact_dedup as E
+from lectern.llm import quality as Q
 from lectern.llm import secrets as X
 from lectern.llm import toxicity as T
 from lectern.llm.bpe import PrefixEncoder, decode_documents, encode_documents, round_trips
@@ -20,7 +23,7 @@ from lectern.llm.components import connected_components
 from lectern.llm.near_copies import drop_similar, first_shingles, similar_components, similar_links
 from lectern.llm.packing import pack_documents
 from lectern.llm.quality import quality_scores
-from lectern.llm.sharding import sharded
+from lectern.llm.sharding import sharded, write_shards
 from lectern.llm.simhash import drop_near_copies, fingerprint, near_links, simhash_components
 from lectern.llm.substring_dedup import substring_dedup
 from lectern.llm.topk import block_topk, quantised
@@ -334,6 +337,28 @@ def labelled(spark, column):
     return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1), (3, None)], f"doc_id long, {column} int"), dict(labels)
 
 
+def test_quality_scores_are_those_of_two_plain_dictionaries(spark):
+    docs, labels, truth = labelled(spark, "quality")
+    known = [(i, t, truth[i]) for i, t in sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in truth) if zlib.crc32(str(i).encode()) % 4 != 2]
+    known = [(t, y, xxhash.xxh64_intdigest((i).to_bytes(8, "little"), xxhash.xxh64_intdigest((5).to_bytes(4, "little"), 42)) % 2 == 1) for i, t, y in known]
+    halves = [r.odd for r in docs.sparkSession.createDataFrame([(1,)], "k long").selectExpr("pmod(xxhash64(5, k), 2) = 1 as odd").collect()]
+    assert len(halves) == 1
+    model = Q.QualityModel(known)
+    for text in ["", "alpha beta " * 90, "ALPHA!! BETA!!", "é" * 1000]:
+        data, sizes = text.encode(), []
+        for y in (0, 1):
+            own = [t.encode() for t, c, _ in known if c == y]
+            try:
+                d = zstandard.ZstdCompressionDict(zstandard.train_dictionary(112 << 10, own).as_bytes())
+            except zstandard.ZstdError:
+                d = zstandard.ZstdCompressionDict(b"".join(own)[-(112 << 10) :])
+            sizes.append(sum(len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False).compress(data[k : k + 256])) for k in range(0, len(data), 256)))
+        assert model.measure()(data) == pytest.approx((sizes[0] - sizes[1]) / max(1, len(data)), abs=0.02)
+    xs = [model.measure()(t.encode()) for t in ("alpha beta " * 90, "ALPHA!! BETA!! " * 90)]
+    z = [(x - model.curve.mean[0]) / model.curve.scale[0] * model.curve.weights[0] + model.curve.weights[1] for x in xs]
+    assert model.curve([[x] for x in xs]) == pytest.approx([1 / (1 + np.exp(-v)) for v in z]) and model.curve.weights[0] > 0  # one figure, rising
+
+
 @pytest.mark.parametrize(("column", "score", "threshold"), [("toxic", toxicity_scores, 0.3), ("quality", quality_scores, 0.7)])
 def test_classifiers(spark, column, score, threshold):
     docs, labels, truth = labelled(spark, column)
@@ -463,6 +488,26 @@ def test_packing(docs, rows, empty):
     assert pack_documents(empty, path).count() == 0
 
 
+def test_packing_balances_step_groups(spark):
+    draw = random.Random(6)
+    rows = [(i, " ".join(draw.choice(WORDS) for _ in range(draw.choice([3, 40, 300, 700, 1500, 3000])))) for i in range(150)] + [(900, "alpha " * 60_000), (901, None), (902, "")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, tier long, step_group long").repartition(3)
+    got = pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), step_tokens=1 << 14).collect()
+    tiers, totals = defaultdict(set), defaultdict(Counter)
+    lengths = Counter()
+    for r in got:
+        tiers[r.step_group].add(r.tier)
+        totals[r.tier][r.step_group] += r.length
+        lengths[r.sequence_id, r.tier] += r.length
+    assert all(len(t) == 1 for t in tiers.values()) and len(totals) >= 4  # a group's number is its own
+    for tier, groups in totals.items():
+        n = sum(t == tier for _, t in lengths)
+        assert len(groups) == max(1, int(n * tier / (1 << 14) + 0.5))
+        assert max(groups.values()) - min(groups.values()) <= tier
+    assert all(n <= t and (n == t or t == 64 or n > t // 2) for (_, t), n in lengths.items())
+    assert len({(s, t) for s, t in lengths}) == len({s for s, _ in lengths})
+
+
 # Sharding
 
 
@@ -481,6 +526,25 @@ def test_sharding(docs, rows, empty):
     assert sharded(empty).count() == 0
 
 
+def test_sharding_of_copies_and_folders(spark, tmp_path):
+    rows = [(None, "same text", 1)] * 900 + [(5, None, 2), (5, "", 3), (5, "", 4)] + [(i, f"t{i}" * (i % 50), 5) for i in range(900)] + [(7000, "long " * 400_000, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket long").repartition(4)
+    out = sharded(df, bucket_bytes=1500).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((i, t) for i, t, _ in rows)
+    for of in (lambda r: True, lambda r: r.doc_id is None):  # the copies are spread as all rows are
+        counts = Counter(r.shard for r in out if of(r))
+        assert max(counts.values()) < 1.6 * min(counts.values())
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert Counter(map(tuple, out)) == Counter(map(tuple, sharded(df.repartition(7), bucket_bytes=1500).collect()))
+    path = str(tmp_path / "shards")
+    assert Counter(map(tuple, write_shards(df, path, bucket_bytes=1500).collect())) == Counter(map(tuple, out))
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir() if p.is_dir()) == [f"shard={k}" for k in range(8)]
+    for file in (tmp_path / "shards").rglob("*.parquet"):
+        slots = pq.ParquetFile(file).read(["slot"])["slot"].to_pylist()
+        assert slots == sorted(slots)
+
+
 # Substring dedup
 
 

@@ -20,7 +20,7 @@ from lectern.llm import secrets as X
 from lectern.llm import toxicity as T
 from lectern.llm.bpe import PrefixEncoder, decode_documents, encode_documents, round_trips
 from lectern.llm.components import connected_components
-from lectern.llm.near_copies import drop_similar, first_shingles, similar_components, similar_links
+from lectern.llm.near_copies import drop_similar, first_shingles, similar_components, similar_links, sketch
 from lectern.llm.packing import pack_documents
 from lectern.llm.quality import quality_scores
 from lectern.llm.sharding import sharded, write_shards
@@ -236,8 +236,8 @@ def test_similar_components(spark, docs, rows, empty):
 @pytest.mark.parametrize(("crowded", "rounds"), [(1, 0), (1, 2), (4, 1), (1000, 3)])
 def test_similar_links_loses_no_link(spark, crowded, rounds):
     sets = {k: frozenset(zlib.crc32(" ".join(x).encode()) for x in s) for k, s in enumerate({frozenset(shingles5(t)) for _, t in near_rows()})}
-    df = spark.createDataFrame([(k, len(s), sorted(s), first_shingles(sorted(s))) for k, s in sets.items()], "node long, n int, shingles array<long>, first array<long>")
-    links = similar_links(df.select("node", "n", "first"), lambda nodes: df.join(nodes, "node", "left_semi").select("node", "shingles"), crowded, rounds)
+    df = spark.createDataFrame([(k, len(s), sorted(s), first_shingles(sorted(s)), *sketch(np.array(sorted(s))).tolist()) for k, s in sets.items()], "node long, n int, shingles array<long>, first array<long>, k0 long, k1 long, k2 long, k3 long")
+    links = similar_links(df.drop("shingles"), lambda nodes: df.join(nodes, "node", "left_semi").select("node", "shingles"), crowded, rounds)
     pairs = {(r.u, r.v) for r in links.collect()}
     assert pairs and all(near5(sets[a], sets[b]) for a, b in pairs)
     joined = slow_components(sorted(sets), lambda a, b: (a, b) in pairs or (b, a) in pairs)

@@ -6,12 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, lean, raw_texts, slices, stored
+from .common import lean, raw_texts, slices, stored
 
 WINDOW, BASE = 13, 6
 _ODD = 0x9E3779B97F4A7C15
@@ -44,27 +44,82 @@ class Levels:
         return _mixed(self.raw(n))
 
 
-def anchors(levels: Levels, base: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's anchor: the position of the `base`-word window within it that has the least hash (ties: the first),
-    and all hashes. Equal windows have equal anchors, and neighbours mostly share theirs: of a random order, two of
-    window - base + 2 positions are anchors."""
+def anchors(levels: Levels, base: int, window: int) -> np.ndarray:
+    """Each window's anchor: the position of the `base`-word window within it that has the least hash (ties: the first).
+    Equal windows have equal anchors, and neighbours mostly share theirs: of a random order, two of window - base + 2
+    positions are anchors."""
     h = levels.hashes(base)
-    span = window - base + 1
-    return np.arange(len(h) - span + 1) + sliding_window_view(h, span).argmin(axis=1), h
+    m = len(h) - (window - base)
+    least, at = h[:m].copy(), np.arange(m)
+    for j in range(1, window - base + 1):
+        less = h[j : j + m] < least
+        np.copyto(least, h[j : j + m], where=less)
+        at[less] = np.flatnonzero(less) + j
+    return at
 
 
-class _Words:
-    """Words of one text after another, hashed with a bounded memo; another seed gives an independent hash."""
+class Words:
+    """The words of a column of texts, as one row of numbers: each word's 64-bit hash. Another seed, another hash.
 
-    def __init__(self, seed: int = 0):
-        self.memo = Memo(lambda word: xxhash.xxh3_64_intdigest(word, seed), 1 << 18)
-
-    def __call__(self, words: list[bytes]) -> Levels:
-        return Levels(np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words)))
+    A word's hash is the sum of its bytes' random numbers times powers of an odd number, for all words at once by
+    running sums over a bounded stretch of text. Words of over LONG bytes have a hash of their own kind instead.
+    """
 
+    STRETCH, LONG = 1 << 18, 64
+    WHITE = np.zeros(256, bool)
+    WHITE[[9, 10, 11, 12, 13, 32]] = True
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    def __init__(self, seed: int = 0):
+        draw = np.random.Generator(np.random.PCG64(seed))
+        self.seed, self.numbers = seed, draw.integers(0, 1 << 64, 256, np.uint64)
+        odd = int(draw.integers(0, 1 << 63)) * 2 + 1
+        self.powers, self.inverse = (self._powers(x) for x in (odd, pow(odd, -1, 1 << 64)))
+
+    def _powers(self, x: int) -> np.ndarray:
+        out = np.full(self.STRETCH + 1, x, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    @classmethod
+    def split(cls, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The column's bytes, where words start and end in them, and the number of each text's first word (and the end)."""
+        if column.null_count:
+            column = pc.fill_null(column, "")
+        wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = column.buffers()[2]
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        solid = np.append(~cls.WHITE[data], False)
+        border = np.zeros(len(solid), bool)
+        border[offsets] = True
+        before = np.concatenate([[False], solid[:-1]]) & ~border
+        starts = np.flatnonzero(solid & ~before)
+        ends = np.flatnonzero(solid[:-1] & (~solid[1:] | border[1:])) + 1
+        return data, starts, ends, np.searchsorted(starts, offsets)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out, long = np.zeros(len(starts), np.uint64), ends - starts > self.LONG
+        k = 0
+        while k < len(starts):
+            low = starts[k]
+            n = max(1, int(np.searchsorted(ends, low + self.STRETCH, "right")) - k)
+            if ends[k] - low <= self.STRETCH:  # else a single word, and a long one
+                part = self.numbers[data[low : ends[k + n - 1]]]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(part * self.powers[: len(part)], out=sums[1:])
+                a = starts[k : k + n] - low
+                out[k : k + n] = (sums[ends[k : k + n] - low] - sums[a]) * self.inverse[a]
+            k += n
+        for k in np.flatnonzero(long):
+            out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), self.seed)
+        return _mixed(out)
+
+
+def _inside(first: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window from each word on ends in the same text."""
+    ends = np.repeat(first[1:], np.diff(first))
+    return np.arange(max(0, len(ends) - window + 1)) + window <= ends[: max(0, len(ends) - window + 1)]
 
 
 @lean
@@ -81,40 +136,38 @@ def _whole(batches):
 
 def _anchored(base: int, window: int):
     def rows(batches):
-        read = _Words()
+        read = Words()
         for b in slices(batches, 1):
-            tags, hs, ps = [], [], []
-            for tag, text in zip(b.column(0).to_pylist(), raw_texts(b.column(1)), strict=True):
-                words = text.split()
-                if len(words) >= window:
-                    at, h = anchors(read(words), base, window)
-                    at = np.unique(at)
-                    tags.append(np.full(len(at), tag, np.int64))
-                    # The anchors' hashes are small ones; the lower bits of all are alike random.
-                    hs.append(h[at] & np.uint64((1 << 48) - 1))
-                    ps.append(at)
-            if tags:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tags)), _signed(np.concatenate(hs)), pa.array(np.concatenate(ps).astype(np.int32))], names=["tag", "h", "pos"])
+            data, starts, ends, first = Words.split(b.column(1))
+            if len(starts) < window:
+                continue
+            levels = Levels(read(data, starts, ends))
+            at = anchors(levels, base, window)[_inside(first, window)]
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # they only rise
+            text = np.searchsorted(first, at, "right") - 1
+            # The anchors' hashes are small ones; the lower bits of all are alike random.
+            h = levels.hashes(base)[at] & np.uint64((1 << 48) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array((at - first[text]).astype(np.int32))], names=["tag", "h", "pos"])
 
     return lean(rows)
 
 
 def _windows(base: int, window: int):
     def rows(batches):
-        read, other = _Words(), _Words(1)
+        # Two hashes of independent hashes of the words: at 96 bits chance collisions stay out of reach.
+        read, other = Words(), Words(1)
         for b in slices(batches, 2):
-            found = []
-            for doc, tag, text, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2)), b.column(3), strict=True):
-                words = text.split()
-                levels = read(words)
-                at, _ = anchors(levels, base, window)
-                survives = np.zeros(len(words), bool)
-                survives[seen.values.to_numpy()] = True
-                pos = np.flatnonzero(survives[at])
-                # Two hashes of independent hashes of the words: at 96 bits chance collisions stay out of reach.
-                found.append((np.full(len(pos), doc, np.int64), np.full(len(pos), tag, np.int64), levels.hashes(window)[pos].view(np.int64), (other(words).hashes(window)[pos] >> np.uint64(32)).view(np.int64), pos.astype(np.int32)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["doc_id", "tag", "h", "g", "pos"])
+            data, starts, ends, first = Words.split(b.column(2))
+            seen = b.column(3)
+            survives = np.zeros(len(starts), bool)
+            survives[seen.flatten().to_numpy() + np.repeat(first[:-1], pc.list_value_length(seen).to_numpy())] = True
+            levels = Levels(read(data, starts, ends))
+            pos = np.flatnonzero(survives[anchors(levels, base, window)] & _inside(first, window))
+            text = np.searchsorted(first, pos, "right") - 1
+            row = pa.array(text)
+            h = levels.hashes(window)[pos].view(np.int64)
+            g = (Levels(other(data, starts, ends)).hashes(window)[pos] >> np.uint64(32)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(h), pa.array(g), pa.array((pos - first[text]).astype(np.int32))], names=["doc_id", "tag", "h", "g", "pos"])
 
     return lean(rows)
 

@@ -57,5 +57,34 @@ NOT_FOUND = "I couldn't find this information in the uploaded document."
 NOT_SPECIFIED = "Not specified in the document."
 CATEGORIES = ["Main Objective", "Technologies", "Key Findings", "Limitations"]
 
+# What users are told of files, pages, questions, models and comparisons.
+NO_FILE = "No file selected. Choose a PDF and try again."
+NOT_PDF = " is not a PDF. Only PDF files are supported."
+EMPTY_FILE = " is empty (0 bytes)."
+LARGE_FILE = " MB. The maximum upload size is 15 MB."
+LOCKED_PDF = "This PDF is password-protected. Remove the password and try again."
+BROKEN_PDF = "This PDF could not be read. The file appears to be corrupted."
+CANCELLED_PDF = "Reading the PDF was cancelled."
+UNREAD_PDF = "This PDF could not be read. It may be corrupted or incomplete."
+NO_TEXT = "No extractable text was found in this PDF."
+TOO_LONG = "This document exceeds the processing limit."
+NO_PASSAGES = "No usable passages were found in this PDF."
+FRIENDLY = ["No extractable text", "processing limit", "no pages"]
+SIGN_IN = "Sign in to search documents."
+SHORT_QUERY = "Enter a search query of at least two characters."
+SELECT_ONE = "Select at least one document to search."
+EMPTY_RESPONSE = "The AI model returned an empty response."
+TIMED_OUT = "The AI request timed out. Please try again."
+RATE_LIMITED = "The AI service is rate limited right now. Please try again shortly."
+UNAVAILABLE = "The configured AI model is unavailable ("
+AI_FAILED = "AI request failed: "
+NO_OBJECT = "The model did not return a structured comparison."
+MALFORMED = "The model returned malformed comparison JSON."
+NO_ROWS = "The comparison response was missing its rows."
+NO_USABLE = "The comparison response contained no usable rows."
+
+# What shows that another attempt would fail in the same way.
+NO_ACCESS = "api.?key|unauthori[sz]ed|forbidden|401|403"
+
 #: White space in every pattern, for Java's and RE2's syntax alike: what trimming removes, no-break spaces included.
 SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"

@@ -53,12 +53,12 @@ def is_not_specified(cell: Column) -> Column:
 def failure_message(raw: Column) -> Column:
     """What a user is told of a failed completion. An empty response counts as a missing model."""
     message = T.trimmed(F.coalesce(raw, F.lit("")))
-    message = F.when(F.length(message) == 0, "The AI model returned an empty response.").otherwise(message)
+    message = F.when(F.length(message) == 0, K.EMPTY_RESPONSE).otherwise(message)
     return (
-        F.when(message.rlike("(?i)timeout|timed out|abort"), "The AI request timed out. Please try again.")
-        .when(message.rlike("(?i)rate limit|429|too many requests"), "The AI service is rate limited right now. Please try again shortly.")
-        .when(message.rlike("(?i)model|not found|404"), F.concat(F.lit("The configured AI model is unavailable ("), F.substring(message, 1, 160), F.lit(").")))
-        .otherwise(F.concat(F.lit("AI request failed: "), F.substring(message, 1, 240)))
+        F.when(message.rlike("(?i)timeout|timed out|abort"), K.TIMED_OUT)
+        .when(message.rlike("(?i)rate limit|429|too many requests"), K.RATE_LIMITED)
+        .when(message.rlike("(?i)model|not found|404"), F.concat(F.lit(K.UNAVAILABLE), F.substring(message, 1, 160), F.lit(").")))
+        .otherwise(F.concat(F.lit(K.AI_FAILED), F.substring(message, 1, 240)))
     )
 
 
@@ -98,6 +98,24 @@ def rendered(content: Column, sources: Column) -> Column:
     return F.transform(pieces, piece)
 
 
+def ordered_sources(content: Column, sources: Column) -> Column:
+    """Sources of an answer, each once by label, document and page: first those that the text names, in its order, by a
+    label that holds its brackets; then the rest as they were ranked."""
+    named = F.transform(F.regexp_extract_all(content, F.lit(r"\[S\d+\]"), F.lit(0)), lambda m: F.try_element_at(F.filter(sources, lambda s: s["label"] == m), F.lit(1)))
+    both = F.concat(F.filter(named, lambda s: s.isNotNull()), sources)
+
+    def key(s):
+        return F.concat_ws("-", s["label"], s["document_id"].cast("string"), s["page_number"].cast("string"))
+
+    return T.let(F.transform(both, key), lambda keys: F.filter(both, lambda s, i: F.array_position(keys, key(s)) == i + 1))
+
+
+def visible_sources(content: Column, sources: Column) -> Column:
+    """Those of the ordered sources that are shown at once: as many as the text cites, one at least, two at most."""
+    cited = F.size(F.filter(sources, lambda s: content.contains(F.concat(F.lit("["), s["label"], F.lit("]")))))
+    return F.slice(sources, F.lit(1), F.least(F.lit(2), F.greatest(cited, F.lit(1))))
+
+
 def _blocks(hits: Column) -> Column:
     return F.array_join(F.transform(hits, lambda h, i: F.concat(F.lit("[S"), (i + 1).cast("string"), F.lit("] Source: "), h["file_name"], F.lit(", Page "), h["page_number"].cast("string"), F.lit('\n"""\n'), h["text"], F.lit('\n"""'))), "\n\n")
 
@@ -117,22 +135,26 @@ def answer_prompt(hits: Column, turns: Column, question: Column) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("CONTEXT\n"), context_blocks(hits)), F.concat(F.lit("HISTORY (for reference only, not a source of facts)\n"), history_block(turns)), F.concat(F.lit("QUESTION\n"), question), F.lit("Use nothing but the context to answer."))
 
 
-def budgeted_source(pages: Column, budget: int) -> Column:
-    """struct<text, omitted>: page blocks in order while they fit; one that doesn't is left out, later ones may fit.
+def page_block(number: Column, text: Column) -> Column:
+    """A page as a prompt shows it."""
+    return F.concat(F.lit("--- Page "), number.cast("string"), F.lit(" ---\n"), T.trimmed(text), F.lit("\n"))
+
 
-    pages: array<struct<page_number, text>> in order of page."""
-    start = F.struct(F.array().cast("array<string>").alias("blocks"), F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("omitted"))
+def budgeted(sizes: Column, budget: int) -> Column:
+    """struct<taken, omitted> of page numbers: pages in order while they fit; one that doesn't is left out, later ones
+    may fit. sizes: array<struct<page_number, n>> in order of page."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(none.alias("taken"), F.lit(0).cast("long").alias("used"), none.alias("omitted"))
 
     def step(acc, p):
-        block = F.concat(F.lit("--- Page "), p["page_number"].cast("string"), F.lit(" ---\n"), T.trimmed(p["text"]), F.lit("\n"))
-        over = acc["used"] + F.length(block) > budget
+        over, own = acc["used"] + p["n"] > budget, F.array(p["page_number"].cast("bigint"))
         return F.struct(
-            F.when(over, acc["blocks"]).otherwise(F.concat(acc["blocks"], F.array(block))).alias("blocks"),
-            F.when(over, acc["used"]).otherwise(acc["used"] + F.length(block)).alias("used"),
-            F.when(over, F.concat(acc["omitted"], F.array(p["page_number"].cast("bigint")))).otherwise(acc["omitted"]).alias("omitted"),
+            F.when(over, acc["taken"]).otherwise(F.concat(acc["taken"], own)).alias("taken"),
+            F.when(over, acc["used"]).otherwise(acc["used"] + p["n"]).alias("used"),
+            F.when(over, F.concat(acc["omitted"], own)).otherwise(acc["omitted"]).alias("omitted"),
         )
 
-    return F.aggregate(pages, start, step, lambda acc: F.struct(F.array_join(acc["blocks"], "\n").alias("text"), acc["omitted"].alias("omitted")))
+    return F.aggregate(sizes, start, step, lambda acc: F.struct(acc["taken"].alias("taken"), acc["omitted"].alias("omitted")))
 
 
 def omitted_note(omitted: Column, label: str = "") -> Column:

@@ -9,11 +9,6 @@ from ..functions import constants as K
 from ..functions import guards as G
 from ..functions import text as T
 
-NO_OBJECT = "The model did not return a structured comparison."
-MALFORMED = "The model returned malformed comparison JSON."
-NO_ROWS = "The comparison response was missing its rows."
-NO_USABLE = "The comparison response contained no usable rows."
-
 
 def comparison_rows(responses: DataFrame) -> DataFrame:
     """(id, position, category, a, b, error) from (id, raw): four rows in fixed order for each response that can be
@@ -28,7 +23,7 @@ def comparison_rows(responses: DataFrame) -> DataFrame:
     parsed = F.try_parse_json(cut)
     rows = F.expr("try_variant_get(parsed, '$.rows', 'array<variant>')")
     known = responses.select("id", cut.alias("cut"), parsed.alias("parsed")).withColumn("rows", rows)
-    problem = F.when(F.length("cut") == 0, NO_OBJECT).when(F.col("parsed").isNull(), MALFORMED).when(F.col("rows").isNull(), NO_ROWS)
+    problem = F.when(F.length("cut") == 0, K.NO_OBJECT).when(F.col("parsed").isNull(), K.MALFORMED).when(F.col("rows").isNull(), K.NO_ROWS)
     known = known.withColumn("error", problem)
 
     def text(name):
@@ -47,7 +42,7 @@ def comparison_rows(responses: DataFrame) -> DataFrame:
         return F.when(F.coalesce(F.col(f"cell.{name}"), F.lit("")) == "", K.NOT_SPECIFIED).otherwise(F.col(f"cell.{name}")).alias(name)
 
     good = having.crossJoin(F.broadcast(table)).join(usable, ["id", "key"], "left").select("id", "position", "category", cell("a"), cell("b"), F.lit(None).cast("string").alias("error"))
-    bad = known.join(having, "id", "left_anti").select("id", F.lit(None).cast("int").alias("position"), *[F.lit(None).cast("string").alias(c) for c in ("category", "a", "b")], F.coalesce("error", F.lit(NO_USABLE)).alias("error"))
+    bad = known.join(having, "id", "left_anti").select("id", F.lit(None).cast("int").alias("position"), *[F.lit(None).cast("string").alias(c) for c in ("category", "a", "b")], F.coalesce("error", F.lit(K.NO_USABLE)).alias("error"))
     return good.unionByName(bad)
 
 

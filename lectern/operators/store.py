@@ -16,6 +16,12 @@ def list_documents(documents: DataFrame, user_id) -> DataFrame:
     return documents.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("document_id"))
 
 
+def document_lists(documents: DataFrame) -> DataFrame:
+    """Every owner's documents with their place in that owner's list, the newest first."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("document_id"))
+    return documents.withColumn("place", F.row_number().over(order))
+
+
 def ready_documents(documents: DataFrame, user_id) -> DataFrame:
     return documents.where((F.col("user_id") == user_id) & (F.col("status") == "ready"))
 
@@ -25,6 +31,12 @@ def in_order(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return ids.join(rows, key).orderBy("place")
 
 
+def asked_pages(requests: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pages that requests (request_id, user_id, document_id, page_number) ask for, of documents that the user owns."""
+    own = requests.join(documents.select("user_id", "document_id"), ["user_id", "document_id"], "left_semi")
+    return own.join(pages, ["document_id", "page_number"]).select("request_id", "document_id", "page_number", "text")
+
+
 def page(pages: DataFrame, documents: DataFrame, user_id, document_id, page_number) -> DataFrame:
     own = documents.where((F.col("user_id") == user_id) & (F.col("document_id") == document_id)).select("document_id")
     return pages.where((F.col("document_id") == document_id) & (F.col("page_number") == page_number)).join(own, "document_id", "left_semi").limit(1)
@@ -107,6 +119,44 @@ def set_conversation_documents(conversations: DataFrame, changes: DataFrame) ->
     return conversations.join(latest, "user_id", "left").select("user_id", F.coalesce("new", "document_ids").alias("document_ids"))
 
 
+def current_conversation(conversations: DataFrame, user_id) -> DataFrame:
+    """A user's conversation: (conversation_id, user_id, document_ids), the first one made."""
+    return conversations.where(F.col("user_id") == user_id).orderBy("conversation_id").limit(1)
+
+
+def conversation_for_action(conversations: DataFrame, conversation_id) -> DataFrame:
+    """A conversation by its id, whoever owns it: for jobs that have checked that already."""
+    return conversations.where(F.col("conversation_id") == conversation_id)
+
+
+def append_assistant(messages: DataFrame, said: DataFrame) -> DataFrame:
+    """messages with what the assistant said (conversation_id, created_at, content, sources); no sources rather than none of them."""
+    rows = said.withColumn("role", F.lit("assistant")).withColumn("sources", F.when(F.size("sources") > 0, F.col("sources")))
+    return messages.unionByName(rows.select(*[c for c in messages.columns if c in rows.columns]), allowMissingColumns=True)
+
+
+def remember_documents(conversations: DataFrame, changes: DataFrame) -> DataFrame:
+    """conversations(conversation_id, user_id, document_ids) with the documents of the latest change (conversation_id,
+    user_id, document_ids, changed_at) that its owner made; a change by anyone else does nothing."""
+    latest = changes.groupBy("conversation_id", "user_id").agg(F.max_by("document_ids", "changed_at").alias("new"))
+    return conversations.join(latest, ["conversation_id", "user_id"], "left").select("conversation_id", "user_id", F.coalesce("new", "document_ids").alias("document_ids"))
+
+
+def processing_counts(documents: DataFrame, selected: DataFrame) -> DataFrame:
+    """(user_id, processing): how many of a user's selected documents (user_id, document_id) are still being read."""
+    own = selected.distinct().join(documents.where("status = 'processing'").select("user_id", "document_id"), ["user_id", "document_id"], "left_semi")
+    counts = own.groupBy("user_id").agg(F.count("*").alias("processing"))
+    return selected.select("user_id").distinct().join(counts, "user_id", "left").select("user_id", F.coalesce("processing", F.lit(0)).alias("processing"))
+
+
+def focused_documents(documents: DataFrame, focus: DataFrame) -> DataFrame:
+    """(user_id, document_id): the document that each user looks at (user_id, document_id) while it exists, else the newest
+    one of theirs, or null."""
+    newest = documents.groupBy("user_id").agg(F.max_by("document_id", F.struct("created_at", "document_id")).alias("newest"))
+    kept = documents.select("user_id", F.col("document_id").alias("kept")).join(focus, "user_id").where("kept = document_id").select("user_id", "kept").distinct()
+    return focus.select("user_id").distinct().join(kept, "user_id", "left").join(newest, "user_id", "left").select("user_id", F.coalesce("kept", "newest").alias("document_id"))
+
+
 def clear_conversations(messages: DataFrame, cleared: DataFrame) -> DataFrame:
     return messages.join(cleared.select("conversation_id"), "conversation_id", "left_anti")
 

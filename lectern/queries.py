@@ -19,7 +19,7 @@ from .operators.headings import heading_scores as _heading_scores
 from .operators.headings import passage_traits
 from .operators.passages import passages
 from .operators.vectors import array_topk, cosine_pool, sparse_vectors
-from .plans.ask import ask
+from .plans.ask import ask, source_texts
 from .plans.search import search
 from .sources import pages as P
 from .sources import tables as S
@@ -278,7 +278,7 @@ def chunk_pages(spark, sf):
 @registered(
     f"""WITH p AS (SELECT doc_id, {Q.clean_page('text')} AS c, length(text) AS n FROM documents)
 SELECT doc_id AS document_id, CASE WHEN e IS NULL THEN 'ready' ELSE 'failed' END AS status, e AS error, CASE WHEN e IS NULL THEN CAST(1 AS BIGINT) END AS page_count
-FROM (SELECT *, CASE WHEN n = 0 THEN 'No extractable text was found in this PDF.' WHEN n > {K.DOCUMENT_CHARS} THEN 'This document exceeds the processing limit.' WHEN length(c) < {K.PASSAGE_SHORTEST} THEN 'No usable passages were found in this PDF.' END AS e FROM p)"""
+FROM (SELECT *, CASE WHEN n = 0 THEN '{K.NO_TEXT}' WHEN n > {K.DOCUMENT_CHARS} THEN '{K.TOO_LONG}' WHEN length(c) < {K.PASSAGE_SHORTEST} THEN '{K.NO_PASSAGES}' END AS e FROM p)"""
 )
 def ingest_status(spark, sf):
     pages = S.pages(spark, sf)
@@ -286,8 +286,8 @@ def ingest_status(spark, sf):
 
 
 @registered(
-    """SELECT doc_id AS document_id, CASE WHEN doc_id % 4 = 0 THEN '"f' || doc_id || '.txt" is not a PDF. Only PDF files are supported.' WHEN doc_id % 5 = 0 THEN '"f' || doc_id || '.pdf" is empty (0 bytes).'
-  WHEN n_chars * 4000 > 15728640 THEN '"f' || doc_id || '.pdf" is ' || printf('%.1f', n_chars * 4000 / 1048576.0) || ' MB. The maximum upload size is 15 MB.' END AS error FROM documents"""
+    f"""SELECT doc_id AS document_id, CASE WHEN doc_id % 4 = 0 THEN '"f' || doc_id || '.txt"{K.NOT_PDF}' WHEN doc_id % 5 = 0 THEN '"f' || doc_id || '.pdf"{K.EMPTY_FILE}'
+  WHEN n_chars * 4000 > {K.FILE_BYTES} THEN '"f' || doc_id || '.pdf" is ' || printf('%.1f', n_chars * 4000 / 1048576.0) || '{K.LARGE_FILE}' END AS error FROM documents"""
 )
 def file_checks(spark, sf):
     docs = S.read(spark, sf, "documents")
@@ -301,24 +301,43 @@ def file_checks(spark, sf):
 _STATUS = "CASE WHEN doc_id % 20 = 9 THEN 'failed' WHEN doc_id % 10 = 9 THEN 'processing' ELSE 'ready' END"
 
 
-@registered(f"SELECT doc_id AS document_id, 'doc' || doc_id || '.pdf' AS file_name, CASE {_STATUS} WHEN 'ready' THEN 'Ready' WHEN 'processing' THEN 'Indexing' ELSE 'Failed' END AS label FROM documents WHERE source = 'src3' ORDER BY doc_id DESC")
+@registered(f"SELECT source AS user_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS INTEGER) AS place, doc_id AS document_id, 'doc' || doc_id || '.pdf' AS file_name, CASE {_STATUS} WHEN 'ready' THEN 'Ready' WHEN 'processing' THEN 'Indexing' ELSE 'Failed' END AS label FROM documents")
 def list_documents(spark, sf):
-    return O.list_documents(S.documents(spark, sf), "src3").select("document_id", "file_name", O.status_label(F.col("status")).alias("label"))
+    """Every owner's list of documents."""
+    return O.document_lists(S.documents(spark, sf)).select("user_id", "place", "document_id", "file_name", O.status_label(F.col("status")).alias("label"))
 
 
-@registered("SELECT doc_id AS document_id, CAST(1 AS BIGINT) AS page_number, text FROM documents WHERE doc_id = 7 AND source = (SELECT source FROM documents WHERE doc_id = 7)")
+@registered("SELECT doc_id AS request_id, doc_id AS document_id, CAST(1 AS BIGINT) AS page_number, text FROM documents WHERE doc_id % 3 <> 1")
 def get_page(spark, sf):
-    documents = S.documents(spark, sf)
-    owner = documents.where("document_id = 7").select("user_id")
-    own = documents.join(owner, "user_id", "left_semi").where("document_id = 7").select("document_id")
-    return S.pages(spark, sf).where("page_number = 1").join(own, "document_id", "left_semi")
+    """A page of every document, asked for by its owner, or by somebody else for each third one, who gets nothing; and a
+    page that no document has."""
+    docs = S.documents(spark, sf)
+    user = F.when(F.col("document_id") % 3 == 1, F.concat(F.lit("not "), F.col("user_id"))).otherwise(F.col("user_id"))
+    requests = docs.select(F.col("document_id").alias("request_id"), user.alias("user_id"), "document_id", F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("page_number"))
+    return O.asked_pages(requests, S.pages(spark, sf), docs)
 
 
-@registered(f"SELECT doc_id AS document_id FROM documents WHERE {_STATUS} = 'ready' AND NOT (doc_id % 6 = 1 AND doc_id % 6 <> 0)")
+@registered(f"SELECT doc_id AS document_id FROM documents WHERE {_STATUS} = 'ready' AND (doc_id % 6 = 0 OR (doc_id % 6 NOT IN (1, 2)))")
 def scope_filter(spark, sf):
+    """Selected: ids that six divides. Known and not selected: those with remainder 2; deselected: remainder 1."""
+    docs = S.documents(spark, sf)
+    selected = docs.where("document_id % 6 = 0")
+    return O.search_scope(docs, selected, selected.unionByName(docs.where("document_id % 6 = 2")), docs.where("document_id % 6 = 1")).select("document_id")
+
+
+@registered(f"SELECT source AS user_id, count(*) FILTER ({_STATUS} = 'processing' AND doc_id % 2 = 1) AS processing FROM documents WHERE doc_id % 2 = 1 GROUP BY source")
+def processing_counts(spark, sf):
+    docs = S.documents(spark, sf)
+    return O.processing_counts(docs, docs.where("document_id % 2 = 1").select("user_id", "document_id"))
+
+
+@registered("SELECT source AS user_id, CASE WHEN min(doc_id) % 2 = 0 THEN min(doc_id) ELSE nullif(max(doc_id), min(doc_id)) END AS document_id FROM documents GROUP BY source")
+def focused_documents(spark, sf):
+    """Every owner looks at their first document; where its id is odd, it has been removed meanwhile."""
     docs = S.documents(spark, sf)
-    none = docs.where("document_id % 6 = 0")
-    return O.search_scope(docs, none, none, docs.where("document_id % 6 = 1")).select("document_id")
+    first = docs.groupBy("user_id").agg(F.min("document_id").alias("document_id"))
+    kept = O.without_documents(docs, first.where("document_id % 2 = 1"))
+    return O.focused_documents(kept, first)
 
 
 @registered("SELECT count(*) AS left_over, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE doc_id % 3 <> 0")
@@ -421,9 +440,9 @@ SELECT source, used + greatest(len(string_split(trim(took), ' ')) - 1, 0) AS cha
 )
 def source_text_budget(spark, sf):
     """The pages that fit a comparison prompt, taking each owner's documents as the pages of one."""
-    pages = S.corpus(spark, sf).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("page_number"), "text"))).alias("pages"))
-    made = pages.select("scope", G.budgeted_source(F.col("pages"), K.COMPARISON_CHARS).alias("s"))
-    return made.select(F.col("scope").alias("source"), F.length("s.text").cast("long").alias("chars"), F.array_join(F.transform("s.omitted", lambda x: x.cast("string")), " ").alias("omitted"))
+    pages = S.corpus(spark, sf).select(F.col("scope").alias("document_id"), F.col("ordinal").alias("page_number"), "text")
+    made = source_texts(pages, K.COMPARISON_CHARS).select(F.col("document_id").alias("source"), F.col("source").alias("s"))
+    return made.select("source", F.length("s.text").cast("long").alias("chars"), F.array_join(F.transform("s.omitted", lambda x: x.cast("string")), " ").alias("omitted"))
 
 
 @registered(f"SELECT conv_id, turn, regexp_replace(text, '(?i)(' || ws || ')', '<mark>\\1</mark>', 'g') AS shown FROM (SELECT conv_id, turn, text, array_to_string(list_filter({Q.words('substr(text, 1, 40)')}, lambda w: length(w) > 2), '|') AS ws FROM conversations) WHERE ws <> ''")
@@ -455,13 +474,13 @@ def _responses(spark, sf):
 @registered(
     f"""WITH c AS (SELECT unnest(['{"', '".join(K.CATEGORIES)}']) AS category, unnest(range(0, 4)) AS position)
 SELECT item_id AS id, CAST(position AS INTEGER) AS position, category, CASE position WHEN 0 THEN 'cell ' || item_id WHEN 1 THEN 'y' ELSE '{K.NOT_SPECIFIED}' END AS a, CASE position WHEN 1 THEN 'new' ELSE '{K.NOT_SPECIFIED}' END AS b, CAST(NULL AS VARCHAR) AS error FROM benchmark, c WHERE item_id % 4 < 2
-UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, CASE item_id % 4 WHEN 2 THEN 'The comparison response was missing its rows.' ELSE 'The model did not return a structured comparison.' END FROM benchmark WHERE item_id % 4 >= 2"""
+UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, CASE item_id % 4 WHEN 2 THEN '{K.NO_ROWS}' ELSE '{K.NO_OBJECT}' END FROM benchmark WHERE item_id % 4 >= 2"""
 )
 def comparison_table(spark, sf):
     return comparison_rows(_responses(spark, sf))
 
 
-@registered("SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'The AI request timed out. Please try again.' WHEN 1 THEN 'The AI service is rate limited right now. Please try again shortly.' WHEN 2 THEN 'The configured AI model is unavailable (The AI model returned an empty response.).' WHEN 3 THEN 'The configured AI model is unavailable (status 404).' ELSE 'AI request failed: odd' END AS message FROM conversations")
+@registered(f"SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '{K.TIMED_OUT}' WHEN 1 THEN '{K.RATE_LIMITED}' WHEN 2 THEN '{K.UNAVAILABLE}{K.EMPTY_RESPONSE}).' WHEN 3 THEN '{K.UNAVAILABLE}status 404).' ELSE '{K.AI_FAILED}odd' END AS message FROM conversations")
 def failure_messages(spark, sf):
     raw = F.element_at(F.array(*[F.lit(x) for x in ("Request Timed OUT", "HTTP 429", " ", "status 404", "odd")]), (F.col("turn") % 5 + 1).cast("int"))
     return S.read(spark, sf, "conversations").select("conv_id", "turn", G.failure_message(raw).alias("message"))

@@ -103,6 +103,43 @@ def test_summarize_and_compare(spark, tables):
     assert [(r.a, r.b) for r in rows if r.category == "Technologies"] == [("sonar (p. 2)", "sonar")] and len(rows) == 4
 
 
+def test_each_prompt_is_completed_once(spark, tables, tmp_path):
+    documents, pages, made = tables
+
+    def counted(name, answer):
+        def model(system, prompt):
+            with open(f"{tmp_path}/{name}", "a") as f:
+                f.write("x")
+            return answer() if callable(answer) else answer
+
+        return model
+
+    def times(name):
+        return len(open(f"{tmp_path}/{name}").read())
+
+    def refuse(words):
+        def fail():
+            raise RuntimeError(words)
+
+        return fail
+
+    pairs = spark.createDataFrame([("x", 1, 2)], "id string, document_a long, document_b long")
+    assert compare(pairs, documents, pages, counted("compare", '{"rows": [{"category": "Technologies", "a": "q", "b": "r"}]}')).count() == 4 and times("compare") == 1
+    requests = spark.createDataFrame([(1, "ann", [1], 7, "What are the limitations of the sonar arrays?")], "query_id long, user_id string, document_ids array<long>, conversation_id long, query string")
+    history = spark.createDataFrame([], "conversation_id long, place int, role string, content string")
+
+    def asked(*attempts):
+        return ask(requests, documents, made, history, attempts or None).first()
+
+    assert asked(counted("a", " \n "), counted("b", " Storms. ")).answer == "Storms." and (times("a"), times("b")) == (1, 1)
+    for k, words in enumerate(("bad API_KEY", "Unauthorised", "403", "apikey", "FORBIDDEN")):
+        assert asked(counted(f"c{k}", refuse(words)), counted("never", "no")).code == "ai_failed" and times(f"c{k}") == 1
+    assert asked(counted("d", refuse("odd")), counted("e", "Fine.")).answer == "Fine."
+    assert asked().code == "ai_not_configured"
+    nobody = requests.selectExpr("query_id", "cast(null as string) as user_id", "document_ids", "conversation_id", "query")
+    assert ask(nobody, documents, made, history, None).first().code == "unauthenticated"
+
+
 def test_store(spark, tables):
     documents, pages, _ = tables
     assert [r.document_id for r in O.list_documents(documents, "ann").collect()] == [4, 3, 1]
@@ -117,6 +154,15 @@ def test_store(spark, tables):
     talks = spark.createDataFrame([("ann", ["1"])], "user_id string, document_ids array<string>")
     changed = O.set_conversation_documents(talks, spark.createDataFrame([("ann", ["2"], 1), ("ann", ["3"], 2)], "user_id string, document_ids array<string>, changed_at long"))
     assert changed.first().document_ids == ["3"]
+    talk = spark.createDataFrame([(1, "ann", ["1"]), (2, "bob", ["2"]), (3, "ann", ["9"])], "conversation_id long, user_id string, document_ids array<string>")
+    assert [r.conversation_id for r in O.current_conversation(talk, "ann").collect()] == [1] and O.conversation_for_action(talk, 2).first().user_id == "bob"
+    asked = spark.createDataFrame([(1, "ann", ["5"], 1), (1, "bob", ["6"], 2), (2, "bob", ["7"], 1)], "conversation_id long, user_id string, document_ids array<string>, changed_at long")
+    assert {r.conversation_id: r.document_ids for r in O.remember_documents(talk, asked).collect()} == {1: ["5"], 2: ["7"], 3: ["9"]}
+    old = spark.createDataFrame([(1, 1, "user", "q", None)], "conversation_id long, created_at long, role string, content string, sources array<string>")
+    new = spark.createDataFrame([(1, 2, "yes", ["S1"]), (1, 3, "no", [])], "conversation_id long, created_at long, content string, sources array<string>")
+    assert {(r.created_at, r.role, tuple(r.sources or ("none",))) for r in O.append_assistant(old, new).collect()} == {(1, "user", ("none",)), (2, "assistant", ("S1",)), (3, "assistant", ("none",))}
+    assert O.clear_conversations(old, talk.where("conversation_id = 1")).count() == 0 and O.pages_of(pages, 1).count() == 6
+    assert O.current_user(spark.createDataFrame([("ann",), ("bob",)], "user_id string"), "bob").count() == 1 and O.ready_documents(documents, "ann").count() == 2
     assert O.new_message(spark.createDataFrame([(" hi ",), ("  ",), ("x" * 2001,)], "content string")).collect() == [("hi",)]
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from lectern.functions import constants as K
 from lectern.functions import guards as G
 from lectern.functions import text as T
-from lectern.operators.comparison import MALFORMED, NO_OBJECT, NO_ROWS, NO_USABLE, comparison_rows
+from lectern.functions.constants import MALFORMED, NO_OBJECT, NO_ROWS, NO_USABLE
+from lectern.operators.comparison import comparison_rows
 from lectern.operators.passages import overlap, passages, split_sentences
 from lectern.operators.store import file_size_label
-from lectern.sources.pages import ingest_status, numbered_pages, pages_from_runs, read_error
+from lectern.plans.ask import source_texts
+from lectern.sources.pages import checked_files, ingest_status, numbered_pages, pages_from_runs, read_error, write_pages, write_passages
 
 
 def of(spark, expression, value, kind="string"):
@@ -77,9 +79,39 @@ def test_guards(spark):
 
 
 def test_budget_skips_what_does_not_fit(spark):
-    pages = spark.createDataFrame([([(1, "a" * 10), (2, "b" * 100), (3, "c" * 10)],)], "p array<struct<page_number:long,text:string>>")
-    got = pages.select(G.budgeted_source(F.col("p"), 60).alias("s")).first().s
-    assert list(got.omitted) == [2] and got.text == f"--- Page 1 ---\n{'a' * 10}\n\n--- Page 3 ---\n{'c' * 10}\n"
+    pages = spark.createDataFrame([(1, 1, "a" * 10), (1, 3, "c" * 10), (1, 2, "b" * 100), (2, 1, "d" * 99)], "document_id long, page_number long, text string")
+    got = {r.document_id: r.source for r in source_texts(pages, 60).collect()}
+    assert list(got[1].omitted) == [2] and got[1].text == f"--- Page 1 ---\n{'a' * 10}\n\n--- Page 3 ---\n{'c' * 10}\n"
+    assert list(got[2].omitted) == [1] and got[2].text == ""
+
+
+def test_sources_are_ordered_once_each(spark):
+    rows = [("x [S2] y [S1] [S2]", [("[S1]", 1, 1), ("[S2]", 1, 2), ("[S1]", 1, 1), ("[S3]", 2, 1)]), ("cites [S2]", [("S1", 1, 1), ("S2", 1, 2), ("S2", 1, 2)]), ("", [("S1", 1, 1)]), ("none", [])]
+    df = spark.createDataFrame(rows, "c string, s array<struct<label:string,document_id:long,page_number:long>>").withColumn("o", G.ordered_sources(F.col("c"), F.col("s"))).withColumn("v", G.visible_sources(F.col("c"), F.col("o")))
+    got = [([x.label for x in r.o], [x.label for x in r.v]) for r in df.collect()]
+    assert got == [(["[S2]", "[S1]", "[S3]"], ["[S2]"]), (["S1", "S2"], ["S1"]), (["S1"], ["S1"]), ([], [])]
+
+
+def run(ordinal, said, x, y, size=10.0, width=5.0, ends=False, page=1):
+    return (1, page, ordinal, said, [1.0, 0.0, 0.0, size, x, y], None, width, ends)
+
+
+def test_text_of_runs(spark):
+    schema = "document_id long, page_number long, ordinal long, str string, transform array<double>, height double, width double, has_eol boolean"
+    cases = {
+        1: ([run(1, "Big", 0.0, 100.0), run(2, "gap", 7.0, 100.0), run(3, "near", 12.5, 100.0)], "Big gapnear"),
+        2: ([run(1, "a ", 0.0, 100.0), run(2, "b", 50.0, 100.0), run(3, " c", 90.0, 100.0)], "a b c"),
+        3: ([run(1, "one", 0.0, 100.0), run(2, "two", 0.0, 94.0), run(3, "three", 0.0, 60.0)], "one\ntwo\n\nthree"),
+        4: ([run(1, "", 0.0, 100.0), run(2, "late", 0.0, 10.0)], "late"),
+        5: ([run(1, "x", 0.0, 100.0, ends=True), run(2, "", 0.0, 100.0, ends=True), run(3, "y", 40.0, 100.0)], "x\ny"),
+        6: ([run(1, "x\n", 0.0, 100.0, ends=True), run(2, "y  z \n\n\n\nq", 0.0, 100.0)], "x\ny z\n\nq"),
+        7: ([(1, 7, 1, "small", None, 4.0, 5.0, None), (1, 7, 2, "tall", [1.0], None, None, None)], "smalltall"),
+        8: ([run(1, "a", 0.0, 100.0), run(2, "", 30.0, 100.0), run(3, "b", 60.0, 100.0)], "a b"),
+        9: ([run(1, "a\u00a0", 0.0, 100.0), run(2, "b", 60.0, 100.0), (1, 9, 3, None, [1.0, 0.0, 0.0, 10.0, 0.0, 50.0], None, 1.0, True), run(4, "c", 0.0, 50.0)], "a b\n\nc"),
+    }
+    rows = [(r[0], k, *r[2:]) for k, (runs, _) in cases.items() for r in reversed(runs)]
+    got = {r.page_number: r.text for r in pages_from_runs(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {k: text for k, (_, text) in cases.items()}
 
 
 def test_comparison_errors(spark):
@@ -118,4 +150,17 @@ def test_pages(spark):
     schema = "document_id long, page_number long, ordinal long, str string, transform array<double>, width double, height double, has_eol boolean"
     runs = [(1, 1, 3, "far", [1.0, 0.0, 0.0, 10.0, 0.0, 50.0], 5.0, None, False), (1, 1, 1, "Hello", [1.0, 0.0, 0.0, 10.0, 0.0, 100.0], 20.0, None, False), (1, 1, 2, "you", [1.0, 0.0, 0.0, 10.0, 25.0, 100.0], 5.0, None, True)]
     assert [r.text for r in pages_from_runs(spark.createDataFrame(runs, schema)).collect()] == ["Hello you\n\nfar"]
+    files = spark.createDataFrame([("/a/b.txt", 5, "application/pdf"), ("/a/b.txt", 5, None), (None, 1, None), ("x.PDF", 0, None)], "path string, length long, mime string")
+    assert [r.error and r.error[-5:] for r in checked_files(files).collect()] == [None, "rted.", "gain.", "tes)."]
+    assert of(spark, lambda c: read_error(F.lit("InvalidPDF"), c), "This has no pages") == "This has no pages"
     assert of(spark, lambda c: read_error(c, F.lit("")), "PasswordException").startswith("This PDF is password-protected")
+
+
+def test_stored_pages_are_not_repeated(spark, tmp_path):
+    first = spark.createDataFrame([(1, 1, "a" * 50), (1, 2, "b" * 500_000), (2, 1, "c" * 50)], "document_id long, page_number long, text string")
+    again = spark.createDataFrame([(1, 1, "new" * 20), (3, 1, "d" * 50)], "document_id long, page_number long, text string")
+    for pages in (first, first, again):
+        write_pages(pages, f"{tmp_path}/pages")
+        write_passages(passages(pages), f"{tmp_path}/passages")
+    kept = {(r.document_id, r.page_number): len(r.text) for r in spark.read.parquet(f"{tmp_path}/pages").collect()}
+    assert kept == {(1, 1): 60, (2, 1): 50, (3, 1): 50} and spark.read.parquet(f"{tmp_path}/passages").count() == 3

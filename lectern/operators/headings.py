@@ -9,16 +9,21 @@ from ..functions import constants as K
 from ..functions import text as T
 
 
-def passage_traits(corpus: DataFrame) -> DataFrame:
-    """What headings need to know of a passage, derived once: headings, their stems, words, tokens, list body, neighbours."""
-    headings = T.extract_headings(F.col("text"))
+def passage_traits(passages: DataFrame, keys: tuple[str, ...] = ("scope", "ordinal", "page_number")) -> DataFrame:
+    """What headings need to know of a passage, each derived for itself: (keys, headings, stems, raw_words, tokens, has_body)."""
+    text = F.col("text")
+    known = passages.select(*keys, T.extract_headings(text).alias("headings"), T.raw_words(text).alias("raw_words"), F.array_distinct(T.tokenize(text)).alias("tokens"), T.has_list_body(text).alias("has_body"))
+    return known.withColumn("stems", F.transform("headings", lambda h: F.transform(F.split(h, " "), lambda w: T.stem(F.lower(w)))))
+
+
+def run_ends(places: DataFrame) -> DataFrame:
+    """(scope, ordinal, end): the last passage of the run that each belongs to. A run is a stretch of passages with one
+    page number, across documents. Windows over numbers alone."""
     order = Window.partitionBy("scope").orderBy("ordinal")
-    known = corpus.select("scope", "ordinal", "page_number", headings.alias("headings"), T.raw_words(F.col("text")).alias("raw_words"), F.array_distinct(T.tokenize(F.col("text"))).alias("tokens"), T.has_list_body(F.col("text")).alias("has_body"))
-    stems = F.transform("headings", lambda h: F.transform(F.split(h, " "), lambda w: T.stem(F.lower(w))))
-    known = known.withColumn("stems", stems).withColumn("words_before", F.lag("raw_words").over(order))
-    moved = F.coalesce((F.col("page_number") != F.lag("page_number").over(order)).cast("int"), F.lit(0))
-    # A run is a stretch of passages with one page number, across documents: scores are carried within it.
-    return known.withColumn("moved", moved).withColumn("run", F.sum("moved").over(order)).drop("moved")
+    moved = places.select("scope", "ordinal", (F.col("page_number") != F.lag("page_number").over(order)).alias("moved"))
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    next_run = F.min(F.when(F.col("moved"), F.col("ordinal"))).over(after) - 1
+    return moved.select("scope", "ordinal", F.coalesce(next_run, F.max("ordinal").over(Window.partitionBy("scope"))).alias("end"))
 
 
 def _has_all(ws: Column, within: Column) -> Column:
@@ -48,14 +53,16 @@ def heading_scores(queries: DataFrame, traits: DataFrame) -> DataFrame:
     """(query_id, scope, ordinal, heading) for scores above 0; queries: (query_id, scope, query).
 
     Words are common or rare by how many headings hold them, which counts for numbers only: headings are compared in
-    capitals there and query words are not, and that is part of the definition. Passages reach a query through words
-    that its headings share with it, so others cost nothing; scores carry on to what follows on the same page.
+    capitals there and query words are not, and that is part of the definition. A passage has a score of its own only if
+    its headings share a word with the query, so no other is looked at; scores carry on to what follows in the run.
+
+    traits: as passage_traits() gives them, of all passages of a scope, numbered without gaps; read several times.
     """
     q = queries.select("query_id", "scope", F.array_distinct(T.tokenize(F.col("query"))).alias("distinct"), T.heading_terms(F.col("query")).alias("terms"))
     numbers = traits.select("scope", "ordinal", F.explode(F.array_distinct(F.flatten(F.transform("headings", lambda h: F.split(h, " "))))).alias("word")).where(F.col("word").rlike("^[0-9]+$"))
     held = numbers.groupBy("scope", "word").agg(F.count("*").alias("n"))
     sizes = traits.groupBy("scope").agg(F.count("*").alias("passages"))
-    seen = q.select("query_id", "scope", F.explode("distinct").alias("word")).join(held, ["scope", "word"]).join(sizes, "scope")
+    seen = q.select("query_id", "scope", F.explode("distinct").alias("word")).where(F.col("word").rlike("^[0-9]+$")).join(held, ["scope", "word"]).join(sizes, "scope")
     common = seen.groupBy("query_id").agg(
         F.collect_set(F.when(F.col("n") > F.greatest(F.lit(2.0), F.col("passages") * K.HEADING_COMMON), F.col("word"))).alias("common"),
         F.collect_set(F.when(F.col("n") > 1, F.col("word"))).alias("repeated"),
@@ -66,16 +73,19 @@ def heading_scores(queries: DataFrame, traits: DataFrame) -> DataFrame:
 
     reach = F.array_union("asked", F.flatten(F.transform("terms", lambda t: F.transform(F.split(t, " "), lambda w: T.stem(F.lower(w))))))
     wanted = q.select("query_id", "scope", F.explode(F.array_distinct(reach)).alias("word"))
-    offered = traits.select("scope", "run", F.explode(F.array_distinct(F.flatten("stems"))).alias("word")).distinct()
-    runs = wanted.join(offered, ["scope", "word"]).select("query_id", "scope", "run").distinct()
-    pairs = runs.join(q, ["query_id", "scope"]).join(traits, ["scope", "run"])
+    offered = traits.select("scope", "ordinal", F.explode(F.array_distinct(F.flatten("stems"))).alias("word"))
+    pairs = wanted.join(offered, ["scope", "word"]).select("query_id", "scope", "ordinal").distinct()
+    pairs = pairs.join(q, ["query_id", "scope"]).join(traits, ["scope", "ordinal"])
 
     covered = F.size(F.array_intersect("asked", "tokens")) / F.size("asked")
-    pairs = pairs.withColumn("coverage", F.when(F.size("asked") > 0, covered).otherwise(0.0)).withColumn("base", _affinity())
+    based = pairs.withColumn("coverage", F.when(F.size("asked") > 0, covered).otherwise(0.0)).withColumn("base", _affinity()).where("base > 0")
+    based = based.select("query_id", "scope", "ordinal", "terms", "base")
+    before = traits.select("scope", (F.col("ordinal") + 1).alias("ordinal"), F.col("raw_words").alias("words_before"))
+    based = based.join(before, ["scope", "ordinal"], "left")
     goes_on = F.col("words_before").isNotNull() & F.exists("terms", lambda t: _has_all(F.split(F.lower(t), " "), F.col("words_before")))
-    base = F.when((F.col("base") > 0) & (F.col("base") < 1) & goes_on, F.least(F.lit(1.0), F.col("base") * 1.15)).otherwise(F.col("base"))
-    up_to = Window.partitionBy("query_id", "run").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    known = pairs.select("query_id", "scope", "ordinal", "run", base.alias("base"))
-    last = F.last(F.when(F.col("base") > 0, F.struct("base", "ordinal")), ignorenulls=True).over(up_to)
-    carried = known.withColumn("last", last).where("last is not null")
-    return carried.select("query_id", "scope", "ordinal", F.round(F.col("last.base") * F.pow(F.lit(0.95), F.col("ordinal") - F.col("last.ordinal")), 9).alias("heading"))
+    base = F.when((F.col("base") < 1) & goes_on, F.least(F.lit(1.0), F.col("base") * 1.15)).otherwise(F.col("base"))
+    known = based.select("query_id", "scope", "ordinal", base.alias("base")).join(run_ends(traits), ["scope", "ordinal"])
+    # Each score lasts to the next one of its run, or to the run's end.
+    until = F.coalesce(F.lead("ordinal").over(Window.partitionBy("query_id", "scope", "end").orderBy("ordinal")) - 1, F.col("end"))
+    carried = known.withColumn("until", until).select("query_id", "scope", F.col("ordinal").alias("first"), "base", F.explode(F.sequence("ordinal", "until")).alias("ordinal"))
+    return carried.select("query_id", "scope", "ordinal", F.round(F.col("base") * F.pow(F.lit(0.95), F.col("ordinal") - F.col("first")), 9).alias("heading"))

@@ -14,6 +14,7 @@ from ..functions import guards as G
 from ..functions import text as T
 from ..operators.comparison import cleaned_cell, comparison_rows
 from ..sources.scratch import stored
+from .index import Index
 from .search import scoped, search
 
 #: (system, prompt) -> answer. It runs on executors; an exception is a failed completion.
@@ -65,7 +66,7 @@ def _failed(answer, failure):
     return F.when(answer.isNull(), F.when(none, NOT_CONFIGURED).otherwise("ai_failed")), F.when(answer.isNull(), F.when(none, "No AI model is configured.").otherwise(G.failure_message(failure)))
 
 
-def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame, history: DataFrame, completer: Completer | Sequence[Completer] | None) -> DataFrame:
+def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame | Index, history: DataFrame, completer: Completer | Sequence[Completer] | None) -> DataFrame:
     """(query_id, code, answer, sources, not_found) for requests (query_id, user_id, document_ids, conversation_id, query).
 
     history: (conversation_id, place, role, content). Requests that can't be answered have a code: unauthenticated,
@@ -80,7 +81,8 @@ def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame, history:
     code = F.when(F.col("user_id").isNull(), "unauthenticated").when(~F.length("query").between(2, K.ASK_CHARS), "invalid").when(F.coalesce("ready", F.lit(0)) == 0, "no_documents")
     checked = stored(checked.join(had, "query_id", "left").withColumn("code", code), "checked")
     good = checked.where("code is null")
-    hits = search(*scoped(good, documents, passages), K.HITS)
+    queries, places = scoped(good, documents, passages.passages if isinstance(passages, Index) else passages)
+    hits = search(queries, places, passages, K.HITS)
     source = F.struct(F.concat(F.lit("S"), F.col("rank").cast("string")).alias("label"), "document_id", "file_name", "page_number", "snippet", "score")
     by_query = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_name", "page_number", "text"))).alias("hits"), F.transform(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))), lambda x: x["s"]).alias("sources"))
     by_query = stored(by_query, "hits")

@@ -18,11 +18,13 @@ from .operators.fusion import best, fuse
 from .operators.headings import heading_scores as _heading_scores
 from .operators.headings import passage_traits
 from .operators.passages import passages
-from .operators.vectors import array_topk, cosine_pool, sparse_vectors
+from .operators.vectors import array_topk, cosine_pool, sparse_vectors, topical_words
 from .plans.ask import ask, source_texts
-from .plans.search import search
+from .plans.index import indexed
+from .plans.search import retrieve, scoped, search
 from .sources import pages as P
 from .sources import tables as S
+from .sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,8 +159,8 @@ def embed_sparse(spark, sf):
 )
 def cosine_topk(spark, sf):
     tokens = T.tokenize(F.col("query"))
-    asked = S.questions(spark, sf).select("query_id", "scope", T.expanded_text(F.col("query"), T.added_tokens(tokens)).alias("text"))
-    pool = cosine_pool(sparse_vectors(asked, ("query_id", "scope")), sparse_vectors(S.corpus(spark, sf), ("scope", "ordinal")))
+    asked = S.questions(spark, sf).select("query_id", "scope", topical_words(T.expanded_text(F.col("query"), T.added_tokens(tokens))).alias("words"))
+    pool = cosine_pool(asked, S.corpus(spark, sf).withColumn("words", topical_words(F.col("text"))))
     top = best(pool.withColumnRenamed("cosine", "score"), 10)
     return top.select("query_id", "rank", F.col("ordinal").cast("long").alias("ordinal"), F.round("score", 6).alias("cosine"))
 
@@ -202,42 +204,57 @@ def heading_scores(spark, sf):
     headed = corpus.select("scope", "document_id", T.extract_headings(F.col("text")).alias("h")).where(F.size("h") > 0)
     first = headed.groupBy("scope").agg(F.min("document_id").alias("query_id"), F.min_by(F.col("h")[0], "document_id").alias("h"))
     asked = first.select("query_id", "scope", F.concat(F.lit("What does "), F.col("h"), F.lit(" say?")).alias("query"))
-    scores = _heading_scores(asked, passage_traits(corpus))
+    scores = _heading_scores(asked, stored(passage_traits(corpus), "traits"))
     return scores.select("query_id", "scope", F.col("ordinal").cast("long").alias("ordinal"), F.round("heading", 6).alias("heading"))
 
 
 # Fusion and search
 
 
-@registered("WITH " + Q.RETRIEVAL + "\nSELECT query_id, CAST(rank AS INTEGER) AS rank, ordinal, round(score, 6) AS score FROM best")
+@registered("WITH " + Q.retrieval(Q.CORPUS) + "\nSELECT query_id, CAST(rank AS INTEGER) AS rank, ordinal, round(score, 6) AS score FROM best")
 def rrf_fusion(spark, sf):
     corpus, questions = S.corpus(spark, sf), S.questions(spark, sf)
     post = L.postings(corpus)
     lexical = L.lexical_scores(questions, post, L.lengths(corpus)).withColumnRenamed("score", "lexical")
-    asked = questions.select("query_id", "scope", T.expanded_text(F.col("query"), T.added_tokens(T.tokenize(F.col("query")))).alias("text"))
-    vector = cosine_pool(sparse_vectors(asked, ("query_id", "scope")), sparse_vectors(corpus, ("scope", "ordinal"))).withColumnRenamed("cosine", "vector")
-    hits = best(fuse(lexical, vector, _heading_scores(questions, passage_traits(corpus))), K.SEARCH_HITS)
+    asked = questions.select("query_id", "scope", topical_words(T.expanded_text(F.col("query"), T.added_tokens(T.tokenize(F.col("query"))))).alias("words"))
+    vector = cosine_pool(asked, corpus.withColumn("words", topical_words(F.col("text")))).withColumnRenamed("cosine", "vector")
+    hits = best(fuse(lexical, vector, _heading_scores(questions, stored(passage_traits(corpus), "traits"))), K.SEARCH_HITS)
     return hits.select("query_id", "rank", F.col("ordinal").cast("long").alias("ordinal"), F.round("score", 6).alias("score"))
 
 
-_SHOWN = f"shown AS (SELECT b.*, c.doc_id, {Q.collapsed('c.text')} AS compact, e.tokens FROM best b JOIN corpus c USING (scope, ordinal) JOIN expanded e USING (query_id))"
+_SHOWN = f"shown AS (SELECT b.*, c.doc_id, c.page_number, {Q.collapsed('c.text')} AS compact, e.tokens FROM best b JOIN corpus c USING (scope, ordinal) JOIN expanded e USING (query_id))"
 
 
 @registered(
-    "WITH " + Q.RETRIEVAL + ",\n" + _SHOWN + f"\nSELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS document_id, CAST(1 AS BIGINT) AS page_number, 'doc' || doc_id || '.pdf' AS file_name, {Q.snippet('compact', 'tokens')} AS snippet, round(score, 6) AS score, round(vector, 4) AS vector_score, round(lexical, 4) AS lexical_score, round(heading, 4) AS heading_score FROM shown"
+    "WITH " + Q.retrieval(Q.SCOPED) + ",\n" + _SHOWN + f"\nSELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS document_id, page_number, 'doc' || doc_id || '.pdf' AS file_name, {Q.snippet('compact', 'tokens')} AS snippet, round(score, 6) AS score, round(vector, 4) AS vector_score, round(lexical, 4) AS lexical_score, round(heading, 4) AS heading_score FROM shown"
 )
 def hybrid_search(spark, sf):
-    """Every question over its owner's documents: ranked passages with their page, snippet and scores."""
-    return search(S.questions(spark, sf), S.corpus(spark, sf), K.SEARCH_HITS).drop("text")
+    """Every question over what its owner may see: ranked passages with their page, snippet and scores."""
+    passages = S.halves(spark, sf)
+    queries, places = scoped(S.questions(spark, sf), S.embedded_documents(spark, sf), passages, S.selection(spark, sf))
+    return search(queries, places, passages, K.SEARCH_HITS).drop("text")
+
+
+@registered(_with(Q.SCOPED, Q.QUESTIONS) + "SELECT query_id, coalesce(n, 0) AS candidate_count, coalesce(used, false) AS used_vector_search FROM questions LEFT JOIN (SELECT scope, count(*) AS n, bool_or(has_vector) AS used FROM corpus GROUP BY scope) USING (scope)")
+def retrieval_facts(spark, sf):
+    """How many passages each question was asked of, and whether vectors took part."""
+    passages = S.halves(spark, sf)
+    queries, places = scoped(S.questions(spark, sf), S.embedded_documents(spark, sf), passages, S.selection(spark, sf))
+    return retrieve(queries, places, indexed(passages), K.SEARCH_HITS).facts
 
 
 @registered(
-    _with(Q.CORPUS, Q.QUESTIONS, Q.ASKED)
-    + f"SELECT query_id, doc_id, {Q.snippet('compact', 'tokens')} AS snippet FROM (SELECT query_id, doc_id, {Q.collapsed('text')} AS compact, tokens FROM asked JOIN corpus USING (scope))"
+    _LEXICAL
+    + f", top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM lexical), found AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, {Q.collapsed('text')} AS compact, tokens FROM top JOIN corpus USING (scope, ordinal) JOIN (SELECT query_id, tokens FROM asked) USING (query_id) WHERE rank <= 10)"
+    + f" SELECT query_id, rank, doc_id, {Q.snippet('compact', 'tokens')} AS snippet FROM found"
 )
 def snippets(spark, sf):
-    asked = S.questions(spark, sf).select("query_id", "scope", T.tokenize(F.col("query")).alias("tokens"))
-    return asked.join(S.corpus(spark, sf), "scope").select("query_id", F.col("document_id").alias("doc_id"), T.snippet(F.col("text"), F.col("tokens")).alias("snippet"))
+    """What each question's ten best passages by words show of themselves: excerpts are made of hits alone."""
+    corpus, questions = S.corpus(spark, sf), S.questions(spark, sf)
+    top = best(L.lexical_scores(questions, L.postings(corpus), L.lengths(corpus)), 10)
+    asked = questions.select("query_id", T.tokenize(F.col("query")).alias("tokens"))
+    shown = top.join(corpus, ["scope", "ordinal"]).join(asked, "query_id")
+    return shown.select("query_id", "rank", F.col("document_id").alias("doc_id"), T.snippet(F.col("text"), F.col("tokens")).alias("snippet"))
 
 
 # Pages and passages
@@ -313,7 +330,7 @@ def get_page(spark, sf):
     page that no document has."""
     docs = S.documents(spark, sf)
     user = F.when(F.col("document_id") % 3 == 1, F.concat(F.lit("not "), F.col("user_id"))).otherwise(F.col("user_id"))
-    requests = docs.select(F.col("document_id").alias("request_id"), user.alias("user_id"), "document_id", F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("page_number"))
+    requests = docs.select(F.col("document_id").alias("request_id"), user.alias("user_id"), "document_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("page_number"))
     return O.asked_pages(requests, S.pages(spark, sf), docs)
 
 

@@ -24,10 +24,34 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """A passage for each document, in a scope for each owner."""
+    """A passage for each document, in a scope for each owner. Ids are numbered without their texts, which join them
+    afterwards: so an owner of many documents is no large task."""
     d = read(spark, folder, "documents")
     order = Window.partitionBy("source").orderBy("doc_id")
-    return d.select(F.col("source").alias("scope"), F.row_number().over(order).alias("ordinal"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit(1).cast("long").alias("page_number"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(True).alias("has_vector"), "text")
+    places = d.select("source", "doc_id").select(F.col("source").alias("scope"), F.row_number().over(order).alias("ordinal"), F.col("doc_id").alias("document_id"))
+    texts = d.select(F.col("doc_id").alias("document_id"), "text")
+    return places.join(texts, "document_id").select("scope", "ordinal", "document_id", F.lit(0).alias("chunk_index"), F.lit(1).cast("long").alias("page_number"), F.concat(F.lit("doc"), F.col("document_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(True).alias("has_vector"), "text")
+
+
+def halves(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages: the halves of each text, each on a page of its own."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    part = F.when(F.col("chunk_index") == 0, F.substring(F.col("t"), F.lit(1), F.col("half"))).otherwise(F.substring(F.col("t"), F.col("half") + 1, F.length("t")))
+    both = read(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), text.alias("t"), half.alias("half"), F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"))
+    return both.select("document_id", "chunk_index", (F.col("chunk_index") + 1).cast("long").alias("page_number"), part.alias("text"))
+
+
+def embedded_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, some of them with vectors of another embedder."""
+    return documents(spark, folder).withColumn("embedding_mode", F.when(F.col("document_id") % 7 == 3, "other-v1"))
+
+
+def selection(spark: SparkSession, folder: str) -> DataFrame:
+    """(scope, user_id, document_id, doc_pos): each owner selects all their documents, and the one after each, whose owner
+    may be another."""
+    own = read(spark, folder, "documents").select(F.col("source").alias("scope"), F.col("source").alias("user_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("doc_pos"))
+    return own.unionByName(own.select("scope", "user_id", (F.col("document_id") + 1).alias("document_id"), (F.col("doc_pos") + (1 << 40)).alias("doc_pos")))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

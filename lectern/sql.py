@@ -100,7 +100,11 @@ def snippet(text: str, ts: str) -> str:
 
 
 # Common table expressions for the test tables, in the order in which they build on one another.
-CORPUS = "corpus AS (SELECT source AS scope, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal, doc_id, text FROM documents)"
+CORPUS = "corpus AS (SELECT source AS scope, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal, doc_id, text, CAST(1 AS BIGINT) AS page_number, true AS has_vector FROM documents)"
+#: What owners see: ready documents, each in two halves on pages of their own; a seventh have vectors of another embedder.
+SCOPED = """corpus AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY doc_id, page_number) AS ordinal FROM (
+  SELECT source AS scope, doc_id, CAST(p AS BIGINT) AS page_number, doc_id % 7 <> 3 AS has_vector, CASE p WHEN 1 THEN substr(t, 1, length(t) // 2) ELSE substr(t, length(t) // 2 + 1) END AS text
+  FROM (SELECT *, coalesce(text, '') AS t, unnest([1, 2]) AS p FROM documents) WHERE doc_id % 10 <> 9))"""
 QUESTIONS = f"questions AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS scope, trim(substr(text, 1, {K.QUERY_CHARS})) AS query FROM benchmark)"
 POSTINGS = f"postings AS (SELECT scope, ordinal, token, count(*) AS tf FROM (SELECT scope, ordinal, unnest({tokens('text')}) AS token FROM corpus) GROUP BY ALL)"
 SIZED = "sized AS (SELECT scope, ordinal, coalesce(n, 0) AS length FROM corpus LEFT JOIN (SELECT scope, ordinal, sum(tf) AS n FROM postings GROUP BY ALL) USING (scope, ordinal))"
@@ -137,7 +141,8 @@ COSINE = f"""dots AS (SELECT q.query_id, q.scope, p.ordinal, round(sum(q.weight
 pool AS (SELECT query_id, scope, ordinal, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, ordinal) AS r FROM dots) WHERE r <= {K.VECTOR_POOL})"""
 
 _STEMMED = f"list_transform(string_split(t, ' '), lambda w: {stem('lower(w)')})"
-HEADING = f"""traits AS (SELECT scope, ordinal, {headings('text')} AS headings, list_distinct(list_filter({words('text')}, lambda w: length(w) > 0)) AS raw_words, list_distinct({tokens('text')}) AS tokens, {list_body('text')} AS has_body FROM corpus),
+HEADING = f"""runs AS (SELECT scope, ordinal, sum(moved) OVER (PARTITION BY scope ORDER BY ordinal) AS run FROM (SELECT scope, ordinal, CASE WHEN page_number <> lag(page_number) OVER (PARTITION BY scope ORDER BY ordinal) THEN 1 ELSE 0 END AS moved FROM corpus)),
+traits AS (SELECT scope, ordinal, {headings('text')} AS headings, list_distinct(list_filter({words('text')}, lambda w: length(w) > 0)) AS raw_words, list_distinct({tokens('text')}) AS tokens, {list_body('text')} AS has_body FROM corpus),
 traits2 AS (SELECT *, list_transform(headings, lambda t: {_STEMMED}) AS stems, lag(raw_words) OVER (PARTITION BY scope ORDER BY ordinal) AS words_before FROM traits),
 held AS (SELECT scope, word, count(*) AS n FROM (SELECT DISTINCT scope, ordinal, unnest(string_split(h, ' ')) AS word FROM (SELECT scope, ordinal, unnest(headings) AS h FROM traits)) WHERE regexp_matches(word, '^[0-9]+$') GROUP BY ALL),
 sizes AS (SELECT scope, count(*) AS passages FROM corpus GROUP BY scope),
@@ -156,7 +161,7 @@ hs AS (SELECT *, CASE WHEN len(stems) = 0 THEN 0.0
     WHEN best = 1 THEN CASE WHEN coverage >= 0.999 AND NOT list_contains(repeated, list_filter(found, lambda x: len(x) = 1)[1][1]) THEN 0.75 ELSE 0.5 * best / len(asked) END
     ELSE 0.0 END AS base FROM hb),
 hw AS (SELECT query_id, scope, ordinal, CASE WHEN base > 0 AND base < 1 AND words_before IS NOT NULL AND len(list_filter(terms, lambda t: list_has_all(words_before, string_split(lower(t), ' ')))) > 0 THEN least(1.0, base * 1.15) ELSE base END AS base FROM hs),
-hl AS (SELECT *, max(CASE WHEN base > 0 THEN ordinal END) OVER (PARTITION BY query_id ORDER BY ordinal) AS last FROM hw),
+hl AS (SELECT *, max(CASE WHEN base > 0 THEN ordinal END) OVER (PARTITION BY query_id, run ORDER BY ordinal) AS last FROM hw JOIN runs USING (scope, ordinal)),
 heading AS (SELECT a.query_id, a.scope, a.ordinal, round(CAST(b.base AS DOUBLE) * pow(0.95, a.ordinal - a.last), 9) AS heading FROM hl a JOIN hw b ON a.query_id = b.query_id AND a.last = b.ordinal)"""
 
 FUSED = f"""met AS (SELECT query_id, scope, ordinal, max(lexical) AS lexical, max(vector) AS vector, max(heading) AS heading, max(lr) AS lr, max(vr) AS vr, max(hr) AS hr FROM (
@@ -169,4 +174,9 @@ fused AS (SELECT query_id, scope, ordinal, lexical, vector, heading,
   FROM scored WHERE lexical >= {K.LEXICAL_FLOOR} OR vector >= {K.VECTOR_FLOOR} OR heading >= {K.HEADING_ADMITS}),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM fused) WHERE rank <= {K.SEARCH_HITS})"""
 
-RETRIEVAL = ",\n".join([CORPUS, QUESTIONS, POSTINGS, SIZED, STATS, DF, ASKED, TERMS, LEXICAL, EXPANDED, vectors("qv", "expanded", "query_id, scope", "text"), vectors("pv", "corpus", "scope, ordinal", "text"), COSINE, HEADING, FUSED])
+
+
+def retrieval(corpus: str) -> str:
+    """Everything up to the best hits of each question."""
+    embedded = vectors("pv", "(SELECT * FROM corpus WHERE has_vector)", "scope, ordinal", "text")
+    return ",\n".join([corpus, QUESTIONS, POSTINGS, SIZED, STATS, DF, ASKED, TERMS, LEXICAL, EXPANDED, vectors("qv", "expanded", "query_id, scope", "text"), embedded, COSINE, HEADING, FUSED])

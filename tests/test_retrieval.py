@@ -36,7 +36,7 @@ def hits(spark, tables, *questions, ids=(1, 2, 3), use_vectors=True):
     documents, _, made = tables
     requests = spark.createDataFrame([(i, "ann", list(ids), q) for i, q in enumerate(questions)], "query_id long, user_id string, document_ids array<long>, query string")
     good, _ = valid_queries(requests)
-    found = search(*scoped(good, documents, made), use_vectors=use_vectors).orderBy("query_id", "rank").collect()
+    found = search(*scoped(good, documents, made), made, use_vectors=use_vectors).orderBy("query_id", "rank").collect()
     return [[r for r in found if r.query_id == i] for i in range(len(questions))]
 
 
@@ -55,7 +55,7 @@ def test_scope_and_owner(spark, tables):
     assert hits(spark, tables, "sonar array", ids=(2, 3, 4)) == [[]]
     documents, _, made = tables
     bad = valid_queries(spark.createDataFrame([(1, " x "), (2, None), (3, "the of")], "query_id long, query string"))[1]
-    assert dict(map(tuple, bad.collect())) == {1: "invalid", 2: "invalid", 3: "empty"}
+    assert {r.query_id: r.error_code for r in bad.collect()} == {1: "invalid", 2: "invalid", 3: "empty"}
 
 
 def test_vectors(spark):

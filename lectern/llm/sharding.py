@@ -70,9 +70,11 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     blocks = blocks.select("block", (F.sum("bn").over(Window.orderBy("block")) - F.col("bn")).alias("before"))
     inside = counts.select("bucket", "n", block.alias("block")).join(blocks, "block")
     firsts = inside.select("bucket", (F.col("before") + F.sum("n").over(Window.partitionBy("block").orderBy("bucket")) - F.col("n")).alias("first_rank"))
-    # Both sides are dealt alike, so each text moves once, and a task's share doesn't grow with the input.
-    scattered = rows.select("*", bucket).repartition(buckets, "bucket")
-    placed = scattered.join(firsts.repartition(buckets, "bucket"), "bucket").withColumn("n_rows", F.lit(total[1]).cast("long"))
+    # Both sides are dealt alike, so each text moves once, and a task's share doesn't grow with the input. With fewer
+    # partitions than the session's, the join would deal both sides once more.
+    parts = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scattered = rows.select("*", bucket).repartition(parts, "bucket")
+    placed = scattered.join(firsts.repartition(parts, "bucket"), "bucket").withColumn("n_rows", F.lit(total[1]).cast("long"))
     dealt = placed.groupBy("bucket").applyInArrow(_fisher_yates(seed), "id long, crc long, size long, text string, n_rows long, rank long")
     shard = F.expr(f"cast((rank * {shards}) div n_rows as int)")
     start = F.expr(f"(shard * n_rows + {shards - 1}) div {shards}")

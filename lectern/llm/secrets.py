@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
-from urllib.parse import unquote_to_bytes
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +22,8 @@ from .common import lean, slices, texts
 
 KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
-#: A compressed layer is unpacked to this many bytes at most; a text that holds a larger one is marked incomplete.
-LAYER_BYTES = 32 << 20
+#: What compressed data unpack to is scanned a stretch at a time, with so much of the one before: bytes of both.
+STRETCH, OVERLAP = 4 << 20, 1 << 20
 
 # Patterns as the scan is defined.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -29,9 +31,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64 that follow one another, but for the last of one length or nearly so.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -47,131 +52,247 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text and, for each of its characters, the span of the original text that it comes from."""
+    """A decoded text and where it comes from, as a record for each stretch, not for each character: either the stretch's
+    characters come from spans of one width, one after another, or all of it stands for one span."""
+
+    __slots__ = ("text", "at", "starts", "widths", "ends")
 
-    __slots__ = ("text", "starts", "ends")
+    def __init__(self, text: str, start: int = 0, width: int = 1, end: int = -1):
+        self.text, self.at, self.starts, self.widths, self.ends = text, [0], [start], [width], [end]
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def _stretch(self, a: int) -> int:
+        return bisect.bisect_right(self.at, a) - 1
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
-        """Where text[a:b] comes from; a and b as they are in the original text itself."""
-        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
-
-    def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
-        """This layer with text[a:b] decoded to other text for each (a, b, other); what is between stays."""
-        out, starts, ends, at = [], [], [], 0
-
-        def keep(a: int, b: int) -> None:
-            out.append(self.text[a:b])
-            starts.extend(range(a, b) if self.starts is None else self.starts[a:b])
-            ends.extend(range(a + 1, b + 1) if self.starts is None else self.ends[a:b])
-
-        for a, b, other in parts:
-            keep(at, a)
-            x, y = self.origin(a, b)
-            out.append(other)
-            starts.extend([x] * len(other))
-            ends.extend([y] * len(other))
-            at = b
-        keep(at, len(self.text))
-        return Layer("".join(out), starts, ends)
+        """Where text[a:b] comes from, by the original text's positions."""
+        i, j = self._stretch(a), self._stretch(b - 1)
+        return self.starts[i] + (a - self.at[i]) * self.widths[i], self.starts[j] + (b - self.at[j]) * self.widths[j] if self.widths[j] else self.ends[j]
+
+    def replaced(self, parts: Iterable[tuple[int, int, str, int]]) -> Layer | None:
+        """This layer with text[a:b] decoded to other text for each (a, b, other, step), each of its characters from
+        `step` of this layer's; what is between stays. None without parts."""
+        out, size, here = [], 0, 0
+        new = Layer("")
+        new.at, new.starts, new.widths, new.ends = [], [], [], []
+
+        def add(text: str, start: int, width: int, end: int) -> None:
+            nonlocal size
+            goes_on = bool(new.at) and new.widths[-1] == width and (new.starts[-1] + (size - new.at[-1]) * width == start if width else (new.starts[-1], new.ends[-1]) == (start, end))
+            if not goes_on:
+                new.at.append(size)
+                new.starts.append(start)
+                new.widths.append(width)
+                new.ends.append(end)
+            out.append(text)
+            size += len(text)
+
+        def keep(a: int, b: int, text: str, step: int) -> None:
+            """text, whose characters come from `step` each of this layer's from a to b."""
+            while a < b:
+                i = self._stretch(a)
+                stop = self.at[i + 1] if i + 1 < len(self.at) else len(self.text)
+                n = (min(b, stop) - a) // step
+                if n:
+                    add(text[:n], self.starts[i] + (a - self.at[i]) * self.widths[i], self.widths[i] * step, self.ends[i])
+                else:  # a character from several stretches
+                    n = 1
+                    x, y = self.origin(a, a + step)
+                    add(text[:1], x, y - x, -1)
+                text = text[n:]
+                a += n * step
+
+        for a, b, other, step in parts:
+            keep(here, a, self.text[here:a], 1)
+            keep(a, b, other, step)
+            here = b
+        if not here:
+            return None
+        keep(here, len(self.text), self.text[here:], 1)
+        new.text = "".join(out)
+        return new
 
     def inside(self, a: int, b: int, other: str) -> Layer:
         x, y = self.origin(a, b)
-        return Layer(other, [x] * len(other), [y] * len(other))
+        return Layer(other, x, 0, y)
 
 
-def _percent(layer: Layer) -> list[Layer]:
-    parts = []
-    for m in _PERCENT.finditer(layer.text):
+def _readable(text: str) -> bool:
+    return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text) > 0
+
+
+def _stream(data: bytes):
+    """A maker of decompressors for what a string seems to be; None if it isn't compressed."""
+    for mark, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor)):
+        if data.startswith(mark):
+            return make
+    if len(data) < 6 or data[0] & 15 != 8 or (data[0] << 8 | data[1]) % 31:
+        return None
+    return zlib.decompressobj
+
+
+class _Unpacked:
+    """What compressed data hold, members one after another, in pieces of bounded size; `whole` once all was there."""
+
+    def __init__(self, data: bytes):
+        self.data, self.whole = data, False
+
+    def __iter__(self):
+        data = self.data
+        while data and (make := _stream(data)):
+            d = make()
+            try:
+                while not d.eof:
+                    got = d.decompress(data, STRETCH)
+                    # zlib hands back what it hasn't read yet; the others keep it.
+                    data = getattr(d, "unconsumed_tail", b"")
+                    if got:
+                        yield got
+                    elif not d.eof:
+                        return  # cut short
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            data = d.unused_data
+        self.whole = True
+
+
+def _texts_of(data: bytes, state: list) -> Iterator[str]:
+    """The texts that data hold, straight or through nested compression, in overlapping stretches. state[0] turns false
+    where something couldn't be read to its end."""
+    if _stream(data) is None:
         try:
-            parts.append((m.start(), m.end(), unquote_to_bytes(m[0]).decode()))
+            text = data.decode()
         except UnicodeDecodeError:
+            return
+        if _readable(text):
+            yield text
+        return
+    unpacked, held, first = _Unpacked(data), b"", True
+    decoder, tail, any_text = codecs.getincrementaldecoder("utf-8")(), "", False
+    nested = None
+    for piece in unpacked:
+        if first:
+            first = False
+            if _stream(piece) is not None:
+                nested = [piece]
+                continue
+        if nested is not None:
+            nested.append(piece)
             continue
-    return [layer.replaced(parts)] if parts else []
+        try:
+            text = decoder.decode(piece)
+        except UnicodeDecodeError:
+            return
+        if not any_text and not _readable(text[: 1 << 16]):
+            return
+        any_text = True
+        held = tail + text
+        yield held
+        tail = held[-OVERLAP:]
+    state[0] &= unpacked.whole
+    if nested is not None:
+        # Data that were compressed twice: the inner ones are as small as the outer ones' text.
+        yield from _texts_of(b"".join(nested), state)
+
+
+# Characters by the number of bytes that they have in UTF-8; bytes that are none have no group.
+_SIZES = re.compile("([\x00-\x7f]+)|([\x80-\u07ff]+)|([\u0800-\ud7ff\ue000-\uffff]+)|([\U00010000-\U0010ffff]+)|[\ud800-\udfff]+")
+
+
+def _percent_parts(layer: Layer, packed: list) -> Iterator[tuple[int, int, str, int]]:
+    for m in _PERCENT.finditer(layer.text):
+        data = bytes.fromhex(m[0].replace("%", ""))
+        packed.append((m.start(), m.end(), data))
+        at = m.start()
+        # Bytes that aren't UTF-8 stay as they are written.
+        for g in _SIZES.finditer(data.decode("utf-8", "surrogateescape")):
+            n = g.lastindex or 1
+            stop = at + 3 * n * len(g[0])
+            if g.lastindex:
+                yield at, stop, g[0], 3 * n
+            at = stop
+
+
+def _unpacked(layer: Layer, packed: list, state: list) -> list[Layer]:
+    """Layers of what runs of escaped bytes hold, where that is compressed."""
+    return [layer.inside(a, b, text) for a, b, data in packed if _stream(data) is not None for text in _texts_of(data, state)]
 
 
-def _unicode(layer: Layer) -> list[Layer]:
-    parts = []
+def _percent(layer: Layer, state: list) -> list[Layer]:
+    if "%" not in layer.text:
+        return []
+    new = layer.replaced(_percent_parts(layer, packed := []))
+    return ([new] if new else []) + _unpacked(layer, packed, state)
+
+
+def _unicode_parts(layer: Layer) -> Iterator[tuple[int, int, str, int]]:
     for m in _UNICODE.finditer(layer.text):
         code = int(m[1] or m[2] or m[3] or m[4], 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
-            parts.append((m.start(), m.end(), chr(code)))
-    return [layer.replaced(parts)] if parts else []
+            yield m.start(), m.end(), chr(code), m.end() - m.start()
 
 
-def _unpacked(data: bytes, most: int) -> tuple[bytes | None, bool]:
-    """What a compressed string holds and whether that is all; None if it isn't compressed."""
-    makers = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor))
-    for mark, make in makers:
-        if data.startswith(mark):
-            break
-    else:
-        if len(data) < 6 or data[0] & 15 != 8 or (data[0] << 8 | data[1]) % 31:
-            return None, True
-        make = zlib.decompressobj
-    try:
-        got = (d := make()).decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None, True
-    return got[:most], len(got) <= most and (d.eof or bool(got))
-
-
-def _base64(layer: Layer, most: int) -> tuple[list[Layer], bool]:
-    """A layer of its own for each base64 run that decodes to text, straight or through nested compression."""
-    out, whole = [], True
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+def _unicode(layer: Layer, state: list) -> list[Layer]:
+    if "\\" not in layer.text:
+        return []
+    new = layer.replaced(_unicode_parts(layer))
+    packed = [(m.start(), m.end(), bytes.fromhex(m[0].replace("\\x", ""))) for m in _BYTES.finditer(layer.text)]
+    return ([new] if new else []) + _unpacked(layer, packed, state)
+
+
+def _base64(layer: Layer, state: list) -> list[Layer]:
+    """A layer of its own for each base64 run that decodes to text, straight or through nested compression: runs of one
+    line, lines that follow one another taken together, and parts of a run between slashes or dashes."""
+    out = []
+
+    def tried(a: int, b: int, run: str) -> bool:
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
-            continue
+            return False
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
-            continue
-        seen = set()
-        while (mark := hashlib.sha256(data).digest()) not in seen:
-            seen.add(mark)
-            got, all_of_it = _unpacked(data, most)
-            whole &= all_of_it
-            if got is None:
-                break
-            data = got
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text) > 0:
-            out.append(layer.inside(m.start(), m.end(), text))
-    return out, whole
+            return False
+        found = [layer.inside(a, b, text) for text in _texts_of(data, state)]
+        out.extend(found)
+        return bool(found)
+
+    for m in _BASE64.finditer(layer.text):
+        if not tried(m.start(), m.end(), m[0]) and re.search("[/_-]", m[0]):
+            for part in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", m[0]):
+                tried(m.start() + part.start(), m.start() + part.end(), part[0])
+    for m in _LINES.finditer(layer.text):
+        tried(m.start(), m.end(), re.sub(r"\s", "", m[0]))
+    return out
 
 
-def scan_layers(text: str, most: int = LAYER_BYTES) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int, bool]:
+def scan_layers(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int, bool]:
     """Base spans, all spans, the number of layers read, and whether every layer was read in full.
 
     The worklist starts with the text. Each layer is scanned, then decoded in every way that changes it; the results
     join the list unless a layer of that text from that place has been there, so the work ends at the fixpoint. Spans
-    found in a layer are mapped to the part of the original text from which they decode.
+    found in a layer are mapped to the part of the original text from which they decode. What compressed data hold is
+    read to its end, in overlapping stretches that are layers each, however much it is.
     """
     base = sorted(scan(text), key=lambda s: (s[0], KINDS.index(s[2])))
     if not ("%" in text or "\\" in text or _BASE64.search(text)):
         return base, base, 1, True
-    spans, whole, n = set(base), True, 0
+    spans, state, n = set(base), [True], 0
     seen, work = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}, deque([Layer(text)])
     while work:
         layer = work.popleft()
         n += 1
-        if layer.starts is not None:
+        if n > 1:
             for a, b, kind in scan(layer.text):
                 spans.add((*layer.origin(a, b), kind))
-        packed, all_of_it = _base64(layer, most)
-        whole &= all_of_it
-        for new in [*_percent(layer), *_unicode(layer), *packed]:
-            mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), new.origin(0, 1)[0] if new.text else 0, new.origin(len(new.text) - 1, len(new.text))[1] if new.text else 0)
-            if new.text and mark not in seen:
-                seen.add(mark)
-                work.append(new)
-    return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), n, whole
+        for decode in (_percent, _unicode, _base64):
+            for new in decode(layer, state):
+                if not new.text:
+                    continue
+                mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), *new.origin(0, len(new.text)))
+                if mark not in seen:
+                    seen.add(mark)
+                    work.append(new)
+    return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), n, state[0]
 
 
 def listed(spans) -> str:
@@ -211,9 +332,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: counts of base matches by kind, base_spans, spans with those of decoded layers, n_layers, complete,
     and clean_text, in which every span is replaced.
 
-    Layers: runs of percent escapes, Unicode escapes, base64 of 16 characters or more, and gzip, zlib, bzip2 or xz
-    inside base64, nested in any order. Null text counts as empty and has no spans. Rows, repeated ones too, are
-    scanned each for itself; nothing is shuffled. Empty tables give empty tables; other columns are ignored.
+    Layers: runs of percent escapes, Unicode and byte escapes, base64 of 16 characters or more, wrapped or not, and gzip,
+    zlib, bzip2 or xz inside any of these, nested in any order. complete is false where compressed data break off. Null
+    text counts as empty and has no spans; very long texts are scanned whole, and a layer has a record for each decoded
+    stretch only. Rows, repeated ones too, are scanned each for itself; nothing is shuffled. Empty tables give empty
+    tables; other columns are ignored, whatever their names.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(_scanned, SCHEMA)
@@ -234,9 +357,11 @@ def _cleaned(at: int, length_at: int | None):
     return lean(rows)
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs, all columns and rows, with every span that scan_secrets() reports replaced by [SECRET]; the length column,
-    where there is one, follows for texts that change. Null text stays null. Nothing is shuffled."""
-    lengths = {f.name for f in docs.schema if f.dataType.typeName() in ("long", "integer")}
-    length_at = docs.columns.index(length_col) if length_col in lengths else None
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs, all columns and rows, with every span that scan_secrets() reports replaced by [SECRET]. A length column, if
+    one is named, follows for texts that change.
+
+    Null text stays null, empty text empty; very long texts are scanned whole, repeated rows each for itself. An empty
+    table stays empty. Other columns stay as they are, whatever their names. Nothing is shuffled."""
+    length_at = None if length_col is None else docs.columns.index(length_col)
     return docs.mapInArrow(_cleaned(docs.columns.index(text_col), length_at), docs.schema)

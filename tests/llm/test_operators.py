@@ -26,7 +26,7 @@ from lectern.llm.quality import quality_scores
 from lectern.llm.sharding import sharded, write_shards
 from lectern.llm.simhash import drop_near_copies, fingerprint, near_links, simhash_components
 from lectern.llm.substring_dedup import substring_dedup
-from lectern.llm.topk import block_topk, quantised
+from lectern.llm.topk import block_topk, dealt, quantised
 from lectern.llm.toxicity import drop_toxic, toxicity_scores
 
 SCHEMA = "doc_id long, text string, n_chars long, fp long, content string"
@@ -361,7 +361,27 @@ def test_block_topk(spark):
             expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)]
     assert sorted(map(tuple, got.collect())) == sorted(expected)
     none = quantised(df.where("false"))
-    assert block_topk(none, none).count() == 0
+    assert block_topk(none, none).count() == 0 and block_topk(whole.where("vec_id % 20 = 0"), none).count() == 0
+    few = [(20, [1, 2]), (40, [3]), (41, [1 << 40, -(1 << 40)]), (42, [])]
+    small = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in few], "vec_id long, v array<long>, cell long, part long, floor long")
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in block_topk(small.where("vec_id % 20 = 0").union(small.where("vec_id = 20")), small, 20).collect()}
+    assert got == {(20, 40): (1, 3), (20, 42): (2, 0), (20, 41): (3, -(1 << 40)), (40, 41): (1, 3 << 40), (40, 20): (2, 3), (40, 42): (3, 0)}
+
+
+def test_queries_go_only_to_ranges_that_reach_their_floor(spark):
+    draw = np.random.default_rng(5)
+    centres = draw.integers(-200, 200, (12, 16))
+    rows = np.concatenate([c + draw.integers(-3, 4, (300, 16)) for c in centres])
+    vs = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, v array<long>").repartition(4)
+    asked, held = dealt(vs.where("vec_id % 20 = 0"), vs, 10, shard=64, group=20)
+    every = vs.where("vec_id % 20 = 0").count() * held.select("cell", "part").distinct().count()
+    assert asked.count() < 0.4 * every
+    expected = []
+    for q in range(0, len(rows), 20):
+        scores = rows @ rows[q]
+        order = [i for i in np.lexsort((np.arange(len(rows)), -scores)) if i != q][:10]
+        expected += [(q, k + 1, int(i), int(scores[i])) for k, i in enumerate(order)]
+    assert sorted(map(tuple, block_topk(vs.where("vec_id % 20 = 0"), vs, 10, shard=64, group=20).collect())) == sorted(expected)
 
 
 # Classifiers

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,10 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S
 _UNEVEN = regex.compile(r"^\s|\s$|\s |\s(?<! )\s| \s")
 
 
+#: Pairs of tokens whose test is kept.
+MOST_PAIRS = 1 << 19
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,7 +49,6 @@ class PrefixEncoder:
             file = json.load(f)
         vocab = file["model"]["vocab"]
         letters = byte_letters()
-        self.letters = [letters[b] for b in range(256)]
         back = {c: bytes([b]) for b, c in letters.items()}
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.bytes = {i: t.encode() if t in special else b"".join(back[c] for c in t) for t, i in [*vocab.items(), *special.items()]}
@@ -54,21 +60,21 @@ class PrefixEncoder:
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.pairs[left, right] = rank
             self.halves.setdefault(whole, (rank, left, right))
+        # Tokens as letters of one byte each.
         self.automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
             if t not in special:
-                self.automaton.add_word(t, (len(t), i))
+                self.automaton.add_word(self.bytes[i].decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
-        self.beside = Memo(self._beside, 1 << 19)
-        self.tokens = Memo(self._tokens)
+        self.known: dict[int, bool] = {}  # pairs that have been tested, of MOST_PAIRS at most
+        self.tokens = Memo(self.piece)
 
-    def _beside(self, pair: tuple[int, int]) -> bool:
+    def _beside(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' text leaves just these two.
 
         Their merges are undone from the last on. Whenever the tokens that face each other at the seam could have
         merged before the merge that was undone last, BPE would have joined them instead.
         """
-        a, b = pair
         none, limit = (-1, 0, 0), 1 << 62
         while True:
             if self.pairs.get((a, b), limit) < limit:
@@ -82,25 +88,32 @@ class PrefixEncoder:
             else:
                 return True
 
-    def _tokens(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> array:
         """Ids of one piece of text that the pattern gives."""
-        data = piece.encode("utf-8", "surrogatepass")
-        word = "".join(map(self.letters.__getitem__, data))
-        last: list[tuple[int, int] | None] = [None] * len(word)
-        beside = self.beside
-        for end, token in self.automaton.iter(word):
-            if last[end] is None:
-                start = end - token[0]
-                if start < 0:
-                    last[end] = token
-                elif (before := last[start]) is not None and beside[before[1], token[1]]:
-                    last[end] = token
-        out, at = [], len(word) - 1
+        word = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        last, sizes, known = [-1] * len(word), [0] * len(word), self.known
+        for end, (size, token) in self.automaton.iter(word):
+            if sizes[end]:
+                continue
+            if size <= end:
+                before = last[end - size]
+                if before < 0:
+                    continue
+                pair = before << 32 | token
+                fits = known.get(pair)
+                if fits is None:
+                    if len(known) >= MOST_PAIRS:
+                        known.clear()
+                    fits = known[pair] = self._beside(before, token)
+                if not fits:
+                    continue
+            last[end], sizes[end] = token, size
+        out, at = array("I"), len(word) - 1
         while at >= 0:
-            size, i = last[at]
-            out.append(i)
-            at -= size
-        return out[::-1]
+            out.append(last[at])
+            at -= sizes[at]
+        out.reverse()
+        return out
 
     def plain(self, text: str) -> list[int]:
         return [i for piece in PATTERN.findall(text) for i in self.tokens[piece]]
@@ -115,42 +128,123 @@ class PrefixEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class RoundTrips:
-    """For whole texts: the number of ids, the ids as text, and the bytes they decode to."""
+class Strings:
+    """A byte string for each id, and what those of many ids are one after another."""
 
-    def __init__(self, path: str):
-        self.encoder = PrefixEncoder(path)
-        self.seen = Memo(self._stretch, 1 << 18)
+    def __init__(self, strings: dict[int, bytes]):
+        ordered = [strings.get(i, b"") for i in range(max(strings) + 1)]
+        self.sizes = np.fromiter(map(len, ordered), np.int64, len(ordered))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(ordered), np.uint8)
 
-    def _of(self, ids: list[int]) -> tuple[int, str, bytes]:
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.encoder.bytes.__getitem__, ids))
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes, and where those of each id end."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.data[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
-    def _stretch(self, stretch: str) -> tuple[int, str, bytes]:
-        return self._of(self.encoder.plain(stretch))
 
-    def __call__(self, text: str) -> tuple[int, str, bytes]:
-        if not text or _UNEVEN.search(text) or any(t in text for t in self.encoder.special):
-            return self._of(self.encoder.encode(text))
-        # A space between two other characters always begins a piece, so the text can be cut before it.
-        first, *rest = text.split(" ")
-        parts = [self.seen[first], *map(self.seen.__getitem__, [" " + x for x in rest])]
-        n, ids, data = zip(*parts, strict=True)
-        return sum(n), ",".join(ids), b"".join(data)
+class RoundTrips:
+    """For whole texts: the number of ids, digests of the ids and of the text they decode to, and whether that is the same.
+
+    Many texts, or parts of a long one, go together: their words are made unique, each is encoded once, and the ids of
+    all are strung together as arrays."""
+
+    #: Characters that go together, and words that are kept for the next texts.
+    TOGETHER, WORDS = 1 << 18, 1 << 18
+
+    def __init__(self, path: str):
+        self.encoder = PrefixEncoder(path)
+        self.words = Memo(self._word, self.WORDS)
+        self.decimals = Strings({i: b",%d" % i for i in self.encoder.bytes})
+        self.decoded = Strings(self.encoder.bytes)
+
+    def _word(self, word: str) -> bytes:
+        # Letters alone, with or without a space before them, are one piece of the pattern.
+        if word.isalpha() or word[:1] == " " and word[1:].isalpha():
+            return self.encoder.piece(word).tobytes()
+        return array("I", self.encoder.plain(word)).tobytes()
+
+    def _parts(self, text: str):
+        """The text in parts of bounded size that can be encoded each for itself, and whether their words can."""
+        if any(t in text for t in self.encoder.special) or _UNEVEN.search(text):
+            yield text, False
+            return
+        at = 0
+        while len(text) - at > self.TOGETHER:
+            # A space between two other characters always begins a piece, so the text can be cut before it.
+            cut = text.rfind(" ", at + 1, at + self.TOGETHER)
+            if cut < 0:
+                cut = text.find(" ", at + self.TOGETHER)
+            if cut < 0:
+                break
+            yield text[at:cut], True
+            at = cut
+        yield text[at:], True
+
+    def _ids(self, parts: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and where those of each end."""
+        even = [p for p, words in parts if words]
+        found = [np.zeros(0, np.uint32)] * len(parts)
+        if even:
+            split = pc.split_pattern(pa.array(even, pa.string()), " ")
+            coded = split.flatten().dictionary_encode()
+            known = [self.words[" " + x] for x in coded.dictionary.to_pylist()]
+            # The first word of a part has no space before it.
+            first, code = split.offsets.to_numpy()[:-1], coded.indices.to_numpy().astype(np.int64)
+            for k, x in zip(first.tolist(), pc.list_element(split, 0).to_pylist(), strict=True):
+                code[k] = len(known)
+                known.append(self.words[x])
+            flat = np.frombuffer(b"".join(known), np.uint32)
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            n = sizes[code]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+            each = iter(np.split(ids, cuts[1:-1]))
+            found = [next(each) if words else x for x, (_, words) in zip(found, parts, strict=True)]
+        found = [x if words else np.array(self.encoder.encode(p), np.uint32) for x, (p, words) in zip(found, parts, strict=True)]
+        return np.concatenate(found), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+
+    def __call__(self, some) -> list[tuple[int, str, str, bool]]:
+        found, waiting, size = [], [], 0
+        for k, text in enumerate(some):
+            found.append([0, hashlib.sha256(), hashlib.sha256(), True])
+            for part, words in self._parts(text):
+                waiting.append((k, part, words))
+                size += len(part)
+                if size >= self.TOGETHER:
+                    self._add(found, waiting)
+                    waiting, size = [], 0
+        self._add(found, waiting)
+        return [(n, ids.hexdigest(), text.hexdigest(), same) for n, ids, text, same in found]
+
+    def _add(self, found: list[list], waiting: list[tuple[int, str, bool]]) -> None:
+        """Take the waiting parts (number of the text, part, whether its words can be encoded alone) into what is found."""
+        if not waiting:
+            return
+        ids, ends = self._ids([(part, words) for _, part, words in waiting])
+        (digits, digit_ends), (data, data_ends) = self.decimals(ids), self.decoded(ids)
+        cuts = np.concatenate([[0], ends])
+        digit_cuts, data_cuts = (np.concatenate([[0], e])[cuts].tolist() for e in (digit_ends, data_ends))
+        digits, data, cuts = digits.tobytes(), data.tobytes(), cuts.tolist()
+        for j, (k, part, _) in enumerate(waiting):
+            own = found[k]
+            # Each number has a comma before it; a text's first one goes.
+            own[1].update(memoryview(digits)[digit_cuts[j] + (own[0] == 0 and cuts[j] < cuts[j + 1]) : digit_cuts[j + 1]])
+            back = data[data_cuts[j] : data_cuts[j + 1]].decode("utf-8", "replace")
+            own[2].update(back.encode())
+            own[0] += cuts[j + 1] - cuts[j]
+            own[3] &= back == part
 
 
 def _round_trip(path: str):
     def rows(batches):
         code = RoundTrips(path)
         for b in slices(batches, 1):
-            count, ids_sha, text_sha, decoded = [], [], [], []
-            for text in texts(b.column(1)):
-                n, ids, data = code(text)
-                back = data.decode("utf-8", "replace")
-                count.append(n)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                decoded.append(back == text)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(decoded, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
+            cols = list(zip(*code(texts(b.column(1))), strict=True))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
 
     return lean(rows)
 
@@ -187,8 +281,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and whether the decoded text is the same.
 
-    Null text counts as empty: no tokens. Repeated rows give a row each; nothing is shuffled. Empty tables give empty
-    tables; other columns are ignored.
+    Null text counts as empty: no tokens. A very long text is encoded in parts, cut where no token crosses. Repeated rows
+    give a row each; nothing is shuffled. Empty tables give empty tables; other columns are ignored, whatever their names.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")

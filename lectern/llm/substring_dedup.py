@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, raw_texts, slices, stored
+from .common import lean, let_go, raw_texts, slices, stored
 
 WINDOW, BASE = 13, 6
 _ODD = 0x9E3779B97F4A7C15
@@ -224,15 +224,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = found.groupBy("h").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("h")
     # Stored, so that the join has an exchange on either side: AQE splits a hash that many documents share only then.
     repeated = stored(repeated, "repeated")
+    let_go(docs.sparkSession)
     per_text = found.join(repeated, "h", "left_semi").groupBy("tag").agg(F.collect_set("pos").alias("seen"))
     near = stored(three.join(per_text.join(searched, "tag"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "seen"), "candidates")
+    let_go(docs.sparkSession)
 
     at = near.mapInArrow(_windows(base, window), "doc_id long, tag long, h long, g long, pos int")
     least = at.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
     least = stored(least, "least")
+    let_go(docs.sparkSession)
     late = at.join(least, ["h", "g"]).where("doc_id > least").groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("seen"))
     cut = near.select("doc_id", "tag", "text").join(late, ["doc_id", "tag"]).mapInArrow(_removed(window), "doc_id long, tag long, n_removed long, kept_sha256 string, kept_text string")
     cut = stored(cut, "cut").dropDuplicates(["doc_id", "tag"])
+    let_go(docs.sparkSession)
 
     is_copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()

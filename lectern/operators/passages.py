@@ -1,4 +1,4 @@
-"""Pages into passages that never cross a page. A fold over a page's paragraphs, so the one operator that runs in Python."""
+"""Pages into passages that never cross a page. A fold over a page's paragraphs, so it runs in Python."""
 
 from __future__ import annotations
 
@@ -47,50 +47,41 @@ def overlap(text: str) -> str:
     return tail[(stop if stop > 60 else tail.find(" ")) + 1 :].strip(_WHITE)
 
 
-class PagePassages:
-    """The passages of one page. A long paragraph's overlap is flushed once more at the page's end, on purpose."""
-
-    def __init__(self):
-        self.out: list[str] = []
-        self.held = ""
-
-    def _put(self, text: str) -> None:
-        text = text.strip(_WHITE)
-        if len(text) >= K.PASSAGE_SHORTEST:
-            self.out.append(text)
-
-    def _flush(self) -> None:
-        text = self.held.strip(_WHITE)
-        self._put(text)
-        self.held = overlap(text) if len(text) >= K.PASSAGE_LEAST else ""
-
-    def _long(self, paragraph: str) -> None:
-        self._flush()
-        self.held = ""
-        for piece in split_sentences(paragraph):
-            joined = f"{self.held} {piece}" if self.held else piece
-            if len(joined) > K.PASSAGE_MOST:  # checked after joining, so a passage can be twice as long
-                self._put(joined)
-                self.held = overlap(joined)
-            else:
-                self.held = joined
-        self._flush()
-
-    def split(self, paragraphs: list[str]) -> list[str]:
-        for paragraph in paragraphs:
-            if len(paragraph) > K.PASSAGE_MOST:
-                self._long(paragraph)
-                continue
-            if self.held and len(self.held) + len(paragraph) + 2 > K.PASSAGE_TARGET:
-                self._flush()
-            self.held = f"{self.held}\n\n{paragraph}" if self.held else paragraph
-        self._flush()
-        return self.out
+def _units(paragraphs: list[str]):
+    """What a page is put together from: short paragraphs, pieces of a long one with an opening before and a close behind
+    them, and a close at the page's end."""
+    for paragraph in paragraphs:
+        if len(paragraph) <= K.PASSAGE_MOST:
+            yield "paragraph", paragraph
+        else:
+            yield "open", ""
+            yield from (("piece", piece) for piece in split_sentences(paragraph))
+            yield "close", ""
+    yield "close", ""
+
+
+def page_passages(paragraphs: list[str]) -> list[str]:
+    """The passages of one page. A long paragraph's overlap is flushed once more at the page's end, on purpose; a passage
+    of pieces is ended only once it is over the limit, so it can be twice as long."""
+    out, held = [], ""
+    for kind, text in _units(paragraphs):
+        if kind == "piece":
+            held = f"{held} {text}" if held else text
+            if len(held) > K.PASSAGE_MOST:
+                out.append(held.strip(_WHITE))
+                held = overlap(held)
+            continue
+        if kind != "paragraph" or held and len(held) + len(text) + 2 > K.PASSAGE_TARGET:
+            out.append(held.strip(_WHITE))
+            held = overlap(out[-1]) if len(out[-1]) >= K.PASSAGE_LEAST and kind != "open" else ""
+        if text:
+            held = f"{held}\n\n{text}" if held else text
+    return [x for x in out if len(x) >= K.PASSAGE_SHORTEST]
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def _split_pages(paragraphs: pa.Array) -> pa.Array:
-    return pa.array([PagePassages().split(p or []) for p in paragraphs.to_pylist()], pa.list_(pa.string()))
+    return pa.array([page_passages(p or []) for p in paragraphs.to_pylist()], pa.list_(pa.string()))
 
 
 def passages(pages: DataFrame) -> DataFrame:

@@ -287,7 +287,11 @@ def page_dedupe(spark, sf):
     return P.numbered_pages(_raw_pages(spark, sf)).select("document_id", "page_number", F.length("text").cast("long").alias("chars"))
 
 
-@registered()
+@registered(
+    f"""SELECT document_id, page_number, CAST(place - 1 AS INTEGER) AS chunk_index, text, CAST(len({Q.tokens('text')}) AS INTEGER) AS token_count FROM (
+  SELECT doc_id AS document_id, CAST(1 AS BIGINT) AS page_number, unnest(range(1, len(made) + 1)) AS place, unnest(made) AS text FROM (
+    SELECT doc_id, {Q.page_passages('ps')} AS made FROM (SELECT doc_id, {Q.paragraphs('c')} AS ps FROM (SELECT doc_id, {Q.clean_page("coalesce(text, '')")} AS c FROM documents) WHERE length(c) >= {K.PASSAGE_SHORTEST})))"""
+)
 def chunk_pages(spark, sf):
     return passages(S.pages(spark, sf))
 

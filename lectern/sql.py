@@ -87,6 +87,42 @@ def paragraphs(t: str) -> str:
     return rf"list_filter(list_transform(string_split_regex({t}, '\n{{2,}}'), lambda p: {trimmed('replace(p, chr(10), chr(32))')}), lambda p: length(p) > 0)"
 
 
+def _let(value: str, name: str, use: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {use})[1]"
+
+
+def sentences(p: str) -> str:
+    """The pieces of a long paragraph: sentences packed up to the limit, what is far over it cut at spaces."""
+    pattern = rf"[^.!?]+[.!?]+[\"'')\]]*[{WS}]*|[^{WS}]+[{WS}]*"
+    found = f"list_transform(list_filter(list_transform(regexp_extract_all({p}, '{pattern}'), lambda s: {trimmed('s')}), lambda s: length(s) > 0), lambda s: [s])"
+    packed = f"list_reduce({found}, lambda a, s: CASE WHEN length(a[-1]) + length(s[1]) + 1 <= {K.PASSAGE_MOST} THEN list_append(a[:-2], a[-1] || ' ' || s[1]) ELSE list_append(a, s[1]) END)"
+    space = f"CASE WHEN strpos(reverse(substr(a[-1], 1, {K.PASSAGE_MOST + 1})), ' ') > 0 THEN length(substr(a[-1], 1, {K.PASSAGE_MOST + 1})) - strpos(reverse(substr(a[-1], 1, {K.PASSAGE_MOST + 1})), ' ') ELSE -1 END"
+    cut = f"CASE WHEN ({space}) >= {K.PASSAGE_LEAST} THEN ({space}) ELSE {K.PASSAGE_MOST} END"
+    halved = f"list_concat(a[:-2], [{trimmed(f'left(a[-1], {cut})')}, {trimmed(f'substr(a[-1], 1 + {cut})')}])"
+    hard = f"list_reduce(list_transform(range(0, length(w) // {K.PASSAGE_LEAST}), lambda i: ['']), lambda a, i: CASE WHEN length(a[-1]) > {K.PASSAGE_MOST} THEN {halved} ELSE a END, [w])"
+    return f"list_filter(flatten(list_transform({packed}, lambda w: CASE WHEN length(w) > {K.PASSAGE_MOST * 1.5} THEN {hard} ELSE [w] END)), lambda w: length(w) > 0)"
+
+
+def overlap(t: str) -> str:
+    tail = f"right({t}, {K.PASSAGE_OVERLAP})"
+    stop = f"({K.PASSAGE_OVERLAP - 1} - length(regexp_extract({tail}, '(?s)^.*[.!?] (.*)$', 1)) - 1)"
+    at = f"CASE WHEN regexp_matches({tail}, '(?s)[.!?] ') AND {stop} > 60 THEN {stop} ELSE strpos({tail}, ' ') - 1 END"
+    return f"CASE WHEN length({t}) <= {K.PASSAGE_OVERLAP} THEN {t} ELSE {trimmed(f'substr({tail}, 2 + ({at}))')} END"
+
+
+def page_passages(ps: str) -> str:
+    """Passages of a page's paragraphs, by one fold: the first element of its list is what is held, the others are done."""
+    long = f"length(p) > {K.PASSAGE_MOST}"
+    units = f"list_append(flatten(list_transform({ps}, lambda p: CASE WHEN {long} THEN list_concat([['open', '']], list_transform({sentences('p')}, lambda x: ['piece', x]), [['close', '']]) ELSE [['paragraph', p]] END)), ['close', ''])"
+    done = trimmed("a[1]")
+    flushed = _let(done, "t", f"list_append(list_prepend(CASE WHEN length(t) >= {K.PASSAGE_LEAST} AND u[1] <> 'open' THEN {overlap('t')} ELSE '' END, a[2:]), t)")
+    piece = _let("CASE WHEN a[1] = '' THEN u[2] ELSE a[1] || ' ' || u[2] END", "t", f"CASE WHEN length(t) > {K.PASSAGE_MOST} THEN list_append(list_prepend({overlap('t')}, a[2:]), {trimmed('t')}) ELSE list_prepend(t, a[2:]) END")
+    closes = f"u[1] <> 'paragraph' OR a[1] <> '' AND length(a[1]) + length(u[2]) + 2 > {K.PASSAGE_TARGET}"
+    other = _let(f"CASE WHEN {closes} THEN {flushed} ELSE a END", "f", "CASE WHEN u[2] = '' THEN f WHEN f[1] = '' THEN list_prepend(u[2], f[2:]) ELSE list_prepend(f[1] || chr(10) || chr(10) || u[2], f[2:]) END")
+    folded = f"list_reduce({units}, lambda a, u: CASE WHEN u[1] = 'piece' THEN {piece} ELSE {other} END, [''])"
+    return f"list_filter(({folded})[2:], lambda x: length(x) >= {K.PASSAGE_SHORTEST})"
+
+
 def fnv1a(x: str) -> str:
     return f"list_reduce(list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, i, 1)) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))"
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,38 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, stored
+
+__all__ = ["scratch", "stored"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One row in four is held out of every fit: crc32 of the id as text, modulo 4, is 2.
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, one of our own if all runs on this
-    machine; on a cluster that is an error, since executors couldn't see it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}/{name}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and any executor can read it again."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let_go(spark: SparkSession) -> None:
     """Let the driver collect plans that have run and that nothing refers to, so that executors delete their shuffle files:
     in a long query these would otherwise stay until its end. For between steps that move much."""

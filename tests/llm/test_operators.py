@@ -177,6 +177,24 @@ def test_near_links_loses_no_link(spark, crowded):
     assert joined == slow_components(sorted(found), lambda a, b: bin(a ^ b).count("1") <= 2)
 
 
+def test_near_links_are_all_links_in_a_crowd(spark):
+    draw = random.Random(12)
+    centre, found = draw.getrandbits(63), set()
+    while len(found) < 2500:
+        x = centre
+        for _ in range(draw.choice([0, 1, 1, 2, 2, 3])):
+            x ^= 1 << draw.randrange(63)
+        found.add(x)
+    found |= {draw.getrandbits(63) for _ in range(500)}
+    rows = np.array(sorted(found), np.uint64)
+    near = np.bitwise_count(rows[:, None] ^ rows[None, :]) <= 2
+    expected = {(int(rows[a]), int(rows[b])) for a, b in zip(*np.nonzero(np.triu(near, 1)))}
+    df = spark.createDataFrame([(int(x),) for x in rows], "fp long")
+    for crowded in (32, 33, 100_000):
+        got = [(r.u, r.v) for r in near_links(df, crowded=crowded).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(7, 7), (5, 4), (5, 4)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))

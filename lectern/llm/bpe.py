@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from array import array
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -90,30 +92,45 @@ class PrefixEncoder:
 
     def piece(self, piece: str) -> array:
         """Ids of one piece of text that the pattern gives."""
-        word = piece.encode("utf-8", "surrogatepass").decode("latin-1")
-        last, sizes, known = [-1] * len(word), [0] * len(word), self.known
-        for end, (size, token) in self.automaton.iter(word):
-            if sizes[end]:
-                continue
-            if size <= end:
-                before = last[end - size]
-                if before < 0:
+        return next(self.pieces([piece]))
+
+    def pieces(self, pieces: Iterable[str]) -> Iterator[array]:
+        """Ids of pieces of text that the pattern gives. A prefix's last token depends on that prefix alone, so what a piece
+        shares with the one before it is not worked out again: pieces had best come in order."""
+        known, found, before = self.known, self.automaton.iter, ""
+        last: list[int] = []
+        sizes: list[int] = []
+        for piece in pieces:
+            word = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+            same = 0
+            for x, y in zip(word, before):  # noqa: B905  as far as both go
+                if x != y:
+                    break
+                same += 1
+            before, more = word, len(word) - same
+            last[same:], sizes[same:] = [-1] * more, [0] * more
+            for end, (size, token) in found(word):
+                if end < same or sizes[end]:
                     continue
-                pair = before << 32 | token
-                fits = known.get(pair)
-                if fits is None:
-                    if len(known) >= MOST_PAIRS:
-                        known.clear()
-                    fits = known[pair] = self._beside(before, token)
-                if not fits:
-                    continue
-            last[end], sizes[end] = token, size
-        out, at = array("I"), len(word) - 1
-        while at >= 0:
-            out.append(last[at])
-            at -= sizes[at]
-        out.reverse()
-        return out
+                if size <= end:
+                    left = last[end - size]
+                    if left < 0:
+                        continue
+                    pair = left << 32 | token
+                    fits = known.get(pair)
+                    if fits is None:
+                        if len(known) >= MOST_PAIRS:
+                            known.clear()
+                        fits = known[pair] = self._beside(left, token)
+                    if not fits:
+                        continue
+                last[end], sizes[end] = token, size
+            out, at = array("I"), len(word) - 1
+            while at >= 0:
+                out.append(last[at])
+                at -= sizes[at]
+            out.reverse()
+            yield out
 
     def plain(self, text: str) -> list[int]:
         return [i for piece in PATTERN.findall(text) for i in self.tokens[piece]]
@@ -128,6 +145,13 @@ class PrefixEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size; ends: the sizes' running sum, below 2^31."""
+    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class Strings:
     """A byte string for each id, and what those of many ids are one after another."""
 
@@ -141,7 +165,7 @@ class Strings:
         """The bytes, and where those of each id end."""
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
-        return self.data[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+        return self.data[_places(self.starts[ids], sizes, ends)], ends
 
 
 class RoundTrips:
@@ -151,7 +175,7 @@ class RoundTrips:
     all are strung together as arrays."""
 
     #: Characters that go together, and words that are kept for the next texts.
-    TOGETHER, WORDS = 1 << 18, 1 << 18
+    TOGETHER, WORDS = 1 << 21, 1 << 18
 
     def __init__(self, path: str):
         self.encoder = PrefixEncoder(path)
@@ -160,11 +184,22 @@ class RoundTrips:
         self.decoded = Strings(self.encoder.bytes)
 
     def _word(self, word: str) -> bytes:
-        # Letters alone, with or without a space before them, are one piece of the pattern.
-        if word.isalpha() or word[:1] == " " and word[1:].isalpha():
-            return self.encoder.piece(word).tobytes()
         return array("I", self.encoder.plain(word)).tobytes()
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before them. Of those that aren't known yet, all pieces are encoded once each and in
+        order, so that they share their prefixes."""
+        words = [" " + x for x in words]
+        known = list(map(self.words.get, words))
+        new = [(k, w) for k, (w, ids) in enumerate(zip(words, known, strict=True)) if ids is None]
+        # Letters alone, with a space before them, are one piece of the pattern.
+        split = [(w,) if w[1:].isalpha() else PATTERN.findall(w) for _, w in new]
+        ordered = sorted({x for own in split for x in own})
+        ids = dict(zip(ordered, map(array.tobytes, self.encoder.pieces(ordered)), strict=True))
+        for (k, word), own in zip(new, split, strict=True):
+            known[k] = self.words.put(word, ids[own[0]] if len(own) == 1 else b"".join([ids[x] for x in own]))
+        return known
+
     def _parts(self, text: str):
         """The text in parts of bounded size that can be encoded each for itself, and whether their words can."""
         if any(t in text for t in self.encoder.special) or _UNEVEN.search(text):
@@ -189,7 +224,7 @@ class RoundTrips:
         if even:
             split = pc.split_pattern(pa.array(even, pa.string()), " ")
             coded = split.flatten().dictionary_encode()
-            known = [self.words[" " + x] for x in coded.dictionary.to_pylist()]
+            known = self._known(coded.dictionary.to_pylist())
             # The first word of a part has no space before it.
             first, code = split.offsets.to_numpy()[:-1], coded.indices.to_numpy().astype(np.int64)
             for k, x in zip(first.tolist(), pc.list_element(split, 0).to_pylist(), strict=True):
@@ -199,7 +234,7 @@ class RoundTrips:
             sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
             n = sizes[code]
             ends = np.cumsum(n)
-            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            ids = flat[_places((np.cumsum(sizes) - sizes)[code], n, ends)]
             cuts = np.concatenate([[0], ends])[split.offsets.to_numpy()]
             each = iter(np.split(ids, cuts[1:-1]))
             found = [next(each) if words else x for x, (_, words) in zip(found, parts, strict=True)]
@@ -238,9 +273,15 @@ class RoundTrips:
             own[3] &= back == part
 
 
+@functools.lru_cache(maxsize=1)
+def round_trip_coder(path: str) -> RoundTrips:
+    """One for each worker, which its tasks share: the words that it keeps are as many as WORDS at most."""
+    return RoundTrips(path)
+
+
 def _round_trip(path: str):
     def rows(batches):
-        code = RoundTrips(path)
+        code = round_trip_coder(path)
         for b in slices(batches, 1):
             cols = list(zip(*code(texts(b.column(1))), strict=True))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())

@@ -66,7 +66,9 @@ class Memo(dict):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        value = self.make(key)
+        return self.put(key, self.make(key))
+
+    def put(self, key, value):
         if len(key) <= self.LONGEST:
             if len(self) >= self.most:
                 self.clear()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -129,6 +132,23 @@ def _embedded(width: int):
     return rows
 
 
+class Embedder(NamedTuple):
+    """An embedding by its id: what of a text it is made from, as a column, and the vectors of a batch of that."""
+
+    words: Callable[[Column], Column]
+    embed: Callable[[pa.Array], tuple[list[np.ndarray], list[np.ndarray]]]
+    dimensions: int
+
+
+def topical_words(text: Column) -> Column:
+    """The words of a text that vectors are made of."""
+    return F.filter(T.words(F.coalesce(text, F.lit(""))), T.is_topical)
+
+
+#: Embedders by id. Vectors of two of them are never compared.
+EMBEDDERS = {K.EMBEDDER: Embedder(topical_words, _embed, K.DIMENSIONS)}
+
+
 def vectors(rows: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """(keys, slots, weights): the unit vector of each text, as parallel arrays of the slots that its features hit.
 
@@ -151,11 +171,11 @@ def dense_vectors(sparse: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return pairs.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(K.DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def _matrix(table: pa.Table, embedder: Embedder) -> np.ndarray:
     """The vectors of a few rows' words, as a dense block."""
     words = table.column("words").combine_chunks()
-    out = np.zeros((table.num_rows, K.DIMENSIONS))
-    for row, slots, weights in zip(out, *_embed(words), strict=True):
+    out = np.zeros((table.num_rows, embedder.dimensions))
+    for row, slots, weights in zip(out, *embedder.embed(words), strict=True):
         row[slots] = weights
     return out
 
@@ -168,17 +188,17 @@ def _top(scores: np.ndarray, ties: np.ndarray, most: int) -> np.ndarray:
     return np.lexsort((ties, -scores))[:most]
 
 
-def _pool(most: int):
+def _pool(most: int, embedder: Embedder):
     def task(key, queries: pa.Table, passages: pa.Table) -> pa.Table:
         ids, scopes, ordinals, cosines = [], [], [], []
         queries = queries.combine_chunks()
         for q_at in range(0, queries.num_rows, QUERIES):
             own = queries.slice(q_at, QUERIES)
-            q = _matrix(own)
+            q = _matrix(own, embedder)
             best = [(np.zeros(0), np.zeros(0, np.int64))] * own.num_rows
             for at in range(0, passages.num_rows, BLOCK):
                 part = passages.slice(at, BLOCK)
-                got = np.round(q @ _matrix(part).T, 9)
+                got = np.round(q @ _matrix(part, embedder).T, 9)
                 places = part.column("ordinal").to_numpy()
                 for k, row in enumerate(got):
                     hit = np.flatnonzero(row)
@@ -197,15 +217,10 @@ def _pool(most: int):
     return task
 
 
-def topical_words(text):
-    """The words of a text that vectors are made of."""
-    return F.filter(T.words(F.coalesce(text, F.lit(""))), T.is_topical)
-
-
-def cosine_pool(queries: DataFrame, passages: DataFrame, most: int = K.VECTOR_POOL, block: int = VECTORS) -> DataFrame:
+def cosine_pool(queries: DataFrame, passages: DataFrame, most: int = K.VECTOR_POOL, block: int = VECTORS, embedder: str = K.EMBEDDER) -> DataFrame:
     """The `most` best passages of each query: (query_id, scope, ordinal, cosine), ties to the smaller ordinal.
 
-    queries: (query_id, scope, words); passages: (scope, ordinal, words), as topical_words() gives them. A scope's passages are dealt to blocks of at most
+    queries: (query_id, scope, words); passages: (scope, ordinal, words), as the embedder's words() gives them. A scope's passages are dealt to blocks of at most
     `block` by their ordinals, its queries go to each block, and a block is one task that keeps the best of its own: so a
     large scope is many tasks, and what leaves them is `most` rows a query. Vectors are made where they are scored, from
     words, which are smaller. A cosine of 0 has no row, which leaves the order of all others as it is, and 0 is below
@@ -218,7 +233,7 @@ def cosine_pool(queries: DataFrame, passages: DataFrame, most: int = K.VECTOR_PO
     sent = asked.join(blocks, F.col("q_scope") == F.col("b_scope")).select("query_id", F.col("b_scope").alias("scope"), F.col("b_block").alias("block"), "words")
     own = passages.join(asked.select(F.col("q_scope").alias("scope")).distinct(), "scope", "left_semi")
     placed = own.select("scope", place.alias("block"), F.col("ordinal").cast("long").alias("ordinal"), "words")
-    near = sent.groupBy("scope", "block").cogroup(placed.groupBy("scope", "block")).applyInArrow(_pool(most), f"query_id {kinds['query_id']}, scope {kinds['scope']}, ordinal long, cosine double")
+    near = sent.groupBy("scope", "block").cogroup(placed.groupBy("scope", "block")).applyInArrow(_pool(most, EMBEDDERS[embedder]), f"query_id {kinds['query_id']}, scope {kinds['scope']}, ordinal long, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "ordinal")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
 

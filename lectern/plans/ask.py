@@ -66,8 +66,9 @@ def _failed(answer, failure):
     return F.when(answer.isNull(), F.when(none, NOT_CONFIGURED).otherwise("ai_failed")), F.when(answer.isNull(), F.when(none, "No AI model is configured.").otherwise(G.failure_message(failure)))
 
 
-def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame | Index, history: DataFrame, completer: Completer | Sequence[Completer] | None) -> DataFrame:
+def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame | Index, history: DataFrame, completer: Completer | Sequence[Completer] | None, selection: DataFrame | None = None) -> DataFrame:
     """(query_id, code, answer, sources, not_found) for requests (query_id, user_id, document_ids, conversation_id, query).
+    With a selection, as scoped() takes it, requests have a scope instead of document_ids.
 
     history: (conversation_id, place, role, content). Requests that can't be answered have a code: unauthenticated,
     invalid, no_documents. Without a relevant passage the answer is the refusal, and no model is asked. Labels and pages
@@ -76,12 +77,16 @@ def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame | Index,
     """
     query = T.trimmed(F.coalesce("query", F.lit("")))
     checked = requests.withColumn("query", query)
-    own = requests.select("query_id", "user_id", F.explode("document_ids").alias("document_id")).join(documents, ["user_id", "document_id"])
+    if selection is None:
+        wanted = requests.select("query_id", "user_id", F.explode("document_ids").alias("document_id")).distinct()
+    else:
+        wanted = requests.select("query_id", "user_id", "scope").join(selection.select("scope", "user_id", "document_id").distinct(), ["scope", "user_id"])
+    own = wanted.join(documents, ["user_id", "document_id"])
     had = own.groupBy("query_id").agg(F.max(F.coalesce("page_count", F.lit(0))).alias("max_page"), F.count_if(F.col("status") == "ready").alias("ready"))
     code = F.when(F.col("user_id").isNull(), "unauthenticated").when(~F.length("query").between(2, K.ASK_CHARS), "invalid").when(F.coalesce("ready", F.lit(0)) == 0, "no_documents")
     checked = stored(checked.join(had, "query_id", "left").withColumn("code", code), "checked")
     good = checked.where("code is null")
-    queries, places = scoped(good, documents, passages.passages if isinstance(passages, Index) else passages)
+    queries, places = scoped(good, documents, passages.passages if isinstance(passages, Index) else passages, selection)
     hits = search(queries, places, passages, K.HITS)
     source = F.struct(F.concat(F.lit("S"), F.col("rank").cast("string")).alias("label"), "document_id", "file_name", "page_number", "snippet", "score")
     by_query = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_name", "page_number", "text"))).alias("hits"), F.transform(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))), lambda x: x["s"]).alias("sources"))

@@ -141,9 +141,10 @@ def lexical_switch(spark, sf):
 # Vectors
 
 
-@registered(f"SELECT w AS feature, {Q.fnv1a('w')} AS hash FROM (SELECT DISTINCT unnest({Q.topical('text')}) AS w FROM benchmark)")
+@registered(f"SELECT w AS feature, {Q.fnv1a('w')} AS hash FROM (SELECT DISTINCT unnest({Q.topical('text')}) AS w FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents))")
 def fnv_features(spark, sf):
-    words = S.read(spark, sf, "benchmark").select(F.explode(F.filter(T.words(F.col("text")), T.is_topical)).alias("feature")).distinct()
+    texts = S.read(spark, sf, "benchmark").select("text").unionByName(S.read(spark, sf, "documents").select("text"))
+    words = texts.select(F.explode(topical_words(F.col("text"))).alias("feature")).distinct()
     return words.select("feature", T.fnv1a(F.col("feature")).alias("hash"))
 
 
@@ -189,9 +190,9 @@ def heading_terms(spark, sf):
     return S.read(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(T.heading_terms(F.col("text"))), "|").alias("terms"))
 
 
-@registered(f"SELECT page_id, {Q.list_body('html')} AS has_body FROM pages")
+@registered(f"SELECT page_id, {Q.list_body('html')} AS has_body FROM {Q.BOTH}")
 def has_list_body(spark, sf):
-    return S.read(spark, sf, "pages").select("page_id", T.has_list_body(F.col("html")).alias("has_body"))
+    return S.lines(spark, sf).select("page_id", T.has_list_body(F.col("html")).alias("has_body"))
 
 
 _HEADED = f"questions AS (SELECT min(doc_id) AS query_id, scope, 'What does ' || arg_min(h[1], doc_id) || ' say?' AS query FROM (SELECT scope, doc_id, {Q.headings('text')} AS h FROM corpus) WHERE len(h) > 0 GROUP BY scope)"
@@ -266,9 +267,9 @@ def clean_pages(spark, sf):
     return docs.unionByName(S.read(spark, sf, "pages").select((-1 - F.col("page_id")).alias("doc_id"), T.clean_page(F.col("html")).alias("clean")))
 
 
-@registered(f"SELECT page_id, CAST(unnest(range(1, len(ps) + 1)) AS INTEGER) AS place, unnest(ps) AS paragraph FROM (SELECT page_id, {Q.paragraphs('c')} AS ps FROM (SELECT page_id, {Q.clean_page('html')} AS c FROM pages))")
+@registered(f"SELECT page_id, CAST(unnest(range(1, len(ps) + 1)) AS INTEGER) AS place, unnest(ps) AS paragraph FROM (SELECT page_id, {Q.paragraphs('c')} AS ps FROM (SELECT page_id, {Q.clean_page('html')} AS c FROM {Q.BOTH}))")
 def split_paragraphs(spark, sf):
-    clean = S.read(spark, sf, "pages").select("page_id", T.clean_page(F.col("html")).alias("c"))
+    clean = S.lines(spark, sf).select("page_id", T.clean_page(F.col("html")).alias("c"))
     return clean.select("page_id", F.posexplode(T.paragraphs(F.col("c"))).alias("place", "paragraph")).withColumn("place", F.col("place") + 1)
 
 
@@ -410,12 +411,12 @@ def format_bytes(spark, sf):
 
 # Guards and layout
 
-_ANSWER = "substr(text, 1, 80) || ' [S0] [S' || (item_id % 7) || '] [S12] , said (p. ' || (item_id % 9) || ') and page #40 ( ) .'"
+_ANSWER = "text || ' [S0] [S' || (item_id % 7) || '] [S12] , said (p. ' || (item_id % 9) || ') and page #40 ( ) .'"
 _LABELS = r"array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || CASE WHEN i <= len(f) AND TRY_CAST(regexp_extract(f[i], '(\d+)', 1) AS BIGINT) BETWEEN 1 AND n THEN f[i] ELSE '' END), '')"
 
 
 def _answers(spark, sf):
-    text = F.concat(F.substring("text", 1, 80), F.lit(" [S0] [S"), (F.col("item_id") % 7).cast("string"), F.lit("] [S12] , said (p. "), (F.col("item_id") % 9).cast("string"), F.lit(") and page #40 ( ) ."))
+    text = F.concat(F.col("text"), F.lit(" [S0] [S"), (F.col("item_id") % 7).cast("string"), F.lit("] [S12] , said (p. "), (F.col("item_id") % 9).cast("string"), F.lit(") and page #40 ( ) ."))
     return S.read(spark, sf, "benchmark").select("item_id", text.alias("answer"), (F.col("item_id") % 5).alias("n"))
 
 
@@ -477,10 +478,10 @@ _LINE = Q.trimmed("x")
 
 
 @registered(
-    rf"SELECT page_id, kind, count(*) AS n, CAST(sum(length(said)) AS BIGINT) AS chars FROM (SELECT page_id, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN 'heading' WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN 'bullet' ELSE 'text' END AS kind, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN h WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN regexp_replace(l, '^[-*•][{K.SPACE}]+', '') ELSE l END AS said FROM (SELECT page_id, l, regexp_replace(l, ':$', '') AS h FROM (SELECT page_id, {_LINE} AS l FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS x FROM pages)) WHERE length(l) > 0)) GROUP BY ALL"
+    rf"SELECT page_id, kind, count(*) AS n, CAST(sum(length(said)) AS BIGINT) AS chars FROM (SELECT page_id, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN 'heading' WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN 'bullet' ELSE 'text' END AS kind, CASE WHEN regexp_matches(h, '^[A-Z][A-Z /&-]{{2,}}$') THEN h WHEN regexp_matches(l, '^[-*•][{K.SPACE}]+') THEN regexp_replace(l, '^[-*•][{K.SPACE}]+', '') ELSE l END AS said FROM (SELECT page_id, l, regexp_replace(l, ':$', '') AS h FROM (SELECT page_id, {_LINE} AS l FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS x FROM {Q.BOTH})) WHERE length(l) > 0)) GROUP BY ALL"
 )
 def summary_lines(spark, sf):
-    lines = S.read(spark, sf, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("x"))
+    lines = S.lines(spark, sf).select("page_id", F.explode(F.split("html", "\n")).alias("x"))
     kind, said = G.summary_line(F.col("x"))
     return lines.select("page_id", kind.alias("kind"), said.alias("said")).where("kind is not null").groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("said")).alias("chars"))
 
@@ -507,12 +508,24 @@ def failure_messages(spark, sf):
     return S.read(spark, sf, "conversations").select("conv_id", "turn", G.failure_message(raw).alias("message"))
 
 
-@registered()
+_OWN = """corpus AS (SELECT source AS scope, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal, doc_id, coalesce(text, '') AS text, CAST(1 AS BIGINT) AS page_number, true AS has_vector FROM documents WHERE doc_id % 10 <> 9)"""
+
+
+@registered(
+    "WITH "
+    + Q.retrieval(_OWN)
+    + f""",
+had AS (SELECT query_id, list(doc_id ORDER BY rank) AS found FROM best JOIN corpus USING (scope, ordinal) WHERE rank <= {K.HITS} GROUP BY query_id),
+ready AS (SELECT DISTINCT scope FROM corpus)
+SELECT query_id, CASE WHEN length(query) < 2 THEN 'invalid' WHEN r.scope IS NULL THEN 'no_documents' END AS code,
+  CASE WHEN length(query) < 2 OR r.scope IS NULL THEN NULL WHEN found IS NULL THEN '{K.NOT_FOUND.replace("'", "''")}' ELSE 'It says so. [S1] (p. 1)' END AS answer,
+  coalesce(array_to_string(list_transform(found, lambda d: 'doc' || d || '.pdf'), ' '), '') AS sources, length(query) >= 2 AND r.scope IS NOT NULL AND found IS NULL AS not_found
+FROM questions q LEFT JOIN had USING (query_id) LEFT JOIN ready r ON q.scope = r.scope"""
+)
 def ask_with_echo(spark, sf):
-    """Questions through the whole of ask(), with a model that quotes its first source."""
-    documents = S.documents(spark, sf)
-    made = S.pages(spark, sf).select("document_id", "page_number", F.lit(0).alias("chunk_index"), "text")
-    scopes = documents.groupBy("user_id").agg(F.array_sort(F.collect_list("document_id")).alias("document_ids"))
-    requests = S.questions(spark, sf).withColumnRenamed("scope", "user_id").join(scopes, "user_id").withColumn("conversation_id", F.col("query_id"))
+    """Questions through the whole of ask(), with a model that cites what it has and what it hasn't."""
+    made = S.pages(spark, sf).select("document_id", "page_number", F.lit(0).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"))
+    requests = S.questions(spark, sf).withColumn("user_id", F.col("scope")).withColumn("conversation_id", F.col("query_id"))
     history = O.prompt_history(S.messages(spark, sf))
-    return ask(requests, documents, made, history, lambda system, prompt: "It says so. [S1] [S99] (p. 1) (p. 77)")
+    answers = ask(requests, S.documents(spark, sf), made, history, lambda system, prompt: "It says so. [S1] [S99] (p. 1) (p. 77)", S.selection(spark, sf))
+    return answers.select("query_id", "code", "answer", F.array_join(F.transform("sources", lambda s: s["file_name"]), " ").alias("sources"), "not_found")

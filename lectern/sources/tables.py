@@ -33,6 +33,15 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return places.join(texts, "document_id").select("scope", "ordinal", "document_id", F.lit(0).alias("chunk_index"), F.lit(1).cast("long").alias("page_number"), F.concat(F.lit("doc"), F.col("document_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(True).alias("has_vector"), "text")
 
 
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, html): web pages as they are, every tag on a line of its own, and documents with each sentence as an item of
+    a list."""
+    pages = read(spark, folder, "pages")
+    broken = pages.select((-1 - F.col("page_id")).alias("page_id"), F.replace("html", F.lit(">"), F.lit(">\n")).alias("html"))
+    listed = F.concat(F.lit("- "), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n- ")))
+    return pages.select("page_id", "html").unionByName(broken).unionByName(read(spark, folder, "documents").select((1_000_000 + F.col("doc_id")).alias("page_id"), listed.alias("html")))
+
+
 def halves(spark: SparkSession, folder: str) -> DataFrame:
     """Passages: the halves of each text, each on a page of its own."""
     text = F.coalesce("text", F.lit(""))

@@ -141,6 +141,9 @@ CORPUS = "corpus AS (SELECT source AS scope, row_number() OVER (PARTITION BY sou
 SCOPED = """corpus AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY doc_id, page_number) AS ordinal FROM (
   SELECT source AS scope, doc_id, CAST(p AS BIGINT) AS page_number, doc_id % 7 <> 3 AS has_vector, CASE p WHEN 1 THEN substr(t, 1, length(t) // 2) ELSE substr(t, length(t) // 2 + 1) END AS text
   FROM (SELECT *, coalesce(text, '') AS t, unnest([1, 2]) AS p FROM documents) WHERE doc_id % 10 <> 9))"""
+#: Web pages as they are, every tag on a line of its own, and documents with each sentence as an item of a list.
+BOTH = """(SELECT page_id, html FROM pages UNION ALL SELECT -1 - page_id, replace(html, '>', '>' || chr(10)) FROM pages
+  UNION ALL SELECT 1000000 + doc_id, '- ' || replace(coalesce(text, ''), '. ', '.' || chr(10) || '- ') FROM documents)"""
 QUESTIONS = f"questions AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS scope, trim(substr(text, 1, {K.QUERY_CHARS})) AS query FROM benchmark)"
 POSTINGS = f"postings AS (SELECT scope, ordinal, token, count(*) AS tf FROM (SELECT scope, ordinal, unnest({tokens('text')}) AS token FROM corpus) GROUP BY ALL)"
 SIZED = "sized AS (SELECT scope, ordinal, coalesce(n, 0) AS length FROM corpus LEFT JOIN (SELECT scope, ordinal, sum(tf) AS n FROM postings GROUP BY ALL) USING (scope, ordinal))"

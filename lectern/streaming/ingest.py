@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,13 +21,20 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def ingest_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Passages of all pages that arrive, as Parquet under out/batch=N. A document's pages must arrive in one file.
+    """Passages of all pages that arrive, as Parquet under out/batch=N. A document's pages must arrive in one batch, in one
+    file, say: passages are numbered through a document. A batch with more pages of a document that an earlier one had
+    stops the stream with a ValueError, rather than number its passages anew.
 
     A batch that is run again overwrites its own folder, so a restart neither loses nor repeats passages.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         made = passages(numbered_pages(batch))
+        with contextlib.suppress(AnalysisException):  # nothing is stored yet
+            before = batch.sparkSession.read.option("basePath", out).parquet(f"{out}/batch=*").where(F.col("batch") < number)
+            again = before.join(batch.select("document_id").distinct(), "document_id", "left_semi").select("document_id").first()
+            if again is not None:
+                raise ValueError(f"document {again[0]} has come in two batches")
         made.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Retrieval over a small report: what ranks first, what is refused, and who may see what."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lectern.functions import constants as K
@@ -176,3 +177,8 @@ def test_stream_gives_the_same_passages(spark, tables, tmp_path):
     ingest_stream(source, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
     got = stored_passages(spark, f"{tmp_path}/out").select(*made.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made.collect()))
+    # More pages of a document that has come already stop the stream.
+    rows.where("document_id = 1 and page_number = 1").coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    late = ingest_stream(source, f"{tmp_path}/out", f"{tmp_path}/state")
+    with pytest.raises(StreamingQueryException, match="two batches"):
+        late.awaitTermination(120)

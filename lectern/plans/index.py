@@ -11,7 +11,8 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators.headings import passage_traits
 from ..operators.lexical import postings
-from ..operators.vectors import topical_words
+from ..operators.vectors import EMBEDDERS
+from ..sources.pages import rewrite_documents
 from ..sources.scratch import scratch
 
 KEYS = ("document_id", "chunk_index")
@@ -29,19 +30,28 @@ class Index(NamedTuple):
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
+    return Index(*(spark.read.parquet(f"{path}/{name}").drop("bucket") for name in Index._fields))
 
 
-def write_index(passages: DataFrame, path: str, mode: str = "error") -> Index:
-    """The index of passages (document_id, chunk_index, text), as tables under a path; postings lie in order of tokens."""
+def _derived(passages: DataFrame, embedder: str) -> Index:
     own = passages.select(*KEYS, "text")
-    words = own.select(*KEYS, topical_words(F.col("text")).alias("words"))
-    tables = Index(own, postings(own, KEYS).sortWithinPartitions("token"), words.select("*", F.size("words").cast("long").alias("length"), F.lit(K.EMBEDDER).alias("embedder")), passage_traits(own, KEYS))
-    for name, table in tables._asdict().items():
-        table.write.mode(mode).parquet(f"{path}/{name}")
+    words = own.select(*KEYS, EMBEDDERS[embedder].words(F.col("text")).alias("words"))
+    # As many words as are tokens: a token is a topical word's stem.
+    sized = words.select("*", F.size("words").cast("long").alias("length"), F.lit(embedder).alias("embedder"))
+    return Index(own, postings(own, KEYS).sortWithinPartitions("token"), sized, passage_traits(own, KEYS))
+
+
+def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER) -> Index:
+    """Index passages (document_id, chunk_index, text) under a path, at ingest: what is there of their documents already
+    is replaced, other documents stay."""
+    for name, table in _derived(passages, embedder)._asdict().items():
+        rewrite_documents(table, f"{path}/{name}")
     return open_index(passages.sparkSession, path)
 
 
-def indexed(passages: DataFrame) -> Index:
-    """The index of passages, each once, in the shared folder."""
-    return write_index(passages.dropDuplicates(list(KEYS)), scratch(passages.sparkSession, "index"))
+def indexed(passages: DataFrame, embedder: str = K.EMBEDDER) -> Index:
+    """The index of passages, each once, in the shared folder; postings lie in order of tokens."""
+    path = scratch(passages.sparkSession, "index")
+    for name, table in _derived(passages.dropDuplicates(list(KEYS)), embedder)._asdict().items():
+        table.write.parquet(f"{path}/{name}")
+    return open_index(passages.sparkSession, path)

@@ -10,7 +10,10 @@ from lectern.operators.headings import heading_scores, passage_traits
 from lectern.operators.passages import passages
 from lectern.operators.vectors import dense_vectors, sparse_vectors
 from lectern.plans.ask import ask, compare, summarize
-from lectern.plans.search import scoped, search, valid_queries
+from lectern.plans.index import open_index
+from lectern.plans.ingest import ingest
+from lectern.plans.search import retrieve, scoped, search, valid_queries
+from lectern.sources.pages import read_pages
 from lectern.streaming.ingest import ingest_stream, page_stream, stored_passages
 
 REPORT = {
@@ -182,3 +185,26 @@ def test_stream_gives_the_same_passages(spark, tables, tmp_path):
     late = ingest_stream(source, f"{tmp_path}/out", f"{tmp_path}/state")
     with pytest.raises(StreamingQueryException, match="two batches"):
         late.awaitTermination(120)
+
+
+def test_ingest_stores_documents_and_an_index_that_search_reads(spark, tables, tmp_path):
+    documents, pages, _ = tables
+    rows = pages.withColumn("ordinal", F.col("page_number")).select("document_id", "ordinal", F.col("page_number").cast("double").alias("page_number"), "text")
+    rows = rows.unionByName(spark.createDataFrame([(5, 1, 1.0, "")], rows.schema))
+    rows.write.parquet(f"{tmp_path}/in")
+    due = documents.unionByName(spark.createDataFrame([(5, "ann", "blank.pdf", 9, 1, "ready", None, 5)], documents.schema)).withColumn("status", F.lit("processing"))
+    for _ in range(2):
+        after = ingest(read_pages(spark, f"{tmp_path}/in"), due, f"{tmp_path}/out")
+    assert {r.document_id: r.status for r in after.collect()} == {1: "ready", 2: "ready", 3: "ready", 4: "failed", 5: "failed"}
+    index = open_index(spark, f"{tmp_path}/out/index")
+    kept = spark.read.parquet(f"{tmp_path}/out/passages")
+    assert index.passages.count() == kept.count() == passages(pages).count()
+    requests = spark.createDataFrame([(1, "ann", [1, 3, 5], "What are the limitations of the sonar arrays?"), (2, "bob", [1, 2], "When is the deadline?"), (3, "ann", [3], "lithium cells")], "query_id long, user_id string, document_ids array<long>, query string")
+    good, bad = valid_queries(requests.unionByName(spark.createDataFrame([(4, None, [1], "sonar"), (5, "ann", [], "sonar")], requests.schema)))
+    assert {r.query_id: (r.error_code, r.message) for r in bad.collect()} == {4: ("unauthenticated", K.SIGN_IN), 5: ("no_documents", K.SELECT_ONE)}
+    queries, places = scoped(good, after, kept)
+    found = retrieve(queries, places, index)
+    assert sorted(map(tuple, found.hits.collect())) == sorted(map(tuple, search(queries, places, kept).collect())) and found.hits.count() >= 2
+    assert {r.query_id: (r.candidate_count, r.used_vector_search) for r in found.facts.collect()} == {1: (7, True), 2: (1, True), 3: (1, True)}
+    other = after.withColumn("embedding_mode", F.lit("other-v1"))
+    assert not retrieve(*scoped(good, other, kept), index).facts.where("used_vector_search").count()

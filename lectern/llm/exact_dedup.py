@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored
+from .common import let_go, lower_ascii, stored
 
 #: Every digest's rows are spread over so many salts.
 SALTS = 8
@@ -59,6 +59,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     found = exact_dedup(docs, id_col, text_col)
     own = stored(found.groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n")).where("not kept or n > 1"), "decided")
+    let_go(docs.sparkSession)  # what combining has moved, before texts move once more
     again = own.where("kept").select("doc_id", "text_sha256")
 
     def named(keys: DataFrame):

@@ -37,6 +37,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
 
 
+def _check(file: dict) -> None:
+    """That a file asks for nothing beyond what is done here: byte-level BPE with the usual pattern, and special tokens
+    that are taken wherever their text stands."""
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and file.get("normalizer") is None
+    usual &= model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not usual or any(t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("the vocabulary file asks for a way of encoding that isn't implemented")
+
+
 class PrefixEncoder:
     """Exact BPE ids of a text, from a vocabulary file of the tokenizers library.
 
@@ -49,6 +59,7 @@ class PrefixEncoder:
     def __init__(self, path: str):
         with open(path) as f:
             file = json.load(f)
+        _check(file)
         vocab = file["model"]["vocab"]
         letters = byte_letters()
         back = {c: bytes([b]) for b, c in letters.items()}

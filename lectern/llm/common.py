@@ -12,9 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch, stored
-
-__all__ = ["scratch", "stored"]
+from ..sources.scratch import scratch as scratch
+from ..sources.scratch import stored as stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One row in four is held out of every fit: crc32 of the id as text, modulo 4, is 2.

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables of awkward rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -18,7 +19,7 @@ from lectern.llm import exact_dedup as E
 from lectern.llm import quality as Q
 from lectern.llm import secrets as X
 from lectern.llm import toxicity as T
-from lectern.llm.bpe import PrefixEncoder, decode_documents, encode_documents, round_trips
+from lectern.llm.bpe import PrefixEncoder, RoundTrips, decode_documents, encode_documents, round_trips
 from lectern.llm.components import connected_components
 from lectern.llm.near_copies import drop_similar, first_shingles, similar_components, similar_links, sketch
 from lectern.llm.packing import pack_documents
@@ -664,7 +665,12 @@ def test_substring_dedup(spark, docs, rows, empty):
 # BPE
 
 
-def test_bpe(docs, rows, empty):
+def draw_words(seed, n):
+    draw = random.Random(seed)
+    return ["".join(draw.choice("abcdeé'.9") for _ in range(draw.randint(1, 9))) for _ in range(n)]
+
+
+def test_bpe(docs, rows, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
     encoder = PrefixEncoder(path)
@@ -676,6 +682,18 @@ def test_bpe(docs, rows, empty):
     for i, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert got[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), True]
+    # Long texts go in parts: even ones, some without a space, and some that can't be cut.
+    long = [" ".join(draw_words(9, 60_000)), "x" * 70_000 + " y" * 50, "  ".join(draw_words(8, 9000)), "tab\t" * 20_000 + "é " * 20_000 + "<|endoftext|>"]
+    code = RoundTrips(path)
+    code.TOGETHER = 50_000
+    for text, got_one in zip(long, code(long), strict=True):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert got_one == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), True)
+    odd_file = json.load(open(path))
+    odd_file["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "odd.json").write_text(json.dumps(odd_file))
+    with pytest.raises(ValueError, match="isn't implemented"):
+        PrefixEncoder(str(tmp_path / "odd.json"))
     back = decode_documents(encode_documents(docs, path), path)
     assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(((i, t or "") for i, t in rows), key=repr)
     assert round_trips(empty, path).count() == 0

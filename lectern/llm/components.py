@@ -8,21 +8,30 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
+#: Rows of two numbers that a file holds at least, where there are so many.
+FILE_ROWS = 500_000
+
+
+def _narrow(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """df stored, as few files: of at most about `rows` rows, which are a pair of numbers each."""
+    return stored(df.coalesce(max(1, -(-rows // FILE_ROWS))), name)
+
+
+def _least_neighbour(pairs: DataFrame, rows: int) -> DataFrame:
     # Partial aggregation first, so a hub's neighbours never meet in one task. Stored, so that the join back has an
     # exchange on either side and AQE can split a hub there.
-    return stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return _narrow(pairs.groupBy("u").agg(F.min("v").alias("m")), "least", rows)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+    least = _least_neighbour(both, 2 * rows).select("u", F.least("u", "m").alias("m"))
+    return _narrow(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large", rows)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = _least_neighbour(down)
+    least = _least_neighbour(down, rows)
     joined = down.join(least, "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
@@ -42,7 +51,8 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     before = mark(edges)
     for _ in range(rounds):
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        rows = before[0]
+        edges = _narrow(_small_star(_large_star(edges, rows), rows), "stars", 2 * rows)
         if (now := mark(edges)) == before:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
             return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,12 @@ HELD_OUT_OF, HELD_OUT = 4, 2
 
 def let_go(spark: SparkSession) -> None:
     """Let the driver collect plans that have run and that nothing refers to, so that executors delete their shuffle files:
-    in a long query these would otherwise stay until its end. For between steps that move much."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    in a long query these would otherwise stay until its end. For between steps that move much. It takes two rounds: the
+    first frees what Python has let go of, the second what that has held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,17 +42,22 @@ def _derived(passages: DataFrame, embedder: str) -> Index:
     return Index(own, postings(own, KEYS).sortWithinPartitions("token"), sized, passage_traits(own, KEYS))
 
 
+def _each(write, index: Index) -> None:
+    """Write the tables at the same time: none needs another, and each alone may leave cores idle."""
+    with ThreadPoolExecutor(len(index)) as pool:
+        for done in [pool.submit(write, *x) for x in index._asdict().items()]:
+            done.result()
+
+
 def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER) -> Index:
     """Index passages (document_id, chunk_index, text) under a path, at ingest: what is there of their documents already
     is replaced, other documents stay."""
-    for name, table in _derived(passages, embedder)._asdict().items():
-        rewrite_documents(table, f"{path}/{name}")
+    _each(lambda name, table: rewrite_documents(table, f"{path}/{name}"), _derived(passages, embedder))
     return open_index(passages.sparkSession, path)
 
 
 def indexed(passages: DataFrame, embedder: str = K.EMBEDDER) -> Index:
     """The index of passages, each once, in the shared folder; postings lie in order of tokens."""
     path = scratch(passages.sparkSession, "index")
-    for name, table in _derived(passages.dropDuplicates(list(KEYS)), embedder)._asdict().items():
-        table.write.parquet(f"{path}/{name}")
+    _each(lambda name, table: table.write.parquet(f"{path}/{name}"), _derived(passages.dropDuplicates(list(KEYS)), embedder))
     return open_index(passages.sparkSession, path)

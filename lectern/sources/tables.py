@@ -30,7 +30,8 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("source").orderBy("doc_id")
     places = d.select("source", "doc_id").select(F.col("source").alias("scope"), F.row_number().over(order).alias("ordinal"), F.col("doc_id").alias("document_id"))
     texts = d.select(F.col("doc_id").alias("document_id"), "text")
-    return places.join(texts, "document_id").select("scope", "ordinal", "document_id", F.lit(0).alias("chunk_index"), F.lit(1).cast("long").alias("page_number"), F.concat(F.lit("doc"), F.col("document_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(True).alias("has_vector"), "text")
+    # Dealt by document, so that what is derived of texts has as many tasks as their size asks for, not as their numbers'.
+    return places.join(texts.hint("merge"), "document_id").select("scope", "ordinal", "document_id", F.lit(0).alias("chunk_index"), F.lit(1).cast("long").alias("page_number"), F.concat(F.lit("doc"), F.col("document_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(True).alias("has_vector"), "text")
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Feature-hashed vectors, kept sparse, and cosine search over blocks of them."""
+"""Feature-hashed vectors, kept sparse, and cosine search over blocks of arrays."""
 
 from __future__ import annotations
 
@@ -104,7 +104,8 @@ def _embed(words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         k, m = np.searchsorted(beside, (low, high))
         pair_where = (row[beside[k:m]] - at) * K.DIMENSIONS + pair_slot[which[k:m]]
         size = n * K.DIMENSIONS
-        dense = np.bincount(where, value[places], size) + np.bincount(pair_where, pair_sign[which[k:m]] * K.PAIR_WEIGHT, size)
+        # Without a single word, counts are whole numbers.
+        dense = np.bincount(where, value[places], size).astype(np.float64) + np.bincount(pair_where, pair_sign[which[k:m]] * K.PAIR_WEIGHT, size)
         used = (np.bincount(where, minlength=size) + np.bincount(pair_where, minlength=size)).reshape(n, K.DIMENSIONS) > 0
         dense = dense.reshape(n, K.DIMENSIONS)
         norm = np.sqrt((dense * dense).sum(axis=1))
@@ -121,12 +122,12 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def _embedded(width: int):
+def _embedded(width: int, embedder: Embedder):
     def rows(batches):
         for b in batches:
             for at in range(0, b.num_rows, 4 * BLOCK):
                 part = b.slice(at, 4 * BLOCK)
-                slots, weights = _embed(part.column(width))
+                slots, weights = embedder.embed(part.column(width))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], _lists(slots, pa.int32()), _lists(weights, pa.float64())], names=[*part.schema.names[:width], "slots", "weights"])
 
     return rows
@@ -149,14 +150,19 @@ def topical_words(text: Column) -> Column:
 EMBEDDERS = {K.EMBEDDER: Embedder(topical_words, _embed, K.DIMENSIONS)}
 
 
-def vectors(rows: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """(keys, slots, weights): the unit vector of each text, as parallel arrays of the slots that its features hit.
+def embedded(words: DataFrame, keys: tuple[str, ...], embedder: str = K.EMBEDDER) -> DataFrame:
+    """(keys, slots, weights): the unit vector of each row's words, as parallel arrays of the slots that its features hit."""
+    words = words.select(*keys, "words")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields[:-1])
+    return words.mapInArrow(_embedded(len(keys), EMBEDDERS[embedder]), f"{schema}, slots array<int>, weights array<double>")
+
+
+def vectors(rows: DataFrame, keys: tuple[str, ...], text_col: str = "text", embedder: str = K.EMBEDDER) -> DataFrame:
+    """(keys, slots, weights): the unit vector of each text.
 
     Words are cut out by column expressions. Hashing is for all of a batch's distinct words and pairs at once, byte by
     byte over arrays, in an Arrow function: the same as column expressions takes a row for every feature of a text."""
-    words = rows.select(*keys, topical_words(F.col(text_col)).alias("words"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields[:-1])
-    return words.mapInArrow(_embedded(len(keys)), f"{schema}, slots array<int>, weights array<double>")
+    return embedded(rows.select(*keys, EMBEDDERS[embedder].words(F.col(text_col)).alias("words")), keys, embedder)
 
 
 def sparse_vectors(rows: DataFrame, keys: tuple[str, ...], text_col: str = "text") -> DataFrame:
@@ -171,16 +177,7 @@ def dense_vectors(sparse: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return pairs.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(K.DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
-def _matrix(table: pa.Table, embedder: Embedder) -> np.ndarray:
-    """The vectors of a few rows' words, as a dense block."""
-    words = table.column("words").combine_chunks()
-    out = np.zeros((table.num_rows, embedder.dimensions))
-    for row, slots, weights in zip(out, *embedder.embed(words), strict=True):
-        row[slots] = weights
-    return out
-
-
-def _top(scores: np.ndarray, ties: np.ndarray, most: int) -> np.ndarray:
+def top_places(scores: np.ndarray, ties: np.ndarray, most: int) -> np.ndarray:
     """Places of the largest scores, ties to the smaller."""
     if len(scores) > 4 * most:
         few = np.flatnonzero(scores >= np.partition(scores, -most)[-most])
@@ -188,56 +185,6 @@ def _top(scores: np.ndarray, ties: np.ndarray, most: int) -> np.ndarray:
     return np.lexsort((ties, -scores))[:most]
 
 
-def _pool(most: int, embedder: Embedder):
-    def task(key, queries: pa.Table, passages: pa.Table) -> pa.Table:
-        ids, scopes, ordinals, cosines = [], [], [], []
-        queries = queries.combine_chunks()
-        for q_at in range(0, queries.num_rows, QUERIES):
-            own = queries.slice(q_at, QUERIES)
-            q = _matrix(own, embedder)
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * own.num_rows
-            for at in range(0, passages.num_rows, BLOCK):
-                part = passages.slice(at, BLOCK)
-                got = np.round(q @ _matrix(part, embedder).T, 9)
-                places = part.column("ordinal").to_numpy()
-                for k, row in enumerate(got):
-                    hit = np.flatnonzero(row)
-                    s, o = np.concatenate([best[k][0], row[hit]]), np.concatenate([best[k][1], places[hit]])
-                    if len(s) > most:
-                        top = _top(s, o, most)
-                        s, o = s[top], o[top]
-                    best[k] = (s, o)
-            for k, (s, o) in enumerate(best):
-                ids += [own.column("query_id")[k].as_py()] * len(s)
-                scopes += [own.column("scope")[k].as_py()] * len(s)
-                ordinals.append(o)
-                cosines.append(s)
-        return pa.table([pa.array(ids, queries.schema.field("query_id").type), pa.array(scopes, queries.schema.field("scope").type), pa.array(np.concatenate(ordinals or [[]]).astype(np.int64)), pa.array(np.concatenate(cosines or [[]]), pa.float64())], names=["query_id", "scope", "ordinal", "cosine"])
-
-    return task
-
-
-def cosine_pool(queries: DataFrame, passages: DataFrame, most: int = K.VECTOR_POOL, block: int = VECTORS, embedder: str = K.EMBEDDER) -> DataFrame:
-    """The `most` best passages of each query: (query_id, scope, ordinal, cosine), ties to the smaller ordinal.
-
-    queries: (query_id, scope, words); passages: (scope, ordinal, words), as the embedder's words() gives them. A scope's passages are dealt to blocks of at most
-    `block` by their ordinals, its queries go to each block, and a block is one task that keeps the best of its own: so a
-    large scope is many tasks, and what leaves them is `most` rows a query. Vectors are made where they are scored, from
-    words, which are smaller. A cosine of 0 has no row, which leaves the order of all others as it is, and 0 is below
-    the relevance floor.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    asked = queries.select("query_id", F.col("scope").alias("q_scope"), "words")
-    place = (F.col("ordinal") / block).cast("long")
-    blocks = passages.select(F.col("scope").alias("b_scope"), place.alias("b_block")).distinct()
-    sent = asked.join(blocks, F.col("q_scope") == F.col("b_scope")).select("query_id", F.col("b_scope").alias("scope"), F.col("b_block").alias("block"), "words")
-    own = passages.join(asked.select(F.col("q_scope").alias("scope")).distinct(), "scope", "left_semi")
-    placed = own.select("scope", place.alias("block"), F.col("ordinal").cast("long").alias("ordinal"), "words")
-    near = sent.groupBy("scope", "block").cogroup(placed.groupBy("scope", "block")).applyInArrow(_pool(most, EMBEDDERS[embedder]), f"query_id {kinds['query_id']}, scope {kinds['scope']}, ordinal long, cosine double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "ordinal")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
-
-
 def _nearest(k: int):
     def task(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
         ids, found, cosines = [], [], []
@@ -258,7 +205,7 @@ def _nearest(k: int):
                 both = q_norm[at] * v_norm
                 cosine = np.round(np.where(both > 0, v @ row / np.where(both > 0, both, 1.0), 0.0), 6)
                 other = np.flatnonzero(v_ids != q_ids[at])
-                top = other[_top(cosine[other], v_ids[other], k)]
+                top = other[top_places(cosine[other], v_ids[other], k)]
                 ids += [q_ids[at]] * len(top)
                 found.append(v_ids[top])
                 cosines.append(cosine[top])

@@ -9,55 +9,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import text as T
 from ..operators.headings import passage_traits
 from ..operators.lexical import postings
+from ..operators.vector_index import cell_bounds, clustered
 from ..operators.vectors import EMBEDDERS
-from ..sources.pages import rewrite_documents
 from ..sources.scratch import scratch
+from ..sources.versions import Store
 
 KEYS = ("document_id", "chunk_index")
 
 
 class Index(NamedTuple):
-    """passages: (document_id, chunk_index, text). terms: (document_id, chunk_index, token, tf). words: the topical words
-    that vectors are made of, and how many tokens there are, (document_id, chunk_index, words, length, embedder).
-    traits: (document_id, chunk_index, headings, stems, raw_words, tokens, has_body)."""
+    """passages: (document_id, chunk_index, text). terms: (document_id, chunk_index, token, tf), in order of tokens. sizes:
+    (document_id, chunk_index, length), in tokens. vectors: (document_id, chunk_index, cell, slots, weights, embedder), a
+    folder for each cell; cells: (cell, slots, high, low, embedder), their bounds. traits: (document_id, chunk_index,
+    headings, stems, raw_words, tokens, has_body)."""
 
     passages: DataFrame
     terms: DataFrame
-    words: DataFrame
+    sizes: DataFrame
+    vectors: DataFrame
+    cells: DataFrame
     traits: DataFrame
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}").drop("bucket") for name in Index._fields))
+def index_store(spark: SparkSession, path: str) -> Store:
+    """The store that an index is in, perhaps with other tables beside it."""
+    return Store(spark, path, order={"terms": "token"}, folders={"vectors": "cell"})
 
 
-def _derived(passages: DataFrame, embedder: str) -> Index:
+def open_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """The index of a version, the latest by default. Bounds of cells are of no document: those of rows that are void now
+    are bounds still."""
+    store = index_store(spark, path)
+    return Index(*(store.read(name, version) for name in Index._fields))._replace(cells=store.read("cells", version).drop("document_id"))
+
+
+def derived(passages: DataFrame, embedder: str = K.EMBEDDER) -> Index:
+    """The index's tables of passages (document_id, chunk_index, text); vectors are made and stored here, once."""
     own = passages.select(*KEYS, "text")
     words = own.select(*KEYS, EMBEDDERS[embedder].words(F.col("text")).alias("words"))
     # As many words as are tokens: a token is a topical word's stem.
-    sized = words.select("*", F.size("words").cast("long").alias("length"), F.lit(embedder).alias("embedder"))
-    return Index(own, postings(own, KEYS).sortWithinPartitions("token"), sized, passage_traits(own, KEYS))
+    sizes = words.select(*KEYS, F.size("words").cast("long").alias("length"))
+    name = F.lit(embedder).alias("embedder")
+    made = clustered(words, KEYS, embedder)
+    return Index(own, postings(own, KEYS).sortWithinPartitions("token"), sizes, made.select("*", name), cell_bounds(made, embedder).select("*", name), passage_traits(own, KEYS))
 
 
-def _each(write, index: Index) -> None:
-    """Write the tables at the same time: none needs another, and each alone may leave cores idle."""
-    with ThreadPoolExecutor(len(index)) as pool:
-        for done in [pool.submit(write, *x) for x in index._asdict().items()]:
-            done.result()
+def _keyed(index: Index) -> dict[str, DataFrame]:
+    """An index as tables of a store, whose rows are of documents: those of cells are of none, so they never become void."""
+    return {**index._asdict(), "cells": index.cells.withColumn("document_id", F.lit(None).cast("long"))}
 
 
-def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER) -> Index:
-    """Index passages (document_id, chunk_index, text) under a path, at ingest: what is there of their documents already
-    is replaced, other documents stay."""
-    _each(lambda name, table: rewrite_documents(table, f"{path}/{name}"), _derived(passages, embedder))
+def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER, documents: DataFrame | None = None, beside: dict[str, DataFrame] | None = None) -> Index:
+    """Index passages under a path, at ingest, in one commit with the tables `beside` them: all that is there of their
+    documents already is void from then on, other documents stay. documents (document_id): whose passages these are, with
+    those that have none any more; by default those that have some."""
+    store = index_store(passages.sparkSession, path)
+    store.commit({**_keyed(derived(passages, embedder)), **(beside or {})}, passages if documents is None else documents)
     return open_index(passages.sparkSession, path)
 
 
+def compact_index(spark: SparkSession, path: str, **how) -> int | None:
+    """Merge segments of like size. Vectors keep their cells, of which those without any go."""
+
+    def again(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        if "vectors" not in tables:
+            return tables
+        return {**tables, "cells": tables["cells"].join(tables["vectors"].select("cell").distinct(), "cell", "left_semi")}
+
+    return index_store(spark, path).compact(derive=again, **how)
+
+
 def indexed(passages: DataFrame, embedder: str = K.EMBEDDER) -> Index:
-    """The index of passages, each once, in the shared folder; postings lie in order of tokens."""
-    path = scratch(passages.sparkSession, "index")
-    _each(lambda name, table: table.write.parquet(f"{path}/{name}"), _derived(passages.dropDuplicates(list(KEYS)), embedder))
-    return open_index(passages.sparkSession, path)
+    """The index of passages, each once, in the shared folder."""
+    spark = passages.sparkSession
+    path, index = scratch(spark, "index"), derived(passages.dropDuplicates(list(KEYS)), embedder)
+
+    def write(name: str) -> DataFrame:
+        table = getattr(index, name)
+        if name == "vectors":  # they are stored already
+            return table
+        table.write.parquet(f"{path}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+    # At the same time: no table needs another, and each alone may leave cores idle.
+    with ThreadPoolExecutor(len(index)) as pool:
+        return Index(*pool.map(write, Index._fields))

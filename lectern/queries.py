@@ -18,10 +18,11 @@ from .operators.fusion import best, fuse
 from .operators.headings import heading_scores as _heading_scores
 from .operators.headings import passage_traits
 from .operators.passages import passages
-from .operators.vectors import array_topk, cosine_pool, sparse_vectors, topical_words
+from .operators.vector_index import words_pool
+from .operators.vectors import array_topk, sparse_vectors, topical_words
 from .plans.ask import ask, source_texts
-from .plans.index import indexed
-from .plans.search import retrieve, scoped, search
+from .plans.search import retrieval_facts as _retrieval_facts
+from .plans.search import scoped, search
 from .sources import pages as P
 from .sources import tables as S
 from .sources.scratch import stored
@@ -161,7 +162,7 @@ def embed_sparse(spark, sf):
 def cosine_topk(spark, sf):
     tokens = T.tokenize(F.col("query"))
     asked = S.questions(spark, sf).select("query_id", "scope", topical_words(T.expanded_text(F.col("query"), T.added_tokens(tokens))).alias("words"))
-    pool = cosine_pool(asked, S.corpus(spark, sf).withColumn("words", topical_words(F.col("text"))))
+    pool = words_pool(asked, S.corpus(spark, sf).withColumn("words", topical_words(F.col("text"))))
     top = best(pool.withColumnRenamed("cosine", "score"), 10)
     return top.select("query_id", "rank", F.col("ordinal").cast("long").alias("ordinal"), F.round("score", 6).alias("cosine"))
 
@@ -218,7 +219,7 @@ def rrf_fusion(spark, sf):
     post = L.postings(corpus)
     lexical = L.lexical_scores(questions, post, L.lengths(corpus)).withColumnRenamed("score", "lexical")
     asked = questions.select("query_id", "scope", topical_words(T.expanded_text(F.col("query"), T.added_tokens(T.tokenize(F.col("query"))))).alias("words"))
-    vector = cosine_pool(asked, corpus.withColumn("words", topical_words(F.col("text")))).withColumnRenamed("cosine", "vector")
+    vector = words_pool(asked, corpus.withColumn("words", topical_words(F.col("text")))).withColumnRenamed("cosine", "vector")
     hits = best(fuse(lexical, vector, _heading_scores(questions, stored(passage_traits(corpus), "traits"))), K.SEARCH_HITS)
     return hits.select("query_id", "rank", F.col("ordinal").cast("long").alias("ordinal"), F.round("score", 6).alias("score"))
 
@@ -241,7 +242,7 @@ def retrieval_facts(spark, sf):
     """How many passages each question was asked of, and whether vectors took part."""
     passages = S.halves(spark, sf)
     queries, places = scoped(S.questions(spark, sf), S.embedded_documents(spark, sf), passages, S.selection(spark, sf))
-    return retrieve(queries, places, indexed(passages), K.SEARCH_HITS).facts
+    return _retrieval_facts(queries, places)
 
 
 @registered(

@@ -10,8 +10,9 @@ from lectern.operators.headings import heading_scores, passage_traits
 from lectern.operators.passages import passages
 from lectern.operators.vectors import dense_vectors, sparse_vectors
 from lectern.plans.ask import ask, compare, summarize
-from lectern.plans.index import open_index
-from lectern.plans.ingest import ingest
+from lectern.plans.index import compact_index, index_store, indexed, open_index, store_index
+from lectern.plans.ingest import ingest, remove_documents
+from lectern.plans.ingest import stored_passages as kept_passages
 from lectern.plans.search import retrieve, scoped, search, valid_queries
 from lectern.sources.pages import read_pages
 from lectern.streaming.ingest import ingest_stream, page_stream, stored_passages
@@ -196,8 +197,8 @@ def test_ingest_stores_documents_and_an_index_that_search_reads(spark, tables, t
     for _ in range(2):
         after = ingest(read_pages(spark, f"{tmp_path}/in"), due, f"{tmp_path}/out")
     assert {r.document_id: r.status for r in after.collect()} == {1: "ready", 2: "ready", 3: "ready", 4: "failed", 5: "failed"}
-    index = open_index(spark, f"{tmp_path}/out/index")
-    kept = spark.read.parquet(f"{tmp_path}/out/passages")
+    index = open_index(spark, f"{tmp_path}/out")
+    kept = kept_passages(spark, f"{tmp_path}/out")
     assert index.passages.count() == kept.count() == passages(pages).count()
     requests = spark.createDataFrame([(1, "ann", [1, 3, 5], "What are the limitations of the sonar arrays?"), (2, "bob", [1, 2], "When is the deadline?"), (3, "ann", [3], "lithium cells")], "query_id long, user_id string, document_ids array<long>, query string")
     good, bad = valid_queries(requests.unionByName(spark.createDataFrame([(4, None, [1], "sonar"), (5, "ann", [], "sonar")], requests.schema)))
@@ -208,3 +209,64 @@ def test_ingest_stores_documents_and_an_index_that_search_reads(spark, tables, t
     assert {r.query_id: (r.candidate_count, r.used_vector_search) for r in found.facts.collect()} == {1: (7, True), 2: (1, True), 3: (1, True)}
     other = after.withColumn("embedding_mode", F.lit("other-v1"))
     assert not retrieve(*scoped(good, other, kept), index).facts.where("used_vector_search").count()
+    # Removal takes a document out of every table, for its owner alone.
+    left = remove_documents(spark.createDataFrame([("ann", 1), ("bob", 3)], "user_id string, document_id long"), after, f"{tmp_path}/out")
+    assert sorted(r.document_id for r in left.collect()) == [2, 3, 4, 5]
+    store = index_store(spark, f"{tmp_path}/out")
+    for name in ("pages", "passages", "places", "terms", "sizes", "vectors", "traits"):
+        assert {r.document_id for r in store.read(name).collect()} == {2, 3}
+    # A version that was opened before still is what it was.
+    assert index.passages.count() == passages(pages).count()
+
+
+def of_index(spark, index, question):
+    places = index.passages.select(F.lit("s").alias("scope"), F.col("document_id").alias("ordinal"), "document_id", "chunk_index", F.lit(1).cast("long").alias("page_number"), F.lit("a.pdf").alias("file_name"), F.lit(True).alias("has_vector"))
+    found = retrieve(spark.createDataFrame([(1, "s", question)], "query_id long, scope string, query string"), places, index).hits
+    return {r.document_id: r.score for r in found.collect()}
+
+
+def test_a_document_stored_again_loses_its_old_terms(spark, tmp_path):
+    def texts(*rows):
+        return spark.createDataFrame([(i, 0, t) for i, t in rows], "document_id long, chunk_index int, text string")
+
+    out = f"{tmp_path}/index"
+    store_index(texts((1, "sonar array gain over water"), (2, "plum jam and butter"), (3, "sonar buoys at sea")), out)
+    assert set(of_index(spark, open_index(spark, out), "sonar array")) == {1, 3}
+    store_index(texts((1, "about above after all")), out)
+    index = open_index(spark, out)
+    assert set(of_index(spark, index, "sonar array")) == {3} and index.passages.count() == 3
+    # And so does one that has no passage at all any more.
+    store_index(texts(), out, documents=spark.createDataFrame([(3,)], "document_id long"))
+    store_index(texts((4, "a sonar array in harbour")), out)
+    before = of_index(spark, open_index(spark, out), "sonar array")
+    assert set(before) == {4}
+    assert compact_index(spark, out, fan=2) is not None
+    assert of_index(spark, open_index(spark, out), "sonar array") == before and open_index(spark, out).passages.count() == 3
+
+
+def test_questions_and_passages_without_words(spark, tables):
+    documents, _, made = tables
+    requests = [(1, "ann", [1], 7, "what is the?"), (2, "ann", [1], 7, "Who pressed the hull?")]
+    asked = spark.createDataFrame(requests, "query_id long, user_id string, document_ids array<long>, conversation_id long, query string")
+    history = spark.createDataFrame([], "conversation_id long, place int, role string, content string")
+    said = {r.query_id: (r.code, r.not_found) for r in ask(asked.where("query_id = 1"), documents, made, history, lambda system, prompt: "x [S1]").collect()}
+    assert said == {1: (None, True)}
+    # Scopes whose last block holds no word, and whose only passages hold none.
+    empty = spark.createDataFrame([(1, 900 + k, 9, "the of and to in " * 20) for k in range(300)], "document_id long, chunk_index int, page_number long, text string")
+    for some in (made.select(*empty.columns).unionByName(empty), empty):
+        got = search(*scoped(asked.where("query_id = 2"), documents, some), some).collect()
+        assert [r.page_number for r in got][:1] == ([3] if some is not empty else [])
+
+
+def test_a_failing_vector_search_leaves_words_and_headings(spark, tables):
+    documents, _, made = tables
+    asked = spark.createDataFrame([(1, "ann", [1], "limitations of the sonar array")], "query_id long, user_id string, document_ids array<long>, query string")
+    queries, places = scoped(asked, documents, made)
+    index = indexed(made)
+    broken = index._replace(vectors=index.vectors.withColumn("weights", F.raise_error(F.lit("the index is gone")).cast("array<double>")))
+    with pytest.warns(RuntimeWarning, match="vector search failed"):
+        found = retrieve(queries, places, broken)
+    plain = retrieve(queries, places, index, use_vectors=False)
+    assert sorted(map(tuple, found.hits.collect())) == sorted(map(tuple, plain.hits.collect())) and not found.facts.first().used_vector_search
+    whole = retrieve(queries, places, index)
+    assert whole.facts.first().used_vector_search and whole.hits.count() >= 1

@@ -11,7 +11,7 @@ from lectern.operators.comparison import comparison_rows
 from lectern.operators.passages import overlap, passages, split_sentences
 from lectern.operators.store import file_size_label
 from lectern.plans.ask import source_texts
-from lectern.sources.pages import checked_files, ingest_status, numbered_pages, pages_from_runs, read_error, write_pages, write_passages
+from lectern.sources.pages import checked_files, ingest_status, numbered_pages, pages_from_runs, read_error
 
 
 def of(spark, expression, value, kind="string"):
@@ -154,13 +154,3 @@ def test_pages(spark):
     assert [r.error and r.error[-5:] for r in checked_files(files).collect()] == [None, "rted.", "gain.", "tes)."]
     assert of(spark, lambda c: read_error(F.lit("InvalidPDF"), c), "This has no pages") == "This has no pages"
     assert of(spark, lambda c: read_error(c, F.lit("")), "PasswordException").startswith("This PDF is password-protected")
-
-
-def test_stored_pages_are_not_repeated(spark, tmp_path):
-    first = spark.createDataFrame([(1, 1, "a" * 50), (1, 2, "b" * 500_000), (2, 1, "c" * 50)], "document_id long, page_number long, text string")
-    again = spark.createDataFrame([(1, 1, "new" * 20), (3, 1, "d" * 50)], "document_id long, page_number long, text string")
-    for pages in (first, first, again):
-        write_pages(pages, f"{tmp_path}/pages")
-        write_passages(passages(pages), f"{tmp_path}/passages")
-    kept = {(r.document_id, r.page_number): len(r.text) for r in spark.read.parquet(f"{tmp_path}/pages").collect()}
-    assert kept == {(1, 1): 60, (2, 1): 50, (3, 1): 50} and spark.read.parquet(f"{tmp_path}/passages").count() == 3

@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..operators.headings import passage_traits
 from ..operators.lexical import postings
 from ..operators.vector_index import cell_bounds, clustered
-from ..operators.vectors import EMBEDDERS
+from ..operators.vectors import EMBEDDERS, topical_words
 from ..sources.scratch import scratch
 from ..sources.versions import Store
 
@@ -45,20 +45,19 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> In
     return Index(*(store.read(name, version) for name in Index._fields))._replace(cells=store.read("cells", version).drop("document_id"))
 
 
-def derived(passages: DataFrame, embedder: str = K.EMBEDDER) -> Index:
-    """The index's tables of passages (document_id, chunk_index, text); vectors are made and stored here, once."""
-    own = passages.select(*KEYS, "text")
-    words = own.select(*KEYS, EMBEDDERS[embedder].words(F.col("text")).alias("words"))
-    # As many words as are tokens: a token is a topical word's stem.
-    sizes = words.select(*KEYS, F.size("words").cast("long").alias("length"))
-    name = F.lit(embedder).alias("embedder")
-    made = clustered(words, KEYS, embedder)
-    return Index(own, postings(own, KEYS).sortWithinPartitions("token"), sizes, made.select("*", name), cell_bounds(made, embedder).select("*", name), passage_traits(own, KEYS))
+def _vectors(passages: DataFrame, embedder: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of passages, made and stored here, once, and the bounds of their cells."""
+    words = passages.select(*KEYS, EMBEDDERS[embedder].words(F.col("text")).alias("words"))
+    made, name = clustered(words, KEYS, embedder), F.lit(embedder).alias("embedder")
+    return made.select("*", name), cell_bounds(made, embedder).select("*", name)
 
 
-def _keyed(index: Index) -> dict[str, DataFrame]:
-    """An index as tables of a store, whose rows are of documents: those of cells are of none, so they never become void."""
-    return {**index._asdict(), "cells": index.cells.withColumn("document_id", F.lit(None).cast("long"))}
+def _by_words(passages: DataFrame) -> dict[str, DataFrame]:
+    """The tables that are columns of passages (document_id, chunk_index, text)."""
+    own = passages.select(*KEYS, "text")
+    # As many tokens as topical words: a token is a topical word's stem.
+    sizes = own.select(*KEYS, F.size(topical_words(F.col("text"))).cast("long").alias("length"))
+    return {"passages": own, "terms": postings(own, KEYS).sortWithinPartitions("token"), "sizes": sizes, "traits": passage_traits(own, KEYS)}
 
 
 def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER, documents: DataFrame | None = None, beside: dict[str, DataFrame] | None = None) -> Index:
@@ -66,7 +65,10 @@ def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER, docu
     documents already is void from then on, other documents stay. documents (document_id): whose passages these are, with
     those that have none any more; by default those that have some."""
     store = index_store(passages.sparkSession, path)
-    store.commit({**_keyed(derived(passages, embedder)), **(beside or {})}, passages if documents is None else documents)
+    vectors, cells = _vectors(passages, embedder)
+    # Cells are of no document, so they never become void.
+    cells = cells.withColumn("document_id", F.lit(None).cast("long"))
+    store.commit({**_by_words(passages), "vectors": vectors, "cells": cells, **(beside or {})}, passages if documents is None else documents)
     return open_index(passages.sparkSession, path)
 
 
@@ -83,16 +85,18 @@ def compact_index(spark: SparkSession, path: str, **how) -> int | None:
 
 def indexed(passages: DataFrame, embedder: str = K.EMBEDDER) -> Index:
     """The index of passages, each once, in the shared folder."""
-    spark = passages.sparkSession
-    path, index = scratch(spark, "index"), derived(passages.dropDuplicates(list(KEYS)), embedder)
+    spark, passages = passages.sparkSession, passages.dropDuplicates(list(KEYS))
+    path = scratch(spark, "index")
 
-    def write(name: str) -> DataFrame:
-        table = getattr(index, name)
-        if name == "vectors":  # they are stored already
-            return table
+    def write(name: str, table: DataFrame) -> dict[str, DataFrame]:
         table.write.parquet(f"{path}/{name}")
-        return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+        return {name: spark.read.schema(table.schema).parquet(f"{path}/{name}")}
+
+    def vectors() -> dict[str, DataFrame]:
+        made, cells = _vectors(passages, embedder)
+        return {"vectors": made, **write("cells", cells)}
 
     # At the same time: no table needs another, and each alone may leave cores idle.
-    with ThreadPoolExecutor(len(index)) as pool:
-        return Index(*pool.map(write, Index._fields))
+    with ThreadPoolExecutor(len(Index._fields)) as pool:
+        tasks = [pool.submit(vectors), *(pool.submit(write, *item) for item in _by_words(passages).items())]
+        return Index(**{k: v for t in tasks for k, v in t.result().items()})

@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,9 @@ KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 #: What compressed data unpack to is scanned a stretch at a time, with so much of the one before: bytes of both.
 STRETCH, OVERLAP = 4 << 20, 1 << 20
+#: Bytes of compressed data inside compressed data that are held at a time; characters that one text's layers have, this
+#: many or so many times its own. What is beyond either is reported as unread.
+HOLD, LEAST_WORK, WORK = 64 << 20, 1 << 30, 64
 
 # Patterns as the scan is defined.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -31,9 +35,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
-_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# An escape of an escape's own sign, however often, is unwrapped at once: what lies between has no other text.
+_UNICODE = re.compile(r"\\(?:u005[Cc]|x5[Cc])*(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 _BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+")
+#: Stretches that can hold a match, in data that aren't text throughout.
+_TEXTUAL = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]{16,}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64 that follow one another, but for the last of one length or nearly so.
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
@@ -116,10 +124,37 @@ class Layer:
         return Layer(other, x, 0, y)
 
 
+class Blob(NamedTuple):
+    """Bytes that seem to be compressed, and the part of the original text that they come from."""
+
+    data: bytes
+    start: int
+    end: int
+
+
+class State:
+    """What one text's decoding has come to: parts of the text that weren't read to their end, and characters still allowed."""
+
+    def __init__(self, allowed: int):
+        self.unread: set[tuple[int, int]] = set()
+        self.left = allowed
+
+
 def _readable(text: str) -> bool:
     return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text) > 0
 
 
+def _text_of(data: bytes) -> str:
+    """The text that bytes are, or the stretches of text among them, one to a line; empty without any."""
+    try:
+        text = data.decode()
+        if _readable(text):
+            return text
+    except UnicodeDecodeError:
+        text = data.decode("utf-8", "replace")
+    return "\n".join(_TEXTUAL.findall(text))
+
+
 def _stream(data: bytes):
     """A maker of decompressors for what a string seems to be; None if it isn't compressed."""
     for mark, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor)):
@@ -131,10 +166,11 @@ def _stream(data: bytes):
 
 
 class _Unpacked:
-    """What compressed data hold, members one after another, in pieces of bounded size; `whole` once all was there."""
+    """What compressed data hold, members one after another, in pieces of bounded size; `whole` once all was there, `any`
+    once something was."""
 
     def __init__(self, data: bytes):
-        self.data, self.whole = data, False
+        self.data, self.whole, self.any = data, False, False
 
     def __iter__(self):
         data = self.data
@@ -146,52 +182,47 @@ class _Unpacked:
                     # zlib hands back what it hasn't read yet; the others keep it.
                     data = getattr(d, "unconsumed_tail", b"")
                     if got:
+                        self.any = True
                         yield got
                     elif not d.eof:
                         return  # cut short
             except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
                 return
+            self.any = True
             data = d.unused_data
         self.whole = True
 
 
-def _texts_of(data: bytes, state: list) -> Iterator[str]:
-    """The texts that data hold, straight or through nested compression, in overlapping stretches. state[0] turns false
-    where something couldn't be read to its end."""
-    if _stream(data) is None:
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            return
-        if _readable(text):
-            yield text
-        return
-    unpacked, held, first = _Unpacked(data), b"", True
-    decoder, tail, any_text = codecs.getincrementaldecoder("utf-8")(), "", False
-    nested = None
+def _opened(blob: Blob, state: State) -> Iterator[Layer | Blob]:
+    """What a blob unpacks to: layers of its text, in overlapping stretches, or one blob where that is compressed again."""
+    unpacked, nested, size = _Unpacked(blob.data), None, 0
+    decoder, tail, first = codecs.getincrementaldecoder("utf-8")("replace"), "", True
+    here = (blob.start, blob.end)
     for piece in unpacked:
+        state.left -= len(piece)
+        if state.left < 0:
+            state.unread.add(here)
+            return
         if first:
             first = False
-            if _stream(piece) is not None:
-                nested = [piece]
-                continue
+            nested = [] if _stream(piece) is not None else None
         if nested is not None:
+            size += len(piece)
+            if size > HOLD:
+                state.unread.add(here)
+                return
             nested.append(piece)
             continue
-        try:
-            text = decoder.decode(piece)
-        except UnicodeDecodeError:
-            return
-        if not any_text and not _readable(text[: 1 << 16]):
-            return
-        any_text = True
-        held = tail + text
-        yield held
+        held = tail + decoder.decode(piece)
+        text = held if "\ufffd" not in held and _readable(held[: 1 << 16]) and "\x00" not in held else "\n".join(_TEXTUAL.findall(held))
+        if text:
+            yield Layer(text, blob.start, 0, blob.end)
         tail = held[-OVERLAP:]
-    state[0] &= unpacked.whole
-    if nested is not None:
-        # Data that were compressed twice: the inner ones are as small as the outer ones' text.
-        yield from _texts_of(b"".join(nested), state)
+    # Two bytes may look like a zlib header by chance: what gives nothing at all isn't compressed.
+    if unpacked.any and not unpacked.whole:
+        state.unread.add(here)
+    if nested:
+        yield Blob(b"".join(nested), *here)
 
 
 # Characters by the number of bytes that they have in UTF-8; bytes that are none have no group.
@@ -200,28 +231,44 @@ _SIZES = re.compile("([\x00-\x7f]+)|([\x80-\u07ff]+)|([\u0800-\ud7ff\ue000-\ufff
 
 def _percent_parts(layer: Layer, packed: list) -> Iterator[tuple[int, int, str, int]]:
     for m in _PERCENT.finditer(layer.text):
-        data = bytes.fromhex(m[0].replace("%", ""))
+        if len(m[0]) == 3 * m[0].count("%"):
+            yield from _plain_escapes(m.start(), m[0], packed)
+            continue
+        # Escapes of unlike lengths: characters from them one by one.
+        units = [(m.start() + u.start(), m.start() + u.end(), u[1]) for u in _ESCAPE.finditer(m[0])]
+        data = bytes.fromhex("".join(x for _, _, x in units))
         packed.append((m.start(), m.end(), data))
-        at = m.start()
-        # Bytes that aren't UTF-8 stay as they are written.
-        for g in _SIZES.finditer(data.decode("utf-8", "surrogateescape")):
-            n = g.lastindex or 1
-            stop = at + 3 * n * len(g[0])
-            if g.lastindex:
-                yield at, stop, g[0], 3 * n
-            at = stop
+        at = 0
+        for c in data.decode("utf-8", "surrogateescape"):
+            n = 1 if 0xD800 <= ord(c) < 0xE000 else len(c.encode())
+            if not 0xD800 <= ord(c) < 0xE000:
+                yield units[at][0], units[at + n - 1][1], c, units[at + n - 1][1] - units[at][0]
+            at += n
 
 
-def _unpacked(layer: Layer, packed: list, state: list) -> list[Layer]:
-    """Layers of what runs of escaped bytes hold, where that is compressed."""
-    return [layer.inside(a, b, text) for a, b, data in packed if _stream(data) is not None for text in _texts_of(data, state)]
+def _plain_escapes(start: int, run: str, packed: list) -> Iterator[tuple[int, int, str, int]]:
+    data = bytes.fromhex(run.replace("%", ""))
+    packed.append((start, start + len(run), data))
+    at = start
+    # Bytes that aren't UTF-8 stay as they are written.
+    for g in _SIZES.finditer(data.decode("utf-8", "surrogateescape")):
+        n = g.lastindex or 1
+        stop = at + 3 * n * len(g[0])
+        if g.lastindex:
+            yield at, stop, g[0], 3 * n
+        at = stop
 
 
-def _percent(layer: Layer, state: list) -> list[Layer]:
+def _blobs(layer: Layer, packed: list) -> list[Blob]:
+    """What runs of escaped bytes hold, where that is compressed."""
+    return [Blob(data, *layer.origin(a, b)) for a, b, data in packed if _stream(data) is not None]
+
+
+def _percent(layer: Layer) -> list[Layer | Blob]:
     if "%" not in layer.text:
         return []
     new = layer.replaced(_percent_parts(layer, packed := []))
-    return ([new] if new else []) + _unpacked(layer, packed, state)
+    return ([new] if new else []) + _blobs(layer, packed)
 
 
 def _unicode_parts(layer: Layer) -> Iterator[tuple[int, int, str, int]]:
@@ -231,17 +278,17 @@ def _unicode_parts(layer: Layer) -> Iterator[tuple[int, int, str, int]]:
             yield m.start(), m.end(), chr(code), m.end() - m.start()
 
 
-def _unicode(layer: Layer, state: list) -> list[Layer]:
+def _unicode(layer: Layer) -> list[Layer | Blob]:
     if "\\" not in layer.text:
         return []
     new = layer.replaced(_unicode_parts(layer))
     packed = [(m.start(), m.end(), bytes.fromhex(m[0].replace("\\x", ""))) for m in _BYTES.finditer(layer.text)]
-    return ([new] if new else []) + _unpacked(layer, packed, state)
+    return ([new] if new else []) + _blobs(layer, packed)
 
 
-def _base64(layer: Layer, state: list) -> list[Layer]:
-    """A layer of its own for each base64 run that decodes to text, straight or through nested compression: runs of one
-    line, lines that follow one another taken together, and parts of a run between slashes or dashes."""
+def _base64(layer: Layer) -> list[Layer | Blob]:
+    """A layer or a blob of its own for each base64 run that decodes to text or to compressed data: runs of one line, lines
+    that follow one another taken together, and parts of a run between slashes or dashes."""
     out = []
 
     def tried(a: int, b: int, run: str) -> bool:
@@ -252,9 +299,13 @@ def _base64(layer: Layer, state: list) -> list[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             return False
-        found = [layer.inside(a, b, text) for text in _texts_of(data, state)]
-        out.extend(found)
-        return bool(found)
+        if _stream(data) is not None:
+            out.append(Blob(data, *layer.origin(a, b)))
+            return True
+        text = _text_of(data)
+        if text:
+            out.append(layer.inside(a, b, text))
+        return bool(text)
 
     for m in _BASE64.finditer(layer.text):
         if not tried(m.start(), m.end(), m[0]) and re.search("[/_-]", m[0]):
@@ -265,48 +316,61 @@ def _base64(layer: Layer, state: list) -> list[Layer]:
     return out
 
 
-def scan_layers(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int, bool]:
-    """Base spans, all spans, the number of layers read, and whether every layer was read in full.
+def scan_layers(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int, list[tuple[int, int]]]:
+    """Base spans, all spans, the number of layers, and the parts of the text that weren't read to their end.
 
-    The worklist starts with the text. Each layer is scanned, then decoded in every way that changes it; the results
-    join the list unless a layer of that text from that place has been there, so the work ends at the fixpoint. Spans
-    found in a layer are mapped to the part of the original text from which they decode. What compressed data hold is
-    read to its end, in overlapping stretches that are layers each, however much it is.
+    One worklist starts with the text. A text layer is scanned, then decoded in every way that changes it; a blob is
+    unpacked. Results join the list unless the same text or bytes from that place have been there, so the work ends at the
+    fixpoint, however deep it lies and whatever unpacks to itself. Spans found in a layer are mapped to the part of the
+    original text from which they decode. What compressed data hold is read in overlapping stretches that are layers each.
     """
     base = sorted(scan(text), key=lambda s: (s[0], KINDS.index(s[2])))
     if not ("%" in text or "\\" in text or _BASE64.search(text)):
-        return base, base, 1, True
-    spans, state, n = set(base), [True], 0
-    seen, work = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}, deque([Layer(text)])
+        return base, base, 1, []
+    spans, state, n = set(base), State(max(LEAST_WORK, WORK * len(text))), 0
+    work: deque[Layer | Blob] = deque([Layer(text)])
+    seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
     while work:
-        layer = work.popleft()
+        item = work.popleft()
         n += 1
-        if n > 1:
-            for a, b, kind in scan(layer.text):
-                spans.add((*layer.origin(a, b), kind))
-        for decode in (_percent, _unicode, _base64):
-            for new in decode(layer, state):
-                if not new.text:
-                    continue
+        if isinstance(item, Blob):
+            found: Iterable[Layer | Blob] = _opened(item, state)
+        else:
+            if n > 1:
+                for a, b, kind in scan(item.text):
+                    spans.add((*item.origin(a, b), kind))
+            found = (new for decode in (_percent, _unicode, _base64) for new in decode(item))
+        for new in found:
+            if isinstance(new, Blob):
+                mark = (hashlib.sha256(new.data).digest(), new.start, new.end)
+            elif new.text:
                 mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), *new.origin(0, len(new.text)))
-                if mark not in seen:
-                    seen.add(mark)
-                    work.append(new)
-    return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), n, state[0]
+                state.left -= len(new.text)
+            else:
+                continue
+            if mark in seen:
+                continue
+            seen.add(mark)
+            if state.left < 0:
+                state.unread.add(mark[1:])
+            else:
+                work.append(new)
+    return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), n, sorted(state.unread)
 
 
 def listed(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def redacted(text: str, spans) -> str:
-    """The text with every span, overlapping ones merged, replaced by [SECRET]."""
+def redacted(text: str, spans, unread=()) -> str:
+    """The text with every span, overlapping ones merged, replaced by [SECRET], and every part that couldn't be read to its
+    end and holds no span by [UNREAD]."""
     out, at = [], 0
-    for a, b, _ in sorted(spans):
+    for a, b, name in sorted([(a, b, "[SECRET]") for a, b, _ in spans] + [(a, b, "[UNREAD]") for a, b in unread if not any(a < y and x < b for x, y, _ in spans)]):
         if b <= at:
             continue
         if a >= at:
-            out += [text[at:a], "[SECRET]"]
+            out += [text[at:a], name]
         at = b
     return "".join([*out, text[at:]])
 
@@ -319,9 +383,9 @@ def _scanned(batches):
     for b in slices(batches, 1):
         cols = [[] for _ in range(8)]
         for text in texts(b.column(1)):
-            base, spans, n, whole = scan_layers(text)
+            base, spans, n, unread = scan_layers(text)
             kinds = [k for _, _, k in base]
-            for c, v in zip(cols, (*(kinds.count(k) for k in KINDS), listed(base), listed(spans), n, whole, redacted(text, spans)), strict=True):
+            for c, v in zip(cols, (*(kinds.count(k) for k in KINDS), listed(base), listed(spans), n, not unread, redacted(text, spans, unread)), strict=True):
                 c.append(v)
         types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.bool_(), pa.string()]
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "n_layers", "complete", "clean_text"]
@@ -333,7 +397,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and clean_text, in which every span is replaced.
 
     Layers: runs of percent escapes, Unicode and byte escapes, base64 of 16 characters or more, wrapped or not, and gzip,
-    zlib, bzip2 or xz inside any of these, nested in any order. complete is false where compressed data break off. Null
+    zlib, bzip2 or xz inside any of these, nested in any order and depth. Bytes that aren't UTF-8 are replaced, and of data
+    that aren't text throughout the stretches that are get read. complete is false where compressed data break off, or go
+    beyond HOLD or WORK; clean_text has [UNREAD] there. Null
     text counts as empty and has no spans; very long texts are scanned whole, and a layer has a record for each decoded
     stretch only. Rows, repeated ones too, are scanned each for itself; nothing is shuffled. Empty tables give empty
     tables; other columns are ignored, whatever their names.
@@ -342,11 +408,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return two.mapInArrow(_scanned, SCHEMA)
 
 
+def _clean(text: str) -> str:
+    _, spans, _, unread = scan_layers(text)
+    return redacted(text, spans, unread)
+
+
 def _cleaned(at: int, length_at: int | None):
     def rows(batches):
         for b in slices(batches, at):
             cols = list(b.columns)
-            clean = [None if t is None else redacted(t, scan_layers(t)[1]) for t in b.column(at).to_pylist()]
+            clean = [None if t is None else _clean(t) for t in b.column(at).to_pylist()]
             cols[at] = pa.array(clean, b.schema.field(at).type)
             if length_at is not None:
                 old, new = b.column(length_at).to_pylist(), b.column(at).to_pylist()
@@ -358,7 +429,8 @@ def _cleaned(at: int, length_at: int | None):
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """docs, all columns and rows, with every span that scan_secrets() reports replaced by [SECRET]. A length column, if
+    """docs, all columns and rows, with every span that scan_secrets() reports replaced by [SECRET], and
+    what couldn't be read to its end by [UNREAD]. A length column, if
     one is named, follows for texts that change.
 
     Null text stays null, empty text empty; very long texts are scanned whole, repeated rows each for itself. An empty

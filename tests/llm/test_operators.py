@@ -21,6 +21,7 @@ from lectern.llm import secrets as X
 from lectern.llm import toxicity as T
 from lectern.llm.bpe import PrefixEncoder, RoundTrips, decode_documents, encode_documents, round_trips
 from lectern.llm.components import connected_components
+from lectern.llm import near_copies
 from lectern.llm.near_copies import drop_similar, first_shingles, similar_components, similar_links, sketch
 from lectern.llm.packing import pack_documents
 from lectern.llm.quality import quality_scores
@@ -252,10 +253,19 @@ def test_similar_components(spark, docs, rows, empty):
     assert similar_components(empty).count() == 0 and drop_similar(empty).count() == 0
 
 
+def set_rows(spark, sets):
+    def row(k, s):
+        s = sorted(s)
+        first = first_shingles(s)
+        return (k, len(s), s, first, s[len(first)] if len(first) < len(s) else None, *sketch(np.array(s)).tolist())
+
+    return spark.createDataFrame([row(k, s) for k, s in sets.items()], "node long, n int, shingles array<long>, first array<long>, after long, k0 long, k1 long, k2 long, k3 long")
+
+
 @pytest.mark.parametrize(("crowded", "rounds"), [(1, 0), (1, 2), (4, 1), (1000, 3)])
 def test_similar_links_loses_no_link(spark, crowded, rounds):
     sets = {k: frozenset(zlib.crc32(" ".join(x).encode()) for x in s) for k, s in enumerate({frozenset(shingles5(t)) for _, t in near_rows()})}
-    df = spark.createDataFrame([(k, len(s), sorted(s), first_shingles(sorted(s)), *sketch(np.array(sorted(s))).tolist()) for k, s in sets.items()], "node long, n int, shingles array<long>, first array<long>, k0 long, k1 long, k2 long, k3 long")
+    df = set_rows(spark, sets)
     links = similar_links(df.drop("shingles"), lambda nodes: df.join(nodes, "node", "left_semi").select("node", "shingles"), crowded, rounds)
     pairs = {(r.u, r.v) for r in links.collect()}
     assert pairs and all(near5(sets[a], sets[b]) for a, b in pairs)
@@ -263,6 +273,35 @@ def test_similar_links_loses_no_link(spark, crowded, rounds):
     assert joined == slow_components(sorted(sets), lambda a, b: near5(sets[a], sets[b]))
 
 
+@pytest.mark.parametrize("apart", [0, 64])
+def test_links_by_a_second_shingle(spark, monkeypatch, apart):
+    """Unlike sets that have one first shingle in common, with a few near copies among them."""
+    monkeypatch.setattr(near_copies, "APART", apart)
+    draw = random.Random(6)
+    sets = {k: frozenset([1, *draw.sample(range(10, 1 << 40), draw.choice([3, 4, 9, 30, 60]))]) for k in range(300)}
+    for k in range(0, 60, 3):
+        own = sorted(sets[k])
+        sets[1000 + k] = frozenset(own[:-1] + [draw.randrange(1 << 41, 1 << 42)] if len(own) > 9 else [*own, 1 << 43])
+    df = set_rows(spark, sets)
+    stores = {}
+    real = near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda d, name: stores.setdefault(name, real(d, name)) if name == "seconds" else real(d, name))
+    links = similar_links(df.drop("shingles"), lambda nodes: df.join(nodes, "node", "left_semi").select("node", "shingles"), 4, 1)
+    pairs = {(r.u, r.v) for r in links.collect()}
+    expected = {(a, b) for a in sets for b in sets if a < b and near5(sets[a], sets[b])}
+    assert slow_components(sorted(sets), lambda a, b: (a, b) in pairs or (b, a) in pairs) == slow_components(sorted(sets), lambda a, b: (a, b) in expected or (b, a) in expected) and expected
+    if not apart:
+        buckets = stores["seconds"].groupBy("s", "t").count().collect()
+        # What meets by both is near copies, not all that share one.
+        assert max(r["count"] for r in buckets) <= 3 and len(buckets) > 300
+
+
+def test_names_that_unlike_sets_share(spark):
+    df = spark.createDataFrame([(1, 10, 7), (2, 10, 7), (3, 10, 8), (4, 11, 8)], "doc_id long, node long, second long")
+    got = {r.doc_id: r.node for r in near_copies._apart(df).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == 11 and len(set(got.values())) == 3
+
+
 # Secrets
 
 
@@ -296,13 +335,14 @@ def test_decoded_layers():
     escaped = "".join(f"\\u{ord(c):04x}" for c in inner)
     percent = "".join(f"%{ord(c):02x}" for c in inner)
     for text in (f"é {once} z", f"é {packed} z", f"é {escaped} z", f"é {percent} z", f"é {base64.b64encode(once.encode()).decode()} z", f"é {quote(quote('secret=abc/defghijkl'), safe='')}", f"é {base64.b64encode(percent.encode()).decode()} z"):
-        base, spans, layers, whole = X.scan_layers(text)
+        base, spans, layers, unread = X.scan_layers(text)
         new = [s for s in spans if s not in base]
-        assert new and whole and layers > 1, text
+        assert new and not unread and layers > 1, text
         assert all(2 <= a < b <= len(text) for a, b, _ in new)
         assert "Abcdefgh" not in X.redacted(text, spans)
     assert X.scan_layers("%25" * 50 + "41")[2] < 60  # ends at a fixpoint
-    assert X.scan_layers("%" + "25" * 2000 + "41")[2] == 2002
+    # Escapes of escapes are unwrapped at once.
+    assert X.scan_layers("%" + "25" * 2000 + "41")[2] == 2 and X.scan_layers("\\" + "u005c" * 2000 + "u0041")[2] == 2
     # Wrapped lines, a run behind slashes, escaped bytes of compressed data, bytes that are no UTF-8, several members,
     # a secret far into a layer, and data that break off.
     wrapped = base64.b64encode(b"x" * 100 + b" " + inner.encode()).decode()
@@ -312,10 +352,68 @@ def test_decoded_layers():
     members = base64.b64encode(gzip.compress(b"nothing here, ") + gzip.compress(inner.encode())).decode()
     twice = base64.b64encode(zlib.compress(gzip.compress(inner.encode()))).decode()
     for text in (f"é {lines} z", f"é /usr/{once} z", "é " + "".join(f"%{c:02x}" for c in zipped) + " z", "é " + "".join(f"\\x{c:02x}" for c in zipped) + " z", "é %e9" + percent + "%e9 z", f"é {far} z", f"é {members} z", f"é {twice} z"):
-        base, spans, layers, whole = X.scan_layers(text)
-        assert [s for s in spans if s not in base] and whole and all(2 <= a < b <= len(text) for a, b, _ in spans), text[:80]
+        base, spans, layers, unread = X.scan_layers(text)
+        assert [s for s in spans if s not in base] and not unread and all(2 <= a < b <= len(text) for a, b, _ in spans), text[:80]
         assert "Abcdefgh" not in X.redacted(text, spans)
-    assert X.scan_layers(base64.b64encode(gzip.compress(inner.encode() * 900)[:-12]).decode())[3] is False
+    cut = base64.b64encode(gzip.compress(inner.encode() * 900)[:-12]).decode()
+    assert X.scan_layers(cut)[3] == [(0, len(cut))]
+
+
+def test_compression_of_any_depth_kind_and_content():
+    import base64
+    import gzip
+    import io
+    import tarfile
+    import time
+
+    inner = b"password=Abcdefgh12345678"
+    deep = inner
+    for _ in range(5000):
+        deep = gzip.compress(deep, 1, mtime=0)
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        member = tarfile.TarInfo("a/b.txt")
+        member.size = len(inner)
+        t.addfile(member, io.BytesIO(inner))
+    mixed = gzip.compress(bytes(range(256)) * 400 + b" " + inner + b" caf\xe9 " + bytes(70_000))
+    for data in (deep, tar.getvalue(), gzip.compress(inner + b" caf\xe9"), mixed, b"\xff\xfe\x00" + inner + b"\x00\xe9"):
+        text = f"é {base64.b64encode(data).decode()} z"
+        _, spans, _, unread = X.scan_layers(text)
+        assert (2, len(text) - 2, "assign") in spans and not unread
+    # Broken off: what is there is read, and the rest is marked.
+    broken = base64.b64encode(gzip.compress(random.Random(1).randbytes(5000))[:-40]).decode()
+    _, spans, _, unread = X.scan_layers(f"a {broken} z")
+    assert unread == [(2, 2 + len(broken))] and X.redacted(f"a {broken} z", spans, unread) == "a [UNREAD] z"
+    # More than is allowed of one text is marked, not read.
+    at = X.LEAST_WORK
+    try:
+        X.LEAST_WORK = 1 << 20
+        bomb = base64.b64encode(gzip.compress(bytes(32 << 20))).decode()
+        assert X.scan_layers(bomb)[3] == [(0, len(bomb))]
+    finally:
+        X.LEAST_WORK = at
+    began = time.process_time()
+    for text in ("%" + "25" * 500_000 + "41", "\\" + "u005c" * 200_000 + "u0041", "%2541bc" * 100_000):
+        X.scan_layers(text)
+    assert time.process_time() - began < 60
+
+
+def test_what_unpacks_to_itself_ends(monkeypatch):
+    """A stream that gives itself, by a decompressor that does."""
+    import base64
+
+    quine = b"\x1f\x8b" + b"itself again and again"
+
+    class Same:
+        eof, unused_data = False, b""
+
+        def decompress(self, data, most):
+            self.eof = True
+            return quine
+
+    monkeypatch.setattr(X, "_stream", lambda data: Same if data.startswith(b"\x1f\x8b") else None)
+    _, spans, layers, unread = X.scan_layers(base64.b64encode(quine).decode())
+    assert spans == [] and layers == 2 and not unread
 
 
 def test_spans_of_layers_by_position():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from ..functions import text as T
 from ..operators.comparison import cleaned_cell, comparison_rows
 from ..sources.scratch import stored
 from .index import Index
+from .ledger import Ledger
 from .search import scoped, search
 
 #: (system, prompt) -> answer. It runs on executors; an exception is a failed completion.
@@ -24,36 +26,54 @@ _WHITE = " \t\n\r\x0b\x0c\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2
 _NO_ACCESS = re.compile(K.NO_ACCESS, re.IGNORECASE)
 
 
-def completed(prompts: DataFrame, system: str, completer: Completer | Sequence[Completer] | None) -> DataFrame:
+def completed(prompts: DataFrame, system: str, completer: Completer | Sequence[Completer] | None, ledger: str | None = None, at_once: int = 1) -> DataFrame:
     """(id, answer, failure) from (id, prompt), stored, so that no prompt is ever completed for two readers.
 
     completer: a model, or the attempts in turn - the configured model and a plain default, say; a single one is tried
     twice. An answer of white space alone is a failure without a message. No attempt follows a failure of access. Without
-    any completer every failure is 'ai_not_configured'.
+    any completer every failure is 'ai_not_configured'. at_once: prompts that a task has open at a time, each in a thread.
+
+    ledger: a shared folder (Ledger) that keeps each answer as it arrives. What it has is not asked for again, by a task
+    that is tried again or by a later job, and prompts that are alike are asked once. Failures aren't kept.
     """
     attempts = [] if completer is None else [completer, completer] if callable(completer) else list(completer)
 
     def one(prompt: str):
+        kept = Ledger(ledger) if ledger else None
+        if kept and (answer := kept.get(Ledger.digest(system, prompt))) is not None:
+            return answer, None
         failure = "" if attempts else NOT_CONFIGURED
         for attempt in attempts:
             try:
                 answer = (attempt(system, prompt) or "").strip(_WHITE)
                 if answer:
-                    return answer, None
+                    break
                 failure = ""
             except Exception as e:  # noqa: BLE001  whatever a model's client raises is its failure
                 failure = str(e)
             if _NO_ACCESS.search(failure):
-                break
-        return None, failure
+                return None, failure
+        else:
+            return None, failure
+        if kept:
+            kept.put(Ledger.digest(system, prompt), answer)
+        return answer, None
 
     def rows(batches):
-        for b in batches:
-            got = [one(prompt) for prompt in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], names=["id", "answer", "failure"])
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                for at in range(0, b.num_rows, 16 * at_once):
+                    part = b.slice(at, 16 * at_once)
+                    got = list((pool.map if at_once > 1 else map)(one, part.column(1).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], names=["id", "answer", "failure"])
 
     asked = prompts.select(F.col("id").cast("string").alias("id"), "prompt")
-    return stored(asked.mapInArrow(rows, "id string, answer string, failure string"), "replies")
+    if ledger is None:
+        return stored(asked.mapInArrow(rows, "id string, answer string, failure string"), "replies")
+    asked = stored(asked.withColumn("name", F.sha2("prompt", 256)), "prompts")
+    once = asked.select("name", "prompt").dropDuplicates(["name"]).mapInArrow(rows, "id string, answer string, failure string")
+    replies = stored(once, "replies").withColumnRenamed("id", "name")
+    return asked.select("id", "name").join(replies, "name").select("id", "answer", "failure")
 
 
 #: The failure of every completion where no model is given.
@@ -66,7 +86,7 @@ def _failed(answer, failure):
     return F.when(answer.isNull(), F.when(none, NOT_CONFIGURED).otherwise("ai_failed")), F.when(answer.isNull(), F.when(none, "No AI model is configured.").otherwise(G.failure_message(failure)))
 
 
-def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame | Index, history: DataFrame, completer: Completer | Sequence[Completer] | None, selection: DataFrame | None = None) -> DataFrame:
+def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame | Index, history: DataFrame, completer: Completer | Sequence[Completer] | None, selection: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
     """(query_id, code, answer, sources, not_found) for requests (query_id, user_id, document_ids, conversation_id, query).
     With a selection, as scoped() takes it, requests have a scope instead of document_ids.
 
@@ -95,7 +115,7 @@ def ask(requests: DataFrame, documents: DataFrame, passages: DataFrame | Index,
     no_turns = F.array().cast("array<struct<place:int,role:string,content:string>>")
     found = good.join(by_query, "query_id")
     prompts = found.join(turns, "conversation_id", "left").select(F.col("query_id").cast("string").alias("id"), G.answer_prompt(F.col("hits"), F.coalesce("turns", no_turns), F.col("query")).alias("prompt"))
-    replies = completed(prompts, G.GROUNDED, completer).withColumnRenamed("id", "reply_id")
+    replies = completed(prompts, G.GROUNDED, completer, ledger).withColumnRenamed("id", "reply_id")
     answered = found.join(replies, F.col("query_id").cast("string") == F.col("reply_id"))
     clean = G.strip_pages(G.strip_labels(F.col("answer"), F.size("sources")), F.col("max_page"))
     answered = answered.withColumn("text", F.when(F.length(clean) > 0, clean).otherwise(K.NOT_FOUND))
@@ -128,11 +148,11 @@ def _described(documents: DataFrame, pages: DataFrame, budget: int) -> DataFrame
     return ready.select("document_id", "file_name", "page_count").join(source_texts(own, budget), "document_id")
 
 
-def summarize(documents: DataFrame, pages: DataFrame, completer: Completer | Sequence[Completer] | None) -> DataFrame:
+def summarize(documents: DataFrame, pages: DataFrame, completer: Completer | Sequence[Completer] | None, ledger: str | None = None) -> DataFrame:
     """(document_id, code, summary) for each document: guarded summaries of the ready ones."""
     texts = _described(documents, pages, K.SUMMARY_CHARS)
     prompts = texts.select(F.col("document_id").alias("id"), G.summary_prompt(F.col("file_name"), F.col("page_count"), F.col("source")).alias("prompt"))
-    replies = completed(prompts, G.SUMMARY, completer)
+    replies = completed(prompts, G.SUMMARY, completer, ledger)
     known = documents.select("document_id", "status", "page_count").join(replies, F.col("document_id").cast("string") == F.col("id"), "left")
     text = G.strip_pages(G.strip_labels(F.col("answer"), F.lit(0)), F.col("page_count"))
     wrong, said = _failed(F.col("answer"), F.col("failure"))
@@ -140,13 +160,13 @@ def summarize(documents: DataFrame, pages: DataFrame, completer: Completer | Seq
     return known.select("document_id", code.alias("code"), F.when(code.isNull(), text).otherwise(said).alias("summary"))
 
 
-def compare(pairs: DataFrame, documents: DataFrame, pages: DataFrame, completer: Completer | Sequence[Completer] | None) -> DataFrame:
+def compare(pairs: DataFrame, documents: DataFrame, pages: DataFrame, completer: Completer | Sequence[Completer] | None, ledger: str | None = None) -> DataFrame:
     """(id, position, category, a, b, error) for pairs (id, document_a, document_b) of ready documents."""
     texts = stored(_described(documents, pages, K.COMPARISON_CHARS), "texts")
     a, b = (texts.select(F.col("document_id").alias(f"document_{x}"), F.struct("file_name", "page_count", "source").alias(x)) for x in "ab")
     both = pairs.where("document_a <> document_b").join(a, "document_a").join(b, "document_b")
     sides = [(F.col(f"{x}.file_name"), F.col(f"{x}.page_count"), F.col(f"{x}.source")) for x in "ab"]
-    replies = completed(both.select("id", G.comparison_prompt(*sides).alias("prompt")), G.COMPARISON, completer)
+    replies = completed(both.select("id", G.comparison_prompt(*sides).alias("prompt")), G.COMPARISON, completer, ledger)
     table = comparison_rows(replies.select("id", F.coalesce("answer", F.lit("")).alias("raw")))
     counts = both.select(F.col("id").cast("string").alias("id"), F.col("a.page_count").alias("pages_a"), F.col("b.page_count").alias("pages_b"))
     return table.join(counts, "id").select("id", "position", "category", *[F.when(F.col(x).isNotNull(), cleaned_cell(F.col(x), F.col(f"pages_{x}"))).alias(x) for x in "ab"], "error")

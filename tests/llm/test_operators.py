@@ -273,7 +273,7 @@ def test_similar_links_loses_no_link(spark, crowded, rounds):
     assert joined == slow_components(sorted(sets), lambda a, b: near5(sets[a], sets[b]))
 
 
-@pytest.mark.parametrize("apart", [0, 64])
+@pytest.mark.parametrize("apart", [0, 1024])
 def test_links_by_a_second_shingle(spark, monkeypatch, apart):
     """Unlike sets that have one first shingle in common, with a few near copies among them."""
     monkeypatch.setattr(near_copies, "APART", apart)

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators.headings import passage_traits
+from ..operators.headings import heading_words, passage_traits
 from ..operators.lexical import postings
 from ..operators.vector_index import cell_bounds, clustered
 from ..operators.vectors import EMBEDDERS, topical_words
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from ..sources.versions import Store
 
 KEYS = ("document_id", "chunk_index")
@@ -23,7 +23,7 @@ class Index(NamedTuple):
     """passages: (document_id, chunk_index, text). terms: (document_id, chunk_index, token, tf), in order of tokens. sizes:
     (document_id, chunk_index, length), in tokens. vectors: (document_id, chunk_index, cell, slots, weights, embedder), a
     folder for each cell; cells: (cell, slots, high, low, embedder), their bounds. traits: (document_id, chunk_index,
-    headings, stems, raw_words, tokens, has_body)."""
+    headings, stems, raw_words, tokens, has_body); headings: (document_id, chunk_index, word), stems of headings."""
 
     passages: DataFrame
     terms: DataFrame
@@ -31,11 +31,12 @@ class Index(NamedTuple):
     vectors: DataFrame
     cells: DataFrame
     traits: DataFrame
+    headings: DataFrame
 
 
 def index_store(spark: SparkSession, path: str) -> Store:
     """The store that an index is in, perhaps with other tables beside it."""
-    return Store(spark, path, order={"terms": "token"}, folders={"vectors": "cell"})
+    return Store(spark, path, order={"terms": "token", "headings": "word"}, folders={"vectors": "cell"})
 
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
@@ -60,15 +61,18 @@ def _by_words(passages: DataFrame) -> dict[str, DataFrame]:
     return {"passages": own, "terms": postings(own, KEYS).sortWithinPartitions("token"), "sizes": sizes, "traits": passage_traits(own, KEYS)}
 
 
-def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER, documents: DataFrame | None = None, beside: dict[str, DataFrame] | None = None) -> Index:
+def store_index(passages: DataFrame, path: str, embedder: str = K.EMBEDDER, documents: DataFrame | None = None, beside: dict[str, DataFrame] | None = None, note: tuple[str, int] | None = None) -> Index:
     """Index passages under a path, at ingest, in one commit with the tables `beside` them: all that is there of their
     documents already is void from then on, other documents stay. documents (document_id): whose passages these are, with
     those that have none any more; by default those that have some."""
     store = index_store(passages.sparkSession, path)
     vectors, cells = _vectors(passages, embedder)
+    words = _by_words(passages)
+    traits = stored(words["traits"], "traits")
     # Cells are of no document, so they never become void.
     cells = cells.withColumn("document_id", F.lit(None).cast("long"))
-    store.commit({**_by_words(passages), "vectors": vectors, "cells": cells, **(beside or {})}, passages if documents is None else documents)
+    index = {**words, "traits": traits, "headings": heading_words(traits, KEYS), "vectors": vectors, "cells": cells}
+    store.commit({**index, **(beside or {})}, passages if documents is None else documents, note)
     return open_index(passages.sparkSession, path)
 
 
@@ -96,7 +100,12 @@ def indexed(passages: DataFrame, embedder: str = K.EMBEDDER) -> Index:
         made, cells = _vectors(passages, embedder)
         return {"vectors": made, **write("cells", cells)}
 
-    # At the same time: no table needs another, and each alone may leave cores idle.
+    def traits() -> dict[str, DataFrame]:
+        made = write("traits", words["traits"])
+        return {**made, **write("headings", heading_words(made["traits"], KEYS))}
+
+    words = _by_words(passages)
+    # At the same time: none of these needs another, and each alone may leave cores idle.
     with ThreadPoolExecutor(len(Index._fields)) as pool:
-        tasks = [pool.submit(vectors), *(pool.submit(write, *item) for item in _by_words(passages).items())]
+        tasks = [pool.submit(vectors), pool.submit(traits), *(pool.submit(write, *item) for item in words.items() if item[0] != "traits")]
         return Index(**{k: v for t in tasks for k, v in t.result().items()})

@@ -13,6 +13,7 @@ from .functions import guards as G
 from .functions import text as T
 from .operators import lexical as L
 from .operators import store as O
+from .operators.blockmax import blocked, bm25_best
 from .operators.comparison import comparison_rows
 from .operators.fusion import best, fuse
 from .operators.headings import heading_scores as _heading_scores
@@ -25,7 +26,8 @@ from .plans.search import retrieval_facts as _retrieval_facts
 from .plans.search import scoped, search
 from .sources import pages as P
 from .sources import tables as S
-from .sources.scratch import stored
+from .sources.scratch import scratch, stored
+from .sources.versions import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,6 +104,15 @@ def bm25_topk(spark, sf):
     return best(scores, 10).select("query_id", "rank", F.col("ordinal").alias("doc_id"), "score")
 
 
+@registered(ORACLE["bm25_topk"])
+def bm25_blocks(spark, sf):
+    """The rows of bm25_topk, from postings in blocks of which a question reads those that can matter."""
+    corpus = S.read(spark, sf, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("ordinal"), "text")
+    terms = S.questions(spark, sf).select("query_id", F.lit("all").alias("scope"), F.explode(T.tokenize(F.col("query"))).alias("token"))
+    found, _ = bm25_best(terms, blocked(L.postings(corpus), L.lengths(corpus)), 10, digits=6)
+    return found.select("query_id", "rank", F.col("ordinal").alias("doc_id"), "score")
+
+
 @registered(_with(Q.QUESTIONS, Q.ASKED, Q.EXPANDED) + "SELECT query_id, array_to_string(tokens, ' ') AS tokens, text FROM expanded")
 def expand_query(spark, sf):
     tokens = T.tokenize(F.col("query"))
@@ -109,13 +120,14 @@ def expand_query(spark, sf):
     return known.select("query_id", F.array_join(F.concat(tokens, F.col("added")), " ").alias("tokens"), T.expanded_text(F.col("query"), F.col("added")).alias("text"))
 
 
-_GROUP_SQL = f"SELECT word, array_to_string({Q.added('[s]')}, ' ') AS added FROM (SELECT w AS word, {Q.stem('w')} AS s FROM (SELECT DISTINCT unnest(flatten({Q.GROUPS})) AS w))"
+_WORDS_SQL = f"SELECT DISTINCT unnest({Q.words('text')}) AS word FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)"
 
 
-@registered(_GROUP_SQL)
+@registered(f"SELECT word, array_to_string({Q.added('[s]')}, ' ') AS added FROM (SELECT word, {Q.stem('word')} AS s FROM ({_WORDS_SQL}))")
 def synonym_groups(spark, sf):
-    """What each word of a concept adds to a question."""
-    words = spark.createDataFrame([(w,) for g in K.SYNONYM_GROUPS for w in g], "word string")
+    """What each word that is written anywhere would add to a question."""
+    texts = S.read(spark, sf, "benchmark").select("text").unionByName(S.read(spark, sf, "documents").select("text"))
+    words = texts.select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
     return words.select("word", F.array_join(T.added_tokens(F.array(T.stem(F.col("word")))), " ").alias("added"))
 
 
@@ -319,6 +331,23 @@ def file_checks(spark, sf):
     return P.checked_files(files).select(F.col("doc_id").alias("document_id"), "error")
 
 
+# The store
+
+
+@registered(f"SELECT doc_id AS document_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({Q.tokens('t')}) AS token FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, length(text) // 2) ELSE text END AS t FROM documents WHERE doc_id % 7 <> 0)) GROUP BY ALL")
+def versioned_store(spark, sf):
+    """Postings of all documents, stored in one commit; every fifth is stored again with half of its text, every seventh
+    removed, and the segments are merged."""
+    store = Store(spark, scratch(spark, "store"), order={"terms": "token"})
+    docs = S.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    store.commit({"terms": L.postings(docs, ("document_id",))}, docs)
+    again = docs.where("document_id % 5 = 0").withColumn("text", F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+    store.commit({"terms": L.postings(again, ("document_id",))}, again)
+    store.remove(docs.where("document_id % 7 = 0"))
+    store.compact(fan=2)
+    return store.read("terms")
+
+
 # Reads of the store
 
 _STATUS = "CASE WHEN doc_id % 20 = 9 THEN 'failed' WHEN doc_id % 10 = 9 THEN 'processing' ELSE 'ready' END"

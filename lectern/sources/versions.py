@@ -138,16 +138,21 @@ class Store:
         with ThreadPoolExecutor(max(1, len(tables))) as pool:
             return {"name": name, "version": version, "tables": dict(pool.map(write, tables.items()))}
 
-    def commit(self, tables: dict[str, DataFrame], documents: DataFrame) -> int:
+    def note(self, key: str) -> int:
+        """The number that the last commit with a note under this key has, -1 without any."""
+        return self.manifest().get("notes", {}).get(key, -1)
+
+    def commit(self, tables: dict[str, DataFrame], documents: DataFrame, note: tuple[str, int] | None = None) -> int:
         """Store documents' rows in some tables, and the new version. `documents` (document_id) says whose rows these are,
-        whether they have any: all that was stored of them before, in any table, is void from now on."""
+        whether they have any: all that was stored of them before, in any table, is void from now on. note: a number kept
+        under a key, a stream's batch, say, which becomes visible with the commit."""
         now = self.manifest()
         version = now["version"] + 1
         ids = documents.select(F.col("document_id").cast("long").alias("document_id")).where("document_id is not null").distinct()
         written = {**tables, HELD: ids}
         if now["segments"]:
             written[DEAD] = ids.join(self._live(HELD, now, now["segments"]), "document_id", "left_semi")
-        return self._add(now, written)
+        return self._add(now, written, note)
 
     def remove(self, documents: DataFrame) -> int:
         """Remove documents (document_id) from all tables; what isn't stored isn't missed."""
@@ -157,12 +162,14 @@ class Store:
         ids = documents.select(F.col("document_id").cast("long").alias("document_id")).distinct()
         return self._add(now, {DEAD: ids.join(self._live(HELD, now, now["segments"]), "document_id", "left_semi")})
 
-    def _add(self, now: dict, tables: dict[str, DataFrame]) -> int:
+    def _add(self, now: dict, tables: dict[str, DataFrame], note: tuple[str, int] | None = None) -> int:
         version = now["version"] + 1
         segment = self._write(tables, version)
         if DEAD in tables and self.spark.read.parquet(f"{self.path}/data/{DEAD}/seg={segment['name']}").isEmpty():
             del segment["tables"][DEAD]
-        return self._publish({"version": version, "segments": [*now["segments"], segment], "schemas": now["schemas"] | {t: json.loads(d.schema.json()) for t, d in tables.items()}})
+        schemas = now["schemas"] | {t: json.loads(d.schema.json()) for t, d in tables.items()}
+        notes = now.get("notes", {}) | (dict([note]) if note else {})
+        return self._publish({"version": version, "segments": [*now["segments"], segment], "schemas": schemas, "notes": notes})
 
     def compact(self, fan: int = FAN, least: int = LEAST, derive: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> int | None:
         """Merge `fan` or more segments of like size into one without void rows: the new version, or None where none are so
@@ -186,7 +193,7 @@ class Store:
         oldest = min((s["version"] for s in [*kept, segment] if set(s["tables"]) - {DEAD}), default=0)
         # A void list that only concerns rows which are gone has nothing left to say.
         left = [s for s in [*kept, *voids] if set(s["tables"]) - {DEAD} or s["version"] > oldest]
-        return self._publish({"version": now["version"] + 1, "segments": [*left, segment], "schemas": now["schemas"]})
+        return self._publish({"version": now["version"] + 1, "segments": [*left, segment], "schemas": now["schemas"], "notes": now.get("notes", {})})
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete what no manifest of the last `keep` versions names, and how many segments' folders those were. For times

@@ -201,7 +201,7 @@ hs AS (SELECT *, CASE WHEN len(stems) = 0 THEN 0.0
     ELSE 0.0 END AS base FROM hb),
 hw AS (SELECT query_id, scope, ordinal, CASE WHEN base > 0 AND base < 1 AND words_before IS NOT NULL AND len(list_filter(terms, lambda t: list_has_all(words_before, string_split(lower(t), ' ')))) > 0 THEN least(1.0, base * 1.15) ELSE base END AS base FROM hs),
 hl AS (SELECT *, max(CASE WHEN base > 0 THEN ordinal END) OVER (PARTITION BY query_id, run ORDER BY ordinal) AS last FROM hw JOIN runs USING (scope, ordinal)),
-heading AS (SELECT a.query_id, a.scope, a.ordinal, round(CAST(b.base AS DOUBLE) * pow(0.95, a.ordinal - a.last), 9) AS heading FROM hl a JOIN hw b ON a.query_id = b.query_id AND a.last = b.ordinal)"""
+heading AS (SELECT * FROM (SELECT a.query_id, a.scope, a.ordinal, round(CAST(b.base AS DOUBLE) * pow(0.95, a.ordinal - a.last), 9) AS heading FROM hl a JOIN hw b ON a.query_id = b.query_id AND a.last = b.ordinal) WHERE heading > 0)"""
 
 FUSED = f"""met AS (SELECT query_id, scope, ordinal, max(lexical) AS lexical, max(vector) AS vector, max(heading) AS heading, max(lr) AS lr, max(vr) AS vr, max(hr) AS hr FROM (
     SELECT query_id, scope, ordinal, score AS lexical, NULL AS vector, NULL AS heading, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS lr, NULL AS vr, NULL AS hr FROM lexical

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.passages import passages
 from ..sources.pages import PAGES, numbered_pages
 
+PASSAGES = "document_id long, page_number long, chunk_index int, text string, token_count int, batch long"
+
 
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(PAGES)
@@ -30,8 +29,10 @@ def ingest_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery
 
     def write(batch: DataFrame, number: int) -> None:
         made = passages(numbered_pages(batch))
-        with contextlib.suppress(AnalysisException):  # nothing is stored yet
-            before = batch.sparkSession.read.option("basePath", out).parquet(f"{out}/batch=*").where(F.col("batch") < number)
+        spark = batch.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            before = stored_passages(spark, out, number)
             again = before.join(batch.select("document_id").distinct(), "document_id", "left_semi").select("document_id").first()
             if again is not None:
                 raise ValueError(f"document {again[0]} has come in two batches")
@@ -40,5 +41,7 @@ def ingest_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored_passages(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch").withColumn("document_id", F.col("document_id").cast("long"))
+def stored_passages(spark: SparkSession, out: str, below: int | None = None) -> DataFrame:
+    """What is stored, of batches below a number if one is given."""
+    kept = spark.read.schema(PASSAGES).option("basePath", out).parquet(out)
+    return (kept if below is None else kept.where(F.col("batch") < below)).drop("batch")

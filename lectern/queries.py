@@ -18,12 +18,14 @@ from .operators.comparison import comparison_rows
 from .operators.fusion import best, fuse
 from .operators.headings import heading_scores as _heading_scores
 from .operators.headings import passage_traits
+from .operators import rollups as R
 from .operators.passages import passages
 from .operators.vector_index import words_pool
 from .operators.vectors import array_topk, sparse_vectors, topical_words
 from .plans.ask import ask, source_texts
 from .plans.search import retrieval_facts as _retrieval_facts
 from .plans.search import scoped, search
+from .plans.standing import StandingQuestions
 from .sources import pages as P
 from .sources import tables as S
 from .sources.scratch import scratch, stored
@@ -142,6 +144,53 @@ def coordination_scores(spark, sf):
     return scores.select("query_id", "scope", F.col("ordinal").cast("long").alias("ordinal"), F.round("score", 6).alias("score"), "matched")
 
 
+def _stored_as_documents(spark, sf):
+    """(scope, document_id, doc_pos) of the corpus, its postings with lengths, and its lengths."""
+    docs = S.read(spark, sf, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text")
+    sizes = stored(docs.select("document_id", "chunk_index", F.size(topical_words(F.col("text"))).cast("long").alias("length")), "sizes")
+    return docs.select("scope", "document_id", F.col("document_id").alias("doc_pos")), L.postings(docs, ("document_id", "chunk_index")), sizes
+
+
+@registered(ORACLE["corpus_stats"])
+def scope_statistics(spark, sf):
+    """The rows of corpus_stats, as sums over what each document's passages come to."""
+    chosen, _, sizes = _stored_as_documents(spark, sf)
+    return R.scope_statistics(chosen, R.size_rollups(sizes)).select("scope", "total", F.round("average", 6).alias("average"))
+
+
+@registered(ORACLE["doc_frequency"])
+def scope_frequency(spark, sf):
+    """The rows of doc_frequency, as sums over what each document holds."""
+    chosen, terms, sizes = _stored_as_documents(spark, sf)
+    words = R.word_rollups(terms.join(sizes, ["document_id", "chunk_index"]))
+    return R.scope_frequency(chosen, words)
+
+
+@registered(_LEXICAL + "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM lexical) JOIN corpus USING (scope, ordinal) WHERE rank <= 10")
+def standing_questions(spark, sf):
+    """Each question's ten best passages by words, kept up to date over four commits: two thirds of all documents, half of
+    those without their second halves; some that nobody should find; these removed again; all the others, whole."""
+    docs = S.read(spark, sf, "documents").select("source", F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"))
+    selection = docs.select(F.col("source").alias("scope"), "document_id", F.col("document_id").alias("doc_pos"))
+    index = Store(spark, scratch(spark, "index"), order={"terms": "token"})
+    standing = StandingQuestions(index, scratch(spark, "standing"), 10)
+    questions = S.questions(spark, sf)
+
+    def store(some):
+        sizes = some.select("document_id", "chunk_index", F.size(topical_words(F.col("text"))).cast("long").alias("length"))
+        index.commit({"terms": L.postings(some, ("document_id", "chunk_index")), "sizes": sizes}, some)
+        standing.update(questions, selection)
+
+    half = F.when(F.col("document_id") % 3 == 1, F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).otherwise(F.col("text"))
+    store(docs.where("document_id % 3 < 2").withColumn("text", half))
+    strange = docs.where("document_id % 3 = 2").withColumn("text", F.concat("text", F.lit(" "), "text"))
+    store(strange)
+    index.remove(strange)
+    standing.update(questions, selection)
+    store(docs.where("document_id % 3 > 0"))
+    return standing.hits().select("query_id", "rank", F.col("document_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @registered(_LEXICAL + "SELECT query_id, kind, count(*) AS passages, round(max(score), 6) AS best FROM bm25 GROUP BY ALL")
 def lexical_switch(spark, sf):
     """What the words typed and the words with synonyms each match."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import uuid
@@ -117,6 +118,26 @@ class Store:
             raise KeyError(f"no table {name} is stored under {self.path}")
         return self._live(name, manifest, manifest["segments"])
 
+    # Following
+
+    def since(self, name: str, version: int, now: dict) -> DataFrame:
+        """The rows of a table in the state `now`, a manifest, that commits after a version brought; all from -1 on. Merging
+        may bring older rows again, never fewer."""
+        if name not in now["schemas"]:
+            raise KeyError(f"no table {name} is stored under {self.path}")
+        return self._live(name, now, [s for s in now["segments"] if s["version"] > version])
+
+    def touched(self, version: int, now: dict) -> DataFrame:
+        """(document_id) of all documents that commits after a version stored, stored again or removed. That is known back to
+        the version that `now` calls forgotten: before, lists of what was removed may have been merged away."""
+        later = [s for s in now["segments"] if s["version"] > version]
+        ids = [self._rows(t, now, later).select("document_id") for t in (HELD, DEAD) if t in now["schemas"]]
+        return functools.reduce(DataFrame.unionByName, ids).distinct()
+
+    def held(self) -> DataFrame | None:
+        """(document_id) of all documents that are stored now, None where nothing ever was."""
+        return self.read(HELD).distinct() if HELD in self.manifest()["schemas"] else None
+
     # Writing
 
     def _write(self, tables: dict[str, DataFrame], version: int, files: dict[str, int] | None = None) -> dict:
@@ -169,7 +190,7 @@ class Store:
             del segment["tables"][DEAD]
         schemas = now["schemas"] | {t: json.loads(d.schema.json()) for t, d in tables.items()}
         notes = now.get("notes", {}) | (dict([note]) if note else {})
-        return self._publish({"version": version, "segments": [*now["segments"], segment], "schemas": schemas, "notes": notes})
+        return self._publish({**now, "version": version, "segments": [*now["segments"], segment], "schemas": schemas, "notes": notes})
 
     def compact(self, fan: int = FAN, least: int = LEAST, derive: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> int | None:
         """Merge `fan` or more segments of like size into one without void rows: the new version, or None where none are so
@@ -193,7 +214,8 @@ class Store:
         oldest = min((s["version"] for s in [*kept, segment] if set(s["tables"]) - {DEAD}), default=0)
         # A void list that only concerns rows which are gone has nothing left to say.
         left = [s for s in [*kept, *voids] if set(s["tables"]) - {DEAD} or s["version"] > oldest]
-        return self._publish({"version": now["version"] + 1, "segments": [*left, segment], "schemas": now["schemas"], "notes": now.get("notes", {})})
+        forgotten = max((s["version"] for s in [*kept, *voids] if DEAD in s["tables"] and s not in left), default=0)
+        return self._publish({**now, "version": now["version"] + 1, "segments": [*left, segment], "forgotten": max(forgotten, now.get("forgotten", 0))})
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete what no manifest of the last `keep` versions names, and how many segments' folders those were. For times

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,8 +81,13 @@ def upload_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def _store(out: str, stream: str, embedder: str):
+def _store(out: str, stream: str, embedder: str, then: Callable[[SparkSession], object] | None):
     def write(batch: DataFrame, number: int) -> None:
+        take(batch, number)
+        if then is not None:
+            then(batch.sparkSession)
+
+    def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         store = index_store(spark, out)
         if store.note(stream) >= number:
@@ -108,21 +113,22 @@ def _store(out: str, stream: str, embedder: str):
     return write
 
 
-def ingest_uploads(pages: DataFrame, out: str, checkpoint: str, wait: int = 3600, embedder: str = K.EMBEDDER) -> StreamingQuery:
+def ingest_uploads(pages: DataFrame, out: str, checkpoint: str, wait: int = 3600, embedder: str = K.EMBEDDER, then: Callable[[SparkSession], object] | None = None) -> StreamingQuery:
     """Index documents as their pages (UPLOADS) arrive, over as many batches as they take; under out is what ingest() writes,
     and `states`, the last state of each document that has one: ready, or failed with its error. A document of which `wait`
     seconds after its first page some are missing has failed; its pages may come again.
 
     Pages are kept in the stream's state by document. A batch's whole documents, their index, the states and the batch's
     number are one commit of the store, so a restart neither loses nor repeats any. Rows without a document are left out.
-    Times are looked at when a batch comes: what is late fails with the next pages of any document.
+    Times are looked at when a batch comes: what is late fails with the next pages of any document. then: called after each
+    batch is stored, and once more where a batch is run again; it brings standing questions up to date, say.
     """
     spark = pages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # With batches of no data, which processing-time timers ask for without end, a stream of what is there now never ends.
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     events = pages.where("document_id is not null").groupBy("document_id").transformWithStateInPandas(Gather(wait * 1000), _EVENT, "Append", "ProcessingTime")
-    return events.writeStream.foreachBatch(_store(out, checkpoint, embedder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(_store(out, checkpoint, embedder, then)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upload_states(spark: SparkSession, out: str, documents: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..sources.scratch import stored
 from .blockmax import SLACK
-from .lexical import coordinated, query_terms
+from .lexical import coordinated
 
 
 class Rollups(NamedTuple):
@@ -52,21 +52,21 @@ def _part(tf: str, length: str) -> Column:
     return F.col("idf") * (F.col(tf) * (K.K1 + 1)) / (F.col(tf) + K.K1 * (1 - K.B + K.B * F.col(length) / F.col("average")))
 
 
-def best_passages(queries: DataFrame, selection: DataFrame, rollups: Rollups, impacts: DataFrame, k: int, ahead: int | None = None) -> tuple[DataFrame, DataFrame]:
+def best_passages(terms: DataFrame, selection: DataFrame, rollups: Rollups, impacts: DataFrame, k: int, ahead: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The first k of lexical_scores() for each query, (query_id, rank, document_id, chunk_index, score, matched), and the
     documents whose postings were read for that, (query_id, scope, document_id).
 
-    queries: (query_id, scope, query); selection: (scope, document_id, doc_pos); impacts: (document_id, chunk_index, token,
-    tf, length) of at least the queries' tokens. Ties go to the document that comes first in the scope, then to the earlier
-    passage.
+    terms: (query_id, scope, kind, token) as query_terms() gives them; selection: (scope, document_id, doc_pos); impacts:
+    (document_id, chunk_index, token, tf, length) of at least those tokens. Ties go to the document that comes first in the
+    scope, then to the earlier passage.
 
     A document can score at most the sum over a query's terms of its largest tf in its shortest passage, with the share for
     all terms that it has. Each query looks into its `ahead` (2k by default) most promising documents; its kth score there
     is a floor, and of the others those are read that can reach it. Exact, since a score grows with tf and with matches and
     falls with length. Only narrow rows of a scope are joined whole; postings are joined by document and token.
     """
-    chosen = members(selection.join(queries.select("scope").distinct(), "scope", "left_semi"))
-    terms = query_terms(queries).distinct()
+    terms = terms.distinct()
+    chosen = members(selection.join(terms.select("scope").distinct(), "scope", "left_semi"))
     asked = terms.select("scope", "token").distinct()
     held = rollups.words.join(asked.select("token").distinct(), "token", "left_semi").join(chosen, "document_id")
     held = stored(held.join(asked, ["scope", "token"], "left_semi"), "held")

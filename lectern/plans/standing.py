@@ -67,10 +67,9 @@ class StandingQuestions:
         impacts = self._impacts(self.index.since("terms", since, now).join(self._asked(), "token", "left_semi"), sizes)
         self.kept.commit({"impacts": impacts, "words": word_rollups(impacts), "sizes": size_rollups(sizes)}, documents, (_FOLLOWED, now["version"]))
 
-    def _catch_up(self, queries: DataFrame, now: dict) -> None:
+    def _catch_up(self, terms: DataFrame, now: dict) -> None:
         """Read the postings of tokens that no question had before."""
-        tokens = query_terms(queries).select("token").distinct()
-        fresh = stored(tokens.join(self._asked(), "token", "left_anti"), "tokens")
+        fresh = stored(terms.select("token").distinct().join(self._asked(), "token", "left_anti"), "tokens")
         if fresh.isEmpty():
             return
         impacts = self._impacts(self.index.since("terms", -1, now).join(fresh, "token", "left_semi"), self.index.since("sizes", -1, now))
@@ -86,9 +85,10 @@ class StandingQuestions:
         now = self.index.manifest()
         if now["segments"]:
             self._follow(now)
-            self._catch_up(queries, now)
+            terms = stored(query_terms(queries), "terms")
+            self._catch_up(terms, now)
             rollups = Rollups(self.kept.read("words"), self.kept.read("sizes"))
-            hits, _ = best_passages(queries, selection, rollups, self.kept.read("impacts"), self.k)
+            hits, _ = best_passages(terms, selection, rollups, self.kept.read("impacts"), self.k)
         else:
             hits = self.spark.createDataFrame([], "query_id long, rank int, document_id long, chunk_index int, score double")
         hits = stored(hits.select(F.col("query_id").cast("long").alias("document_id"), "rank", F.col("document_id").alias("hit_document"), "chunk_index", "score"), "hits")

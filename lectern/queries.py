@@ -176,15 +176,18 @@ def standing_questions(spark, sf):
     standing = StandingQuestions(index, scratch(spark, "standing"), 10)
     questions = S.questions(spark, sf)
 
-    def store(some):
+    def commit(some):
         sizes = some.select("document_id", "chunk_index", F.size(topical_words(F.col("text"))).cast("long").alias("length"))
         index.commit({"terms": L.postings(some, ("document_id", "chunk_index")), "sizes": sizes}, some)
+
+    def store(some):
+        commit(some)
         standing.update(questions, selection)
 
     half = F.when(F.col("document_id") % 3 == 1, F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).otherwise(F.col("text"))
     store(docs.where("document_id % 3 < 2").withColumn("text", half))
     strange = docs.where("document_id % 3 = 2").withColumn("text", F.concat("text", F.lit(" "), "text"))
-    store(strange)
+    commit(strange)
     index.remove(strange)
     standing.update(questions, selection)
     store(docs.where("document_id % 3 > 0"))

@@ -117,7 +117,7 @@ def test_documents_that_cannot_matter_are_left_unread(spark):
     impacts = L.postings(passages, ("document_id", "chunk_index")).join(sizes, ["document_id", "chunk_index"])
     scopes = spark.createDataFrame([("a", d, d) for d in range(100)], "scope string, document_id long, doc_pos long")
     questions = spark.createDataFrame([(1, "a", "radar")], "query_id long, scope string, query string")
-    found, read = R.best_passages(questions, scopes, R.Rollups(R.word_rollups(impacts), R.size_rollups(sizes)), impacts, 5, ahead=6)
+    found, read = R.best_passages(L.query_terms(questions), scopes, R.Rollups(R.word_rollups(impacts), R.size_rollups(sizes)), impacts, 5, ahead=6)
     assert [r.document_id for r in found.orderBy("rank").collect()] == [0, 10, 20, 30, 40]
     assert read.count() == 10
 

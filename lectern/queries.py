@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +13,13 @@ from .functions import constants as K
 from .functions import guards as G
 from .functions import text as T
 from .operators import lexical as L
+from .operators import rollups as R
 from .operators import store as O
 from .operators.blockmax import blocked, bm25_best
 from .operators.comparison import comparison_rows
 from .operators.fusion import best, fuse
 from .operators.headings import heading_scores as _heading_scores
 from .operators.headings import passage_traits
-from .operators import rollups as R
 from .operators.passages import passages
 from .operators.vector_index import words_pool
 from .operators.vectors import array_topk, sparse_vectors, topical_words
@@ -28,6 +29,7 @@ from .plans.search import scoped, search
 from .plans.standing import StandingQuestions
 from .sources import pages as P
 from .sources import tables as S
+from .sources.pdf import pdf_file, pdf_pages
 from .sources.scratch import scratch, stored
 from .sources.versions import Store
 
@@ -338,6 +340,23 @@ def split_paragraphs(spark, sf):
     return clean.select("page_id", F.posexplode(T.paragraphs(F.col("c"))).alias("place", "paragraph")).withColumn("place", F.col("place") + 1)
 
 
+_PDF_TEXT = "regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t\\x{A0}]+', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@registered(f"SELECT doc_id, CAST(1 AS BIGINT) AS page_number, {Q.trimmed(_PDF_TEXT)} AS text FROM documents")
+def pdf_text(spark, sf):
+    """Every document written as a PDF file and read back: packed streams, text operators, positions, lines."""
+
+    @F.pandas_udf("binary")
+    def file(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pdf_file([t]))
+
+    docs = S.read(spark, sf, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), file(F.coalesce("text", F.lit(""))).alias("content"))
+    pages, _ = pdf_pages(files)
+    return pages.select(F.col("path").cast("long").alias("doc_id"), "page_number", "text")
+
+
 _RAW_PAGES = "SELECT doc_id % 500 AS document_id, doc_id AS ordinal, CASE WHEN doc_id % 17 = 0 THEN CAST('NaN' AS DOUBLE) ELSE (doc_id % 7) - 1 + (doc_id % 3) / 4.0 END AS page_number, text FROM documents"
 
 

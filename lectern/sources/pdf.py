@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from .pages import checked_files, pages_from_runs, read_error
+from .scratch import stored
 
 #: Runs of a file's pages; a page without any has one row without text. A file that can't be read has one row with what failed.
 RUNS = "path string, page_number long, ordinal long, str string, transform array<double>, width double, height double, has_eol boolean, failure string, message string"
@@ -344,7 +345,9 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pdf_file(pages: list[str]) -> bytes:
     """A plain file of pages: a line of text for each of theirs, 14 apart at size 12, in two-byte codes with a table to Unicode."""
-    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>", 4: _stream(b"\n".join(b"1 beginbfrange <%04x> <%04x> <%04x> endbfrange" % (h, h + 255, h) for h in range(0, 1 << 16, 256)))}
+    used = sorted({h for p in pages for h in p.encode("utf-16-be", "replace")[::2]})
+    ranges = b"\n".join(b"1 beginbfrange <%02x00> <%02xff> <%02x00> endbfrange" % (h, h, h) for h in used)
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>", 4: _stream(ranges)}
     kids = range(5, 5 + 2 * len(pages), 2)
     objects[2] = b"<< /Type /Pages /Count %d /Resources << /Font << /F1 3 0 R >> >> /Kids [%s] >>" % (len(pages), b" ".join(b"%d 0 R" % k for k in kids))
     for k, page in zip(kids, pages, strict=True):
@@ -372,8 +375,8 @@ def decoded(files: DataFrame) -> DataFrame:
 
 def pdf_pages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages (path, page_number, text) of files (path, content) that can be read, and (path, error) of the others, whatever was
-    read of them before. Each file is decoded once for each of the two that is used; store runs first where both are."""
-    runs = decoded(files)
+    read of them before. Files are decoded here, once, and their runs stored."""
+    runs = stored(decoded(files), "runs")
     failed = runs.where("failure is not null")
     error = read_error(F.col("failure"), F.col("message"))
     read = runs.join(failed.select("path"), "path", "left_anti").withColumnRenamed("path", "document_id")

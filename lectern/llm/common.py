@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discarded as discarded
 from ..sources.scratch import scratch as scratch
 from ..sources.scratch import stored as stored
 
@@ -31,6 +32,22 @@ def let_go(spark: SparkSession) -> None:
         time.sleep(0.15)
 
 
+#: Bits of a map of keys.
+MAP_BITS = 1 << 24
+
+
+def parted(rows: DataFrame, column, keys: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows whose column is none of the keys, for certain, and those where it can be one; the column and the key are of
+    one type, and null is a key like any other. What can't match needn't move to a join. Keys are hashed into a map of
+    MAP_BITS, which goes to all tasks as MAP_BITS / 64 longs at most; the more keys, the more other rows pass, too."""
+    place, own = (F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) for c in (column, F.col(key)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(own, F.lit(64)).cast("int"))
+    words = keys.groupBy(F.shiftright(own, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marked = rows.join(F.broadcast(words), F.shiftright(place, 6) == words["word"], "left")
+    can = F.coalesce(F.getbit(words["bits"], F.pmod(place, F.lit(64)).cast("int")) == 1, F.lit(False))
+    return marked.where(~can).select(rows["*"]), marked.where(can).select(rows["*"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, lower_ascii, stored
+from .common import let_go, lower_ascii, parted, stored
 
 #: Every digest's rows are spread over so many salts.
 SALTS = 8
@@ -61,15 +61,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = stored(found.groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n")).where("not kept or n > 1"), "decided")
     let_go(docs.sparkSession)  # what combining has moved, before texts move once more
     again = own.where("kept").select("doc_id", "text_sha256")
+    others, some = parted(docs, docs[id_col], own)
 
     def named(keys: DataFrame):
-        return docs[id_col].eqNullSafe(keys["doc_id"]) & (_sha256(lower_ascii(docs[text_col])) == keys["text_sha256"])
+        return some[id_col].eqNullSafe(keys["doc_id"]) & (_sha256(lower_ascii(some[text_col])) == keys["text_sha256"])
 
-    left = docs.join(own, named(own), "left_anti")
+    left = others.union(some.join(own, named(own), "left_anti"))
     if again.isEmpty():
         return left
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    several = docs.join(again, named(again), "left_semi").select(docs[id_col].alias("id"), _sha256(lower_ascii(docs[text_col])).alias("sha"), row.alias("row"), F.to_json(row).alias("json"))
+    several = some.join(again, named(again), "left_semi").select(some[id_col].alias("id"), _sha256(lower_ascii(some[text_col])).alias("sha"), row.alias("row"), F.to_json(row).alias("json"))
     # The aggregate combines within each task first, so no task holds all rows that repeat one.
     first = several.groupBy("id", "sha").agg(F.min_by("row", "json").alias("row"))
     return left.unionByName(first.select("row.*"))

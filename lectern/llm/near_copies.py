@@ -1,4 +1,5 @@
-"""Near copies by Jaccard similarity of word shingles: an exact prefix join, and components of what it links."""
+"""Near copies by Jaccard similarity of word shingles: SimHash over pivot distance tables first, an exact prefix join for
+the links that lie further apart, and components of all."""
 
 from __future__ import annotations
 
@@ -10,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, let_go, raw_texts, slices, stored
+from .common import discarded, lean, let_go, parted, raw_texts, slices, stored
 from .components import connected_components
-from .simhash import _LOWER, SEED
+from .simhash import _LOWER, SEED, majority, near_links
 
 #: Two texts are near copies if they share SIMILAR[0] / SIMILAR[1] of their five-word shingles or more.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -77,11 +78,12 @@ def _ordered(order):
     def rows(batches):
         known, times = order.value
         for b in slices(batches, 2):
-            firsts, afters, sizes, names, seconds, sketches = [], [], [], [], [], []
+            firsts, afters, sizes, names, seconds, sketches, prints = [], [], [], [], [], [], []
             for text in raw_texts(b.column(2)):
                 s = shingle_set(text)
                 data = s.tobytes()
                 sketches.append(sketch(s))
+                prints.append(majority(s.view(np.uint64)))
                 names.append(xxhash.xxh3_64_intdigest(data, SEED))
                 seconds.append(xxhash.xxh64_intdigest(data, SEED + 1))
                 if len(known):
@@ -90,9 +92,9 @@ def _ordered(order):
                 sizes.append(len(s))
                 firsts.append(first_shingles(s))
                 afters.append(int(s[len(firsts[-1])]) if len(firsts[-1]) < len(s) else None)
-            both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, seconds)]
+            both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, seconds, prints)]
             bits = [pa.array(x) for x in np.array(sketches).reshape(-1, 4).T]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *both, pa.array(sizes, pa.int32()), _lists(firsts), pa.array(afters, pa.int64()), *bits], names=["doc_id", "text_hash", "node", "second", "n", "first", "after", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *both, pa.array(sizes, pa.int32()), _lists(firsts), pa.array(afters, pa.int64()), *bits], names=["doc_id", "text_hash", "node", "second", "fp", "n", "first", "after", *SKETCH])
 
     return lean(rows)
 
@@ -104,14 +106,14 @@ def _whole(batches):
 
 
 def first_sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, n, first, after, k0 to k3) of texts(doc_id, text_hash, text): a name that no unlike set has,
-    the set's size, its first shingles in the common order, the one after them, and its sketch.
+    """(doc_id, text_hash, node, fp, n, first, after, k0 to k3) of texts(doc_id, text_hash, text): a name that no unlike set
+    has, the SimHash of the set, its size, its first shingles in the common order, the one after them, and its sketch.
 
     A name has 64 bits of a hash. Where unlike sets share it, by a second hash of 64 bits, those few take names of both
     hashes instead, until none is shared: no text is read again for that."""
     order = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, "text"))
     let_go(texts.sparkSession)
-    sets = stored(texts.mapInArrow(_ordered(order), "doc_id long, text_hash long, node long, second long, n int, first array<long>, after long, " + ", ".join(f"{k} long" for k in SKETCH)), "sets")
+    sets = stored(texts.mapInArrow(_ordered(order), "doc_id long, text_hash long, node long, second long, fp long, n int, first array<long>, after long, " + ", ".join(f"{k} long" for k in SKETCH)), "sets")
     return _apart(sets).drop("second")
 
 
@@ -134,10 +136,10 @@ def _meet(a: DataFrame, b: DataFrame, key: list[str] | None = None) -> DataFrame
 
 
 def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sketches leave room for similar sets."""
-    one = sets.select(F.col("node").alias("u"), F.col("n").alias("n"), *[F.col(k).alias(f"u{k}") for k in SKETCH])
-    other = sets.select(F.col("node").alias("v"), F.col("n").alias("m"), *[F.col(k).alias(f"v{k}") for k in SKETCH])
-    return pairs.join(one, "u").join(other, "v").where(_alike("u", "v")).select("u", "v")
+    """The pairs (u, v) of different components, as far as sets(label) knows, whose sketches leave room for similar sets."""
+    one = sets.select(F.col("node").alias("u"), F.col("n").alias("n"), F.col("label").alias("one"), *[F.col(k).alias(f"u{k}") for k in SKETCH])
+    other = sets.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("label").alias("other"), *[F.col(k).alias(f"v{k}") for k in SKETCH])
+    return pairs.join(one, "u").join(other, "v").where("one <> other").where(_alike("u", "v")).select("u", "v")
 
 
 def _alike(u: str, v: str):
@@ -156,12 +158,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, whole) -> DataFrame:
     both, (x, y) = F.size(F.array_intersect("a", "b")), SIMILAR
     near = both * (x + y) >= (F.size("a") + F.size("b")) * x
     links = stored(pairs.join(a, "u").join(b, "v").where(near).select("u", "v"), "links")
+    discarded(some)  # the largest of the scratch tables
     let_go(links.sparkSession)
     return links
 
 
-def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
+def fingerprint_links(sets: DataFrame, whole) -> DataFrame:
+    """Links (u, v) between similar sets of sets(node, fp, n, k0 to k3) whose fingerprints are equal or close: operator 1's
+    search over pivot distance tables, each pair of fingerprints that it finds, and what it finds verified by whole sets.
+
+    A fingerprint that several sets have is searched once; of its sets each is held against the one of the smallest name.
+    So is each fingerprint against the smallest that is close, so the pairs to verify are fewer than sets: those of a large
+    family needn't all be paired up, as similar_links() finds every link between components that is left.
+    """
+    prints = stored(sets.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    equal = sets.join(prints, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    close = near_links(prints.select("fp")).groupBy("v").agg(F.min("u").alias("u"))
+    ends = [prints.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_node")) for k in ("u", "v")]
+    close = close.join(ends[0], "u").join(ends[1], "v").select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
+    return _verified(equal.union(close), sets.withColumn("label", F.col("node")), whole)
+
+
+def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
     """Links (u, v) between nodes of sets(node, n, first, after, k0 to k3), one row a node: enough to join all similar ones.
+    Those of `known` are taken over, and sets that they join aren't compared again.
 
     Sets of n and at least 4 n / 5 shingles that are similar share 4 n / 5 shingles or more, so under any common order
     they share one of their first n / 5 + 1. Those are the buckets. What meets in one is compared by length and place,
@@ -176,13 +196,20 @@ def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int =
     first shingles, not one for each other.
     """
     entries = sets.select("node", "n", F.posexplode("first").alias("i", "s"))
+    if known is None:
+        parts = sets.select("node", "n", F.col("node").alias("label"), *SKETCH)
+    else:
+        parts = sets.select("node", "n", *SKETCH).join(connected_components(known), "node", "left")
+        parts = stored(parts.withColumn("label", F.coalesce("label", "node")), "parts")
     # Stored, so that the join has an exchange on either side: AQE splits a shingle that many sets have only then.
     sizes = stored(entries.groupBy("s").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     met = stored(entries.join(sizes, "s"), "buckets")
     small = met.where(F.col("members") <= crowded)
     a = small.select("s", F.col("node").alias("u"), "n", "i")
     b = small.select("s", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"))
-    links = _verified(_meet(a, b).where("u < v").select("u", "v"), sets, whole)
+    links = _verified(_meet(a, b).where("u < v").select("u", "v"), parts, whole)
+    if known is not None:
+        links = links.union(known.select("u", "v"))
     busy = met.where(F.col("members") > crowded).select("s", "node", "n", "i")
     if busy.isEmpty():
         return links
@@ -191,11 +218,11 @@ def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int =
         at_random = F.xxhash64("node", "s", F.lit(k))
         pivots = stored(busy.groupBy("s").agg(F.min_by("node", F.struct("i", at_random) if k == 0 else at_random).alias("pivot")), "pivots")
         pairs = busy.join(pivots, "s").where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-        links = links.union(_verified(pairs, sets, whole))
+        links = links.union(_verified(pairs, parts, whole))
     labels = connected_components(links)
     members = stored(busy.join(labels, "node", "left").select("s", "node", "n", "i", F.coalesce("label", "node").alias("label")), "members")
-    parts = members.groupBy("s", "label").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside"), F.count("*").alias("parts"))
+    counts = members.groupBy("s", "label").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside"), F.count("*").alias("parts"))
     mixed = stored(mixed.where("parts > 1").select("s", "largest", "outside"), "mixed")
     if mixed.isEmpty():
         return links
@@ -206,7 +233,7 @@ def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int =
     if not many.isEmpty():
         after = sets.select("node", F.posexplode(F.when(F.col("after").isNotNull(), F.concat("first", F.array("after"))).otherwise(F.col("first"))).alias("at", "t"))
         rest = rest.union(_unlike(stored(many.join(after, "node").where("at > i"), "seconds"), ["s", "t"]))
-    return links.union(_verified(rest, sets, whole))
+    return links.union(_verified(rest, parts, whole))
 
 
 def _unlike(held: DataFrame, key: list[str]) -> DataFrame:
@@ -227,10 +254,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         once = stored(kept.dropDuplicates(["node"]), "once")
 
     def whole(nodes: DataFrame) -> DataFrame:
-        places = once.join(nodes, "node", "left_semi").select("doc_id", "text_hash", "node")
-        return rows.join(places, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_whole, "node long, shingles array<long>")
+        places = stored(once.join(nodes, "node", "left_semi").select("doc_id", "text_hash", "node"), "places")
+        _, some = parted(rows, rows["doc_id"], places)  # so that no other texts move
+        return some.join(places, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_whole, "node long, shingles array<long>")
 
-    labels = connected_components(similar_links(once.select("node", "n", "first", "after", *SKETCH), whole))
+    known = fingerprint_links(once.select("node", "fp", "n", *SKETCH), whole)
+    labels = connected_components(similar_links(once.select("node", "n", "first", "after", *SKETCH), whole, known=known))
     named = sets.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("label"))
     named = stored(named, "named")
     firsts = stored(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "firsts")
@@ -253,5 +282,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows without an id stay, as do repeated rows of one that stays; rows of one id and unlike texts go each by its own.
     Null and empty texts have no words and are alike; very long texts are compared whole. An empty table stays empty.
     Other columns stay as they are, whatever their names."""
-    lost = _components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(lost, (docs[id_col].cast("long") == lost["__lost"]) & (F.xxhash64(docs[text_col].cast("string")) == lost["__hash"]), "left_anti")
+    lost = stored(_components(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "lost")
+    others, some = parted(docs, docs[id_col].cast("long"), lost)
+    return others.union(some.join(lost, (some[id_col].cast("long") == lost["doc_id"]) & (F.xxhash64(some[text_col].cast("string")) == lost["text_hash"]), "left_anti"))

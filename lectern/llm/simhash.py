@@ -36,6 +36,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts = [0, *ends[: len(words) - shingle].tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(hashes)
+
+
+def majority(hashes) -> int:
+    """The bits that are set in over half of the hashes."""
     n, total = len(hashes), np.zeros(64, np.int64)
     for k in range(0, n, 1 << 15):  # a bounded table of bits, however long the text
         part = np.array(hashes[k : k + (1 << 15)], dtype="<u8")

@@ -15,6 +15,7 @@ import xxhash
 import zstandard
 from tokenizers import Tokenizer
 
+from lectern.llm import common
 from lectern.llm import exact_dedup as E
 from lectern.llm import quality as Q
 from lectern.llm import secrets as X
@@ -302,6 +303,70 @@ def test_names_that_unlike_sets_share(spark):
     assert got[1] == got[2] != got[3] and got[4] == 11 and len(set(got.values())) == 3
 
 
+def test_near_copies_are_searched_by_fingerprints_first(spark, monkeypatch):
+    """Operator 1's links come from its distance tables, hold for whole sets alone, and are left to the join no more."""
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join([*base[:-1], "y"]), " ".join(f"u{i % 7}{i}" for i in range(600)), " ".join([*base[:300], "z", *base[301:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near_copies.first_sets(df.selectExpr("doc_id", "xxhash64(text) text_hash", "text"))
+    rows = {r.doc_id: r for r in sets.collect()}
+    assert all(near_copies.majority(near_copies.shingle_set(t.encode()).view(np.uint64)) == rows[k].fp % (1 << 64) for k, t in enumerate(texts))
+    shingles = spark.createDataFrame([(rows[k].node, near_copies.shingle_set(t.encode()).tolist()) for k, t in enumerate(texts)], "node long, shingles array<long>")
+
+    def whole(nodes):
+        return shingles.join(nodes, "node", "left_semi")
+
+    made = []
+    real = near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda d, name: made.append((name, real(d, name))) or made[-1][1])
+    tables = []
+    search = near_copies.near_links
+    monkeypatch.setattr(near_copies, "near_links", lambda d: tables.append(d.count()) or search(d))
+    # Unlike sets of one fingerprint are told apart by whole sets.
+    forged = sets.selectExpr("node", f"if(doc_id = 3, {rows[0].fp}, fp) fp", "n", "first", "after", "k0", "k1", "k2", "k3")
+    links = near_copies.fingerprint_links(forged.select("node", "fp", "n", "k0", "k1", "k2", "k3"), whole)
+    known = {frozenset((r.u, r.v)) for r in links.collect()}
+    close = {frozenset((rows[a].node, rows[b].node)) for a in (0, 1, 2, 4) for b in (0, 1, 2, 4) if a < b and bin(rows[a].fp % (1 << 64) ^ rows[b].fp % (1 << 64)).count("1") <= 2}
+    assert tables and known and known <= close and not any(rows[3].node in x for x in known)
+    made.clear()
+    got = {frozenset((r.u, r.v)) for r in similar_links(forged.drop("fp"), whole, known=links).collect()}
+    again = {frozenset((r.u, r.v)) for name, d in made if name == "pairs" for r in d.collect()}
+    assert known <= got and not known & again
+    parts = slow_components(range(5), lambda a, b: frozenset((rows[a].node, rows[b].node)) in got)
+    assert parts == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+    tables.clear()
+    assert {r.doc_id for r in drop_similar(df).collect()} == {0, 3} and tables
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_only_rows_that_can_match_move(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    ids = [None, *range(-500, 500)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, bits string")
+    keys = spark.createDataFrame([(None,), (3,), (-77,), (3,), (9999,)], "doc_id long")
+    others, some = common.parted(df, df["doc_id"], keys)
+    assert others.columns == some.columns == df.columns
+    away, near = ([r.doc_id for r in d.collect()] for d in (others, some))
+    assert {None, 3, -77} <= set(near) and not {None, 3, -77} & set(away)
+    assert sorted(map(str, away + near)) == sorted(map(str, ids)) and (bits == 64 or len(near) < 10)
+    assert len(common.parted(df, df["doc_id"], keys.where("false"))[1].collect()) == 0
+
+
+def test_texts_that_match_nothing_do_not_move(spark, monkeypatch):
+    """The joins that drop documents, or gather candidates, get only those that can be among them."""
+    met = []
+    for module in (E, near_copies):
+        monkeypatch.setattr(module, "parted", lambda *a: met.append(common.parted(*a)) or met[-1])
+    names = "one two three four five six seven eight nine ten".split()
+    rows = [(i, " ".join(f"{w}{i}" for w in names)) for i in range(400)]
+    rows += [(i, rows[7][1]) for i in (1000, 1001)] + [(2000, rows[9][1] + " " + rows[9][1] + " " + rows[9][1]), (2001, rows[9][1] + " " + rows[9][1] + " " + rows[9][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for drop, dropped, least in ((E.drop_exact_copies, {7, 1000}, 1), (drop_similar, {1000, 1001, 2001}, 2)):
+        met.clear()
+        assert {r.doc_id for r in drop(df).collect()} == {i for i, _ in rows} - dropped
+        assert len(met) >= least and all(some.count() < 20 for _, some in met)
+
+
 # Secrets
 
 

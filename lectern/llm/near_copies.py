@@ -23,6 +23,8 @@ ORDER_DOCS, ORDER_SHINGLES, ORDER_LEAST = 20_000, 200_000, 3
 CROWDED, ROUNDS = 32, 2
 #: Sets outside a bucket's largest component that are still met one by one; more of them meet by a second shingle.
 APART = 1024
+#: Shingles of sets that a task holds, for the next pair, before it starts anew.
+HELD = 1 << 20
 #: The columns of a set's sketch.
 SKETCH = ("k0", "k1", "k2", "k3")
 
@@ -99,10 +101,31 @@ def _ordered(order):
     return lean(rows)
 
 
+def _members(x: pa.Scalar) -> np.ndarray:
+    """The set that a text, or a set as longs, stands for; null is a text without words."""
+    if pa.types.is_list(x.type):
+        return x.values.to_numpy()
+    return shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"")
+
+
 @lean
-def _whole(batches):
-    for b in slices(batches, 1):
-        yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(x) for x in raw_texts(b.column(1))])], names=["node", "shingles"])
+def _near(batches):
+    """Of pairs (u, v, a, b), the names of those whose sets a and b are similar, counted shingle by shingle."""
+    x, y = SIMILAR
+    for b in batches:
+        names, keep, made, size = [b.column(k).to_pylist() for k in (0, 1)], [], {}, 0
+        for k in range(b.num_rows):
+            pair = []
+            for name, column in ((names[0][k], b.column(2)), (names[1][k], b.column(3))):
+                if (s := made.get(name)) is None:
+                    s = _members(column[k])
+                    if size > HELD:
+                        made, size = {}, 0
+                    made[name], size = s, size + len(s)
+                pair.append(s)
+            both = len(np.intersect1d(*pair, assume_unique=True))
+            keep.append(both * (x + y) >= (len(pair[0]) + len(pair[1])) * x)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def first_sets(texts: DataFrame) -> DataFrame:
@@ -150,14 +173,13 @@ def _alike(u: str, v: str):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, whole) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, counted shingle by shingle; whole(nodes) gives the sets of nodes."""
+    """The pairs (u, v) whose sets are similar; whole(nodes) gives nodes with what their sets are counted from: the texts,
+    which move in less than half of the bytes, or the sets as longs."""
     pairs = stored(_sketched(pairs.distinct(), sets), "pairs")
     nodes = stored(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
     some = stored(whole(nodes), "candidates")
-    a, b = some.select(F.col("node").alias("u"), F.col("shingles").alias("a")), some.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both, (x, y) = F.size(F.array_intersect("a", "b")), SIMILAR
-    near = both * (x + y) >= (F.size("a") + F.size("b")) * x
-    links = stored(pairs.join(a, "u").join(b, "v").where(near).select("u", "v"), "links")
+    a, b = (some.select(F.col("node").alias(end), F.col(some.columns[1]).alias(content)) for end, content in (("u", "a"), ("v", "b")))
+    links = stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_near, "u long, v long"), "links")
     discarded(some)  # the largest of the scratch tables
     let_go(links.sparkSession)
     return links
@@ -185,7 +207,7 @@ def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int =
 
     Sets of n and at least 4 n / 5 shingles that are similar share 4 n / 5 shingles or more, so under any common order
     they share one of their first n / 5 + 1. Those are the buckets. What meets in one is compared by length and place,
-    then by sketches, and verified by whole sets, which whole(nodes) gives as (node, shingles).
+    then by sketches, and verified by whole sets, which whole(nodes) gives as (node, text) or (node, shingles).
 
     A bucket of over `crowded` sets is not paired up at once. First each of its sets is compared with some pivots: the one
     that has the fewest rarer shingles, so that it is in the middle of copies that were changed here and there, and for
@@ -256,7 +278,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def whole(nodes: DataFrame) -> DataFrame:
         places = stored(once.join(nodes, "node", "left_semi").select("doc_id", "text_hash", "node"), "places")
         _, some = parted(rows, rows["doc_id"], places)  # so that no other texts move
-        return some.join(places, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_whole, "node long, shingles array<long>")
+        return some.join(places, ["doc_id", "text_hash"]).select("node", "text")
 
     known = fingerprint_links(once.select("node", "fp", "n", *SKETCH), whole)
     labels = connected_components(similar_links(once.select("node", "n", "first", "after", *SKETCH), whole, known=known))
@@ -282,6 +304,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows without an id stay, as do repeated rows of one that stays; rows of one id and unlike texts go each by its own.
     Null and empty texts have no words and are alike; very long texts are compared whole. An empty table stays empty.
     Other columns stay as they are, whatever their names."""
-    lost = stored(_components(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "lost")
+    found = _components(docs, id_col, text_col)
+    lost = stored(found.where("doc_id <> component_id").select("doc_id", "text_hash").distinct(), "lost")
     others, some = parted(docs, docs[id_col].cast("long"), lost)
+    # A row that can be lost is lost for certain unless its id can be one that stays (or none), so few texts move to the join.
+    stay = found.where("doc_id = component_id").select("doc_id").union(docs.sparkSession.range(1).select(F.lit(None).cast("long")))
+    _, taken = parted(stay, stay["doc_id"], lost)
+    _, some = parted(some, some[id_col].cast("long"), stored(taken, "taken"))
     return others.union(some.join(lost, (some[id_col].cast("long") == lost["doc_id"]) & (F.xxhash64(some[text_col].cast("string")) == lost["text_hash"]), "left_anti"))

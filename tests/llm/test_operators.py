@@ -367,6 +367,24 @@ def test_texts_that_match_nothing_do_not_move(spark, monkeypatch):
         assert len(met) >= least and all(some.count() < 20 for _, some in met)
 
 
+def test_near_copies_move_as_texts_and_lost_ones_not_at_all(spark, monkeypatch):
+    """Candidates are held as texts, not as sets of long hashes; what is lost for certain moves to no join."""
+    made, met = {}, []
+    monkeypatch.setattr(near_copies, "stored", lambda d, name: made.setdefault(name, []).append(common.stored(d, name)) or made[name][-1])
+    monkeypatch.setattr(near_copies, "discarded", lambda d: None)
+    monkeypatch.setattr(near_copies, "parted", lambda *a: met.append(common.parted(*a)) or met[-1])
+    draw = random.Random(8)
+    base = [[f"word{draw.randrange(50)}" for _ in range(300)] for _ in range(20)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(base)] + [(100 + k, " ".join([*x, "more"])) for k, x in enumerate(base)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    expected = sorted([*rows[:20], (None, rows[0][1])], key=repr)
+    assert sorted(map(tuple, drop_similar(df).collect()), key=repr) == expected
+    assert any(d.count() for d in made["candidates"]) and all(d.dtypes == [("node", "bigint"), ("text", "string")] for d in made["candidates"])
+    assert met[-1][1].count() == 0
+    monkeypatch.setattr(common, "MAP_BITS", 64)  # every id can be any other
+    assert sorted(map(tuple, drop_similar(df).collect()), key=repr) == expected and met[-1][1].count() > 1
+
+
 # Secrets
 
 

@@ -100,6 +100,17 @@ class Memo(dict):
 ROWS, BYTES = 1000, 4 << 20
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, after the session is set to give Arrow functions no more than ROWS rows and BYTES bytes at once. As Spark has it
+    it's 10,000 rows and 64 MB, which each task holds in buffers that double, beside the heap, and once more in its worker.
+    It stays set, since frames run later than they are made; a smaller setting of the session's own stays, too."""
+    conf, size = docs.sparkSession.conf, docs.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("maxRecordsPerBatch", ROWS), ("maxBytesPerBatch", BYTES)):
+        if not 0 < size(conf.get(f"spark.sql.execution.arrow.{key}")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", most)
+    return docs
+
+
 def slices(batches, column: int, rows: int = ROWS, size: int = BYTES):
     """The batches in pieces, which share their memory, of at most so many rows and bytes of a text column; a row at least."""
     for b in batches:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discarded, lean, let_go, parted, raw_texts, slices, stored
+from .common import discarded, lean, let_go, parted, raw_texts, slices, small_batches, stored
 from .components import connected_components
 from .simhash import _LOWER, SEED, majority, near_links
 
@@ -64,7 +64,7 @@ def common_shingles(docs: DataFrame, text_col: str, most: int = ORDER_DOCS) -> t
     common shingles are last, which decides what the join costs and not what it finds."""
     every = max(1, docs.count() // most)
     text = F.col(text_col).cast("string")
-    few = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text.alias("text")).mapInArrow(_plain, "shingles array<long>")
+    few = small_batches(docs).where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text.alias("text")).mapInArrow(_plain, "shingles array<long>")
     counts = few.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
     rows = sorted(counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -112,8 +112,9 @@ def _members(x: pa.Scalar) -> np.ndarray:
 def _near(batches):
     """Of pairs (u, v, a, b), the names of those whose sets a and b are similar, counted shingle by shingle."""
     x, y = SIMILAR
+    made, size = {}, 0
     for b in batches:
-        names, keep, made, size = [b.column(k).to_pylist() for k in (0, 1)], [], {}, 0
+        names, keep = [b.column(k).to_pylist() for k in (0, 1)], []
         for k in range(b.num_rows):
             pair = []
             for name, column in ((names[0][k], b.column(2)), (names[1][k], b.column(3))):
@@ -136,7 +137,7 @@ def first_sets(texts: DataFrame) -> DataFrame:
     hashes instead, until none is shared: no text is read again for that."""
     order = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, "text"))
     let_go(texts.sparkSession)
-    sets = stored(texts.mapInArrow(_ordered(order), "doc_id long, text_hash long, node long, second long, fp long, n int, first array<long>, after long, " + ", ".join(f"{k} long" for k in SKETCH)), "sets")
+    sets = stored(small_batches(texts).mapInArrow(_ordered(order), "doc_id long, text_hash long, node long, second long, fp long, n int, first array<long>, after long, " + ", ".join(f"{k} long" for k in SKETCH)), "sets")
     return _apart(sets).drop("second")
 
 
@@ -179,7 +180,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, whole) -> DataFrame:
     nodes = stored(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
     some = stored(whole(nodes), "candidates")
     a, b = (some.select(F.col("node").alias(end), F.col(some.columns[1]).alias(content)) for end, content in (("u", "a"), ("v", "b")))
-    links = stored(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_near, "u long, v long"), "links")
+    links = stored(small_batches(pairs).join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_near, "u long, v long"), "links")
     discarded(some)  # the largest of the scratch tables
     let_go(links.sparkSession)
     return links

@@ -16,12 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, lean, slices, stored, texts
+from .common import Memo, lean, slices, small_batches, stored, texts
 
 END, WINDOW = 2, 4096
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens in a step group, and the smallest sequence that the tail of a task is cut to.
 STEP_TOKENS, LEAST = 1 << 18, 64
+#: Bytes of text whose tokens are made at a time: what stands between text and ids takes some twenty times as much.
+AT_ONCE = 1 << 20
 #: The upper bits of a sequence's number are its task's, the lower ones count the task's sequences.
 OWN_BITS = 40
 
@@ -208,8 +210,9 @@ def _packed(path: str, tiers):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for b in slices(batches, 1):
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode.all(list(texts(b.column(1)))), strict=True):
-                packer.add(doc_id, ids + end)
+            for few in slices([b], 1, size=AT_ONCE):
+                for doc_id, ids in zip(few.column(0).to_pylist(), encode.all(list(texts(few.column(1)))), strict=True):
+                    packer.add(doc_id, ids + end)
             yield table(packer.pack())
         yield table(packer.finish())
 
@@ -238,7 +241,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     names.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stored(two.mapInArrow(_packed(tokenizer, tiers), PIECES), "pieces").withColumn("task", F.shiftright("sequence_id", OWN_BITS))
+    pieces = stored(small_batches(two).mapInArrow(_packed(tokenizer, tiers), PIECES), "pieces").withColumn("task", F.shiftright("sequence_id", OWN_BITS))
     made = pieces.groupBy("tier", "task").agg((F.max("nth") + 1).alias("n"))
     tasks, tier = Window.partitionBy("tier").orderBy("task"), Window.partitionBy("tier")
     made = made.select("tier", "task", (F.sum("n").over(tasks) - F.col("n")).alias("before"), F.sum("n").over(tier).alias("all"))

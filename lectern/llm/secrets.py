@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, texts
+from .common import lean, slices, small_batches, texts
 
 KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
@@ -436,4 +436,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     Null text stays null, empty text empty; very long texts are scanned whole, repeated rows each for itself. An empty
     table stays empty. Other columns stay as they are, whatever their names. Nothing is shuffled."""
     length_at = None if length_col is None else docs.columns.index(length_col)
-    return docs.mapInArrow(_cleaned(docs.columns.index(text_col), length_at), docs.schema)
+    return small_batches(docs).mapInArrow(_cleaned(docs.columns.index(text_col), length_at), docs.schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import SAMPLE_DOCS, Curve, labelled_sample
-from .common import held_out, lean, slices, texts
+from .common import held_out, lean, slices, small_batches, texts
 
 ORDER, DISCOUNT, THRESHOLD = 5, 0.75, 0.3
 #: Codes: 0 before a word, 1 after it, 2 for letters that no fitted word has, then one for each letter.
@@ -295,4 +295,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     they are, whatever their names.
     """
     model = _model(docs, labels, id_col, text_col, most)
-    return docs.mapInArrow(_clean(model, docs.columns.index(text_col), threshold), docs.schema)
+    return small_batches(docs).mapInArrow(_clean(model, docs.columns.index(text_col), threshold), docs.schema)

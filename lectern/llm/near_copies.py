@@ -27,6 +27,8 @@ APART = 1024
 HELD = 1 << 20
 #: The columns of a set's sketch.
 SKETCH = ("k0", "k1", "k2", "k3")
+#: Sets of more shingles than this have a sketch of as many classes as shingles besides: 256 can't tell them apart.
+LONG = 256
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -48,6 +50,16 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def long_sketch(s: np.ndarray) -> np.ndarray | None:
+    """A sketch of one bit or two for each shingle of a set of more than LONG. Its halves, one turned by the other, are the
+    sketch of half as many classes."""
+    if len(s) <= LONG:
+        return None
+    classes = 1 << (len(s) - 1).bit_length()
+    odd = np.bincount((s & (classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
@@ -80,11 +92,12 @@ def _ordered(order):
     def rows(batches):
         known, times = order.value
         for b in slices(batches, 2):
-            firsts, afters, sizes, names, seconds, sketches, prints = [], [], [], [], [], [], []
+            firsts, afters, sizes, names, seconds, sketches, prints, wides = [], [], [], [], [], [], [], []
             for text in raw_texts(b.column(2)):
                 s = shingle_set(text)
                 data = s.tobytes()
                 sketches.append(sketch(s))
+                wides.append(long_sketch(s))
                 prints.append(majority(s.view(np.uint64)))
                 names.append(xxhash.xxh3_64_intdigest(data, SEED))
                 seconds.append(xxhash.xxh64_intdigest(data, SEED + 1))
@@ -96,7 +109,7 @@ def _ordered(order):
                 afters.append(int(s[len(firsts[-1])]) if len(firsts[-1]) < len(s) else None)
             both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, seconds, prints)]
             bits = [pa.array(x) for x in np.array(sketches).reshape(-1, 4).T]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *both, pa.array(sizes, pa.int32()), _lists(firsts), pa.array(afters, pa.int64()), *bits], names=["doc_id", "text_hash", "node", "second", "fp", "n", "first", "after", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *both, pa.array(sizes, pa.int32()), _lists(firsts), pa.array(afters, pa.int64()), *bits, pa.array(wides, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "second", "fp", "n", "first", "after", *SKETCH, "wide"])
 
     return lean(rows)
 
@@ -130,14 +143,14 @@ def _near(batches):
 
 
 def first_sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fp, n, first, after, k0 to k3) of texts(doc_id, text_hash, text): a name that no unlike set
-    has, the SimHash of the set, its size, its first shingles in the common order, the one after them, and its sketch.
+    """(doc_id, text_hash, node, fp, n, first, after, k0 to k3, wide) of texts(doc_id, text_hash, text): a name that no unlike
+    set has, the SimHash of the set, its size, its first shingles in the common order, the one after them, and its sketches.
 
     A name has 64 bits of a hash. Where unlike sets share it, by a second hash of 64 bits, those few take names of both
     hashes instead, until none is shared: no text is read again for that."""
     order = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, "text"))
     let_go(texts.sparkSession)
-    sets = stored(small_batches(texts).mapInArrow(_ordered(order), "doc_id long, text_hash long, node long, second long, fp long, n int, first array<long>, after long, " + ", ".join(f"{k} long" for k in SKETCH)), "sets")
+    sets = stored(small_batches(texts).mapInArrow(_ordered(order), "doc_id long, text_hash long, node long, second long, fp long, n int, first array<long>, after long, " + ", ".join(f"{k} long" for k in SKETCH) + ", wide array<long>"), "sets")
     return _apart(sets).drop("second")
 
 
@@ -173,10 +186,29 @@ def _alike(u: str, v: str):
     return differ * (x + y) <= (F.col("n") + F.col("m")) * (y - x)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, whole) -> DataFrame:
+def _sketched_long(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs (u, v) but those of two long sets, wide(node, n, wide), that can't be similar: by their sizes or by the bits
+    in which their long sketches differ. A long sketch moves in place of a text."""
+    x, y = SIMILAR
+    ends = [wide.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("wide").alias(f"{k}_wide")) for k in ("u", "v")]
+    n, m, a, b = (F.col(c) for c in ("u_n", "v_n", "u_wide", "v_wide"))
+    classes = F.least(F.size(a), F.size(b))
+
+    def folded(s):  # sets of like sizes have as many classes, or twice as many
+        half = F.floor(F.size(s) / 2).cast("int")
+        return F.when(F.size(s) > classes, F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(s)
+
+    differ = F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    near = (F.least(n, m) * y >= F.greatest(n, m) * x) & (differ * (x + y) <= (n + m) * (y - x))
+    return pairs.join(ends[0], "u", "left").join(ends[1], "v", "left").where(F.coalesce(near, F.lit(True))).select("u", "v")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, whole, wide: DataFrame | None = None) -> DataFrame:
     """The pairs (u, v) whose sets are similar; whole(nodes) gives nodes with what their sets are counted from: the texts,
-    which move in less than half of the bytes, or the sets as longs."""
+    which move in less than half of the bytes, or the sets as longs. They move for pairs alone that no sketch rules out."""
     pairs = stored(_sketched(pairs.distinct(), sets), "pairs")
+    if wide is not None:
+        pairs = stored(_sketched_long(pairs, wide), "alike")
     nodes = stored(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "nodes")
     some = stored(whole(nodes), "candidates")
     a, b = (some.select(F.col("node").alias(end), F.col(some.columns[1]).alias(content)) for end, content in (("u", "a"), ("v", "b")))
@@ -186,7 +218,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, whole) -> DataFrame:
     return links
 
 
-def fingerprint_links(sets: DataFrame, whole) -> DataFrame:
+def fingerprint_links(sets: DataFrame, whole, wide: DataFrame | None = None) -> DataFrame:
     """Links (u, v) between similar sets of sets(node, fp, n, k0 to k3) whose fingerprints are equal or close: operator 1's
     search over pivot distance tables, each pair of fingerprints that it finds, and what it finds verified by whole sets.
 
@@ -199,16 +231,17 @@ def fingerprint_links(sets: DataFrame, whole) -> DataFrame:
     close = near_links(prints.select("fp")).groupBy("v").agg(F.min("u").alias("u"))
     ends = [prints.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_node")) for k in ("u", "v")]
     close = close.join(ends[0], "u").join(ends[1], "v").select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
-    return _verified(equal.union(close), sets.withColumn("label", F.col("node")), whole)
+    return _verified(equal.union(close), sets.withColumn("label", F.col("node")), whole, wide)
 
 
-def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
+def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int = ROUNDS, known: DataFrame | None = None, wide: DataFrame | None = None) -> DataFrame:
     """Links (u, v) between nodes of sets(node, n, first, after, k0 to k3), one row a node: enough to join all similar ones.
     Those of `known` are taken over, and sets that they join aren't compared again.
 
     Sets of n and at least 4 n / 5 shingles that are similar share 4 n / 5 shingles or more, so under any common order
     they share one of their first n / 5 + 1. Those are the buckets. What meets in one is compared by length and place,
-    then by sketches, and verified by whole sets, which whole(nodes) gives as (node, text) or (node, shingles).
+    then by sketches, of long sets by long ones too (wide: node, n, wide), and verified by whole sets, which whole(nodes)
+    gives as (node, text) or (node, shingles).
 
     A bucket of over `crowded` sets is not paired up at once. First each of its sets is compared with some pivots: the one
     that has the fewest rarer shingles, so that it is in the middle of copies that were changed here and there, and for
@@ -227,10 +260,11 @@ def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int =
     # Stored, so that the join has an exchange on either side: AQE splits a shingle that many sets have only then.
     sizes = stored(entries.groupBy("s").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     met = stored(entries.join(sizes, "s"), "buckets")
+    let_go(sets.sparkSession)  # all first shingles have moved twice; texts are next
     small = met.where(F.col("members") <= crowded)
     a = small.select("s", F.col("node").alias("u"), "n", "i")
     b = small.select("s", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"))
-    links = _verified(_meet(a, b).where("u < v").select("u", "v"), parts, whole)
+    links = _verified(_meet(a, b).where("u < v").select("u", "v"), parts, whole, wide)
     if known is not None:
         links = links.union(known.select("u", "v"))
     busy = met.where(F.col("members") > crowded).select("s", "node", "n", "i")
@@ -241,7 +275,7 @@ def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int =
         at_random = F.xxhash64("node", "s", F.lit(k))
         pivots = stored(busy.groupBy("s").agg(F.min_by("node", F.struct("i", at_random) if k == 0 else at_random).alias("pivot")), "pivots")
         pairs = busy.join(pivots, "s").where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-        links = links.union(_verified(pairs, parts, whole))
+        links = links.union(_verified(pairs, parts, whole, wide))
     labels = connected_components(links)
     members = stored(busy.join(labels, "node", "left").select("s", "node", "n", "i", F.coalesce("label", "node").alias("label")), "members")
     counts = members.groupBy("s", "label").agg(F.count("*").alias("k"))
@@ -256,7 +290,7 @@ def similar_links(sets: DataFrame, whole, crowded: int = CROWDED, rounds: int =
     if not many.isEmpty():
         after = sets.select("node", F.posexplode(F.when(F.col("after").isNotNull(), F.concat("first", F.array("after"))).otherwise(F.col("first"))).alias("at", "t"))
         rest = rest.union(_unlike(stored(many.join(after, "node").where("at > i"), "seconds"), ["s", "t"]))
-    return links.union(_verified(rest, parts, whole))
+    return links.union(_verified(rest, parts, whole, wide))
 
 
 def _unlike(held: DataFrame, key: list[str]) -> DataFrame:
@@ -281,8 +315,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _, some = parted(rows, rows["doc_id"], places)  # so that no other texts move
         return some.join(places, ["doc_id", "text_hash"]).select("node", "text")
 
-    known = fingerprint_links(once.select("node", "fp", "n", *SKETCH), whole)
-    labels = connected_components(similar_links(once.select("node", "n", "first", "after", *SKETCH), whole, known=known))
+    wide = once.where("wide is not null").select("node", "n", "wide")
+    known = fingerprint_links(once.select("node", "fp", "n", *SKETCH), whole, wide)
+    labels = connected_components(similar_links(once.select("node", "n", "first", "after", *SKETCH), whole, known=known, wide=wide))
     named = sets.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("label"))
     named = stored(named, "named")
     firsts = stored(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "firsts")

@@ -338,6 +338,25 @@ def test_near_copies_are_searched_by_fingerprints_first(spark, monkeypatch):
     assert {r.doc_id for r in drop_similar(df).collect()} == {0, 3} and tables
 
 
+def test_texts_of_long_sets_move_for_similar_ones_alone(spark, monkeypatch):
+    """Long texts that have a rare passage in common: 256 classes can't tell them apart, as many as shingles can."""
+    draw, passage = random.Random(3), [f"p{i}" for i in range(40)]
+    texts = [[f"w{draw.randrange(1 << 30)}" for _ in range(draw.choice([1060, 1100, 1200]))] + passage for _ in range(12)]
+    for k in (0, 1):  # a near copy each, one of them with half as many classes
+        texts.append([*texts[k][: 990 + 200 * k], *texts[k][1000 + 200 * k :], *(["z"] if k else [])])
+    texts.append([f"v{i}" for i in range(1100)])
+    texts.append(texts[-1][:950])  # 1,096 shingles and 946, in 2,048 classes and 1,024
+    sets = [near_copies.shingle_set(" ".join(t).encode()) for t in texts]
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if len(c := np.intersect1d(sets[a], sets[b])) * 9 >= (len(sets[a]) + len(sets[b])) * 4}
+    assert similar == {(0, 12), (1, 13), (14, 15)} and len({len(near_copies.long_sketch(s)) for s in sets[14:]}) == 2
+    made = {}
+    monkeypatch.setattr(near_copies, "ORDER_LEAST", 1 << 30)  # no shingle counts as common, as a rare one of a large table
+    monkeypatch.setattr(near_copies, "stored", lambda d, name: made.setdefault(name, []).append(common.stored(d, name)) or made[name][-1])
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in drop_similar(df).collect()} == set(range(16)) - {12, 13, 15}
+    assert sum(d.count() for d in made["pairs"]) > 40 and sum(d.count() for d in made["alike"]) <= 4
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 24])
 def test_only_rows_that_can_match_move(spark, monkeypatch, bits):
     monkeypatch.setattr(common, "MAP_BITS", bits)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discarded as discarded
+from ..sources.scratch import let_go as let_go
 from ..sources.scratch import scratch as scratch
 from ..sources.scratch import stored as stored
 
@@ -22,16 +22,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 
-def let_go(spark: SparkSession) -> None:
-    """Let the driver collect plans that have run and that nothing refers to, so that executors delete their shuffle files:
-    in a long query these would otherwise stay until its end. For between steps that move much. It takes two rounds: the
-    first frees what Python has let go of, the second what that has held."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.15)
-
-
 #: Bits of a map of keys.
 MAP_BITS = 1 << 24
 

@@ -56,6 +56,23 @@ def test_questions(spark, tables):
     assert hits(spark, tables, "When is the last date to submit the report?", use_vectors=False)[0][0].page_number == 4
 
 
+def test_a_search_of_passages_stores_no_index(spark, tables, tmp_path, monkeypatch):
+    """Of passages that are searched once, nothing is kept that is as large as an index; hits are those of an index."""
+    from lectern.sources import scratch
+
+    documents, _, made = tables
+    requests = spark.createDataFrame([(1, "ann", [1, 2, 3], "What are the limitations of the sonar arrays?"), (2, "bob", [2, 1], "sonar array 40 metres"), (3, "ann", [1], "What are the MUST-HAVE features?")], "query_id long, user_id string, document_ids array<long>, query string")
+    queries, places = scoped(valid_queries(requests)[0], documents, made)
+    expected = sorted(map(tuple, search(queries, places, indexed(made)).collect()))
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
+    twice = made.union(made.where("page_number = 2"))  # a passage that stands there twice counts once
+    assert sorted(map(tuple, search(queries, places, twice).collect())) == expected and len(expected) >= 3
+    kept = {name.name for run in (tmp_path / "lectern").iterdir() for name in run.iterdir()}
+    assert "held" in kept and not kept & {"index", "vectors", "terms"}
+    monkeypatch.setattr(scratch, "LOOKUP", 0)
+    assert sorted(map(tuple, search(queries, places, made).collect())) == expected
+
+
 def test_scope_and_owner(spark, tables):
     assert hits(spark, tables, "sonar array", ids=(2, 3, 4)) == [[]]
     documents, _, made = tables
